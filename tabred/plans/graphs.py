@@ -6,7 +6,7 @@ from itertools import combinations
 from tabred.plans.joins import Link
 from tabred.schemas import KEYS, REFERENCES
 
-# Roles in the order in which a plan over normalised tables joins them: small filtered sides first.
+# Roles of a query. Among the tables that one table looks up, the order here is the join order.
 QUERY_ROLES: dict[int, tuple[str, ...]] = {
     1: ("L",), 2: ("R", "N", "S", "PS", "P"), 3: ("C", "O", "L"), 4: ("O", "L"),
     5: ("R", "N", "C", "O", "L", "S"), 6: ("L",), 7: ("N1", "S", "L", "O", "C", "N2"),

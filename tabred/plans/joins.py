@@ -35,34 +35,59 @@ def role_part(t: dict[str, DataFrame], role: str) -> Part:
     return Part(df, tuple(role_column(role, c) for c in key))
 
 
-def _ends(link: Link, left: set[str], right: set[str]) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
-    a, b = link
-    if left.issuperset(a) and right.issuperset(b):
-        return a, b
-    if left.issuperset(b) and right.issuperset(a):
-        return b, a
-    return None
+def _looks_up(child: Part, parent: Part, links: list[Link]) -> bool:
+    """Do the links bind the whole key of ``parent`` to columns of ``child``?"""
+    bound: set[str] = set()
+    for a, b in links:
+        for here, there in ((a, b), (b, a)):
+            if set(child.frame.columns).issuperset(here) and set(parent.frame.columns).issuperset(there):
+                bound.update(there)
+    return bound.issuperset(parent.key)
 
 
 def join_parts(parts: list[Part], links: list[Link]) -> Part:
-    """Join all parts, one look-up or one child expansion at a time.
+    """Join all parts as a snowflake: every part first takes in the parts that it looks up.
 
-    A part joins only when the links bind its whole key or the key of what is joined so far, so no
-    step multiplies rows beyond the finer of both sides. Links that close a cycle become further
-    equalities of the same join.
+    The larger side of each join stays on the left and meets a parent that its own filters have
+    already reduced. A join always binds the whole key of its right side, so no step multiplies
+    rows. Links that close a cycle become further equalities of the join where both ends meet.
     """
-    done, waiting = parts[0], list(parts[1:])
-    while waiting:
-        for part in waiting:
-            pairs = [e for e in (_ends(l, set(done.frame.columns), set(part.frame.columns)) for l in links) if e]
-            near = {c for a, _ in pairs for c in a}
-            far = {c for _, b in pairs for c in b}
-            if pairs and (far.issuperset(part.key) or near.issuperset(done.key)):
-                break
-        else:
-            raise ValueError("the parts are not connected by keys")
-        conditions: list[Column] = [done.frame[x] == part.frame[y] for a, b in pairs for x, y in zip(a, b)]
-        key = done.key if far.issuperset(part.key) else part.key
-        done = Part(done.frame.join(part.frame, reduce(lambda p, q: p & q, conditions)), key)
-        waiting.remove(part)
-    return done
+    children = {i: [j for j, p in enumerate(parts) if j != i and _looks_up(parts[i], p, links)]
+                for i in range(len(parts))}
+    roots = [i for i in children if all(i not in c for c in children.values())]
+    if len(roots) != 1:
+        raise ValueError("the parts do not hang together by keys under one finest table")
+    attached, level = {roots[0]: None}, [roots[0]]
+    while level:
+        found = [(j, i) for i in level for j in children[i]]
+        level = []
+        for j, i in found:
+            if j not in attached:
+                attached[j] = i
+                level.append(j)
+    if len(attached) != len(parts):
+        raise ValueError("the parts are not connected by keys")
+    same: dict[str, str] = {}
+
+    def leader(column: str) -> str:
+        while same.get(column, column) != column:
+            column = same[column]
+        return column
+
+    def build(i: int) -> DataFrame:
+        frame = parts[i].frame
+        for j in (j for j in range(len(parts)) if attached.get(j, -1) == i):
+            other = build(j)
+            conditions: list[Column] = []
+            for a, b in links:
+                if set(other.columns).issuperset(a):
+                    a, b = b, a
+                if set(frame.columns).issuperset(a) and set(other.columns).issuperset(b):
+                    for x, y in zip(a, b):
+                        if leader(x) != leader(y):
+                            same[leader(y)] = leader(x)
+                            conditions.append(frame[x] == other[y])
+            frame = frame.join(other, reduce(lambda p, q: p & q, conditions))
+        return frame
+
+    return Part(build(roots[0]), parts[roots[0]].key)

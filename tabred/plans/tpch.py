@@ -281,15 +281,17 @@ def q21_count(rel: DataFrame) -> DataFrame:
 
 
 def q22(rel, t, p):
-    rich = q22_customers(t["customer"], p)
+    rich = q22_coded(t["customer"], p).where(c("c_acctbal") > q22_mean(t["customer"], p))
     return q22_sum(rich.join(t["orders"], c("c_custkey") == c("o_custkey"), "left_anti"))
 
 
-def q22_customers(customers: DataFrame, p: Params) -> DataFrame:
-    coded = customers.withColumn("cntrycode", F.substring("c_phone", 1, 2)).where(c("cntrycode").isin(*p["codes"]))
-    mean = (coded.where(c("c_acctbal") > 0.0)
+def q22_coded(customers: DataFrame, p: Params) -> DataFrame:
+    return customers.withColumn("cntrycode", F.substring("c_phone", 1, 2)).where(c("cntrycode").isin(*p["codes"]))
+
+
+def q22_mean(customers: DataFrame, p: Params) -> Column:
+    return (q22_coded(customers, p).where(c("c_acctbal") > 0.0)
             .agg(X.exact_avg(X.hundredths("c_acctbal"), 2).alias("mean_balance")).scalar())
-    return coded.where(c("c_acctbal") > mean)
 
 
 def q22_sum(rel: DataFrame) -> DataFrame:
