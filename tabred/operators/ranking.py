@@ -51,3 +51,22 @@ def sample_order(seed: int | str, *columns: str | Column) -> Column:
     """Pseudo-random order of rows: the md5 text of seed and key, the same on every run and engine."""
     parts = [F.col(c).cast("string") if isinstance(c, str) else c for c in columns]
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
+
+
+def hash_positions(df: DataFrame, keys: list[str], seed: int | str, row: list[str], name: str = "position",
+                   digits: int = 3) -> DataFrame:
+    """Number the rows of each key from 1 in seeded pseudo-random order.
+
+    The order is that of ``sample_order``. Its first hex digits split every key evenly into bins; rows
+    are numbered inside a bin, and counts of the earlier bins come from a small row per key and bin.
+    """
+    marked = df.withColumn("_h", sample_order(seed, *row)).withColumn("_bin", F.substring("_h", 1, digits))
+    counts = marked.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*(keys or [F.lit(1)])).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_bin"]], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    same = F.col("_bin") == F.col("_k__bin")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = W.partitionBy(*keys, "_bin").orderBy("_h", *row)
+    return (marked.join(offsets, same).withColumn(name, F.row_number().over(inside) + F.col("_o"))
+            .select(*df.columns, name))
