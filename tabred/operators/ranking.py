@@ -54,7 +54,7 @@ def sample_order(seed: int | str, *columns: str | Column) -> Column:
 
 
 def hash_positions(df: DataFrame, keys: list[str], seed: int | str, row: list[str], name: str = "position",
-                   digits: int = 3) -> DataFrame:
+                   digits: int = 2) -> DataFrame:
     """Number the rows of each key from 1 in seeded pseudo-random order.
 
     The order is that of ``sample_order``. Its first hex digits split every key evenly into bins; rows
