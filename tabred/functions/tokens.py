@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from tabred.functions.vectors import let, unit
+
 # Vector length, placeholder of a missing value, suffix of a corrected value.
 DIMENSION = 128
 MISSING = "<MISSING>"
@@ -47,15 +49,10 @@ def hashed_vector(token_array: Column, dimension: int = DIMENSION) -> Column:
     slot = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimension).cast("int")
     sign = lambda t: F.when(F.substring(F.md5(t), 9, 1).isin("1", "3", "5", "7", "9", "b", "d", "f"), 1.0).otherwise(-1.0)
     hits = F.transform(token_array, lambda t: F.struct(slot(t).alias("i"), sign(t).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)),
-                      lambda i: F.aggregate(F.filter(hits, lambda h: h["i"] == i), F.lit(0.0), lambda a, h: a + h["s"]))
-    return unit(raw)
-
-
-def unit(vector: Column) -> Column:
-    """Vector of length 1; a zero vector stays."""
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(length == 0, vector).otherwise(F.transform(vector, lambda v: v / length))
+    counted = let(hits, lambda all_: F.transform(
+        F.sequence(F.lit(0), F.lit(dimension - 1)),
+        lambda i: F.aggregate(F.filter(all_, lambda h: h["i"] == i), F.lit(0.0), lambda a, h: a + h["s"])))
+    return unit(counted)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

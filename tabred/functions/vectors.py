@@ -4,6 +4,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once for use inside a lambda, which would compute it again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unit(vector: Column) -> Column:
+    """Vector of length 1; a zero vector stays."""
+    return let(vector, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
+
+
 def as_double(v: str | Column) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 

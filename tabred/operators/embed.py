@@ -9,10 +9,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tabred.functions.tokens import DIMENSION, unit
+from tabred.functions.tokens import DIMENSION
+from tabred.functions.vectors import unit
 from tabred.operators.ranking import hash_positions
 from tabred.session import checkpointed
 

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabred.functions.vectors import as_double, cosine, dot, norm
+from tabred.functions.vectors import as_double, cosine, dot, unit
 from tabred.operators.ranking import running_totals
 
 # A retrieval pool is a sample; its matrix is sent to every task and must stay small.
@@ -108,10 +108,7 @@ def within_group_similarity(vectors: DataFrame, dimension: int) -> DataFrame:
     With unit vectors u the sum of all pair cosines of a group is (|sum u|^2 - sum |u|^2) / 2, so each
     group needs only a vector sum, which combines before the shuffle; no pair is formed.
     """
-    v = as_double("vec")
-    length = norm(v)
-    scaled = F.when(length == 0, v).otherwise(F.transform(v, lambda x: x / length))
-    u = vectors.select("group", scaled.alias("u"))
+    u = vectors.select("group", unit(as_double("vec")).alias("u"))
     sums = u.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(dot(F.col("u"), F.col("u"))).alias("own"),
                                   *[F.sum(F.get("u", F.lit(i))).alias(f"_{i}") for i in range(dimension)])
     whole = F.array(*[f"_{i}" for i in range(dimension)])

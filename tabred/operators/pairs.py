@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabred.operators.ranking import hash_positions, running_totals, sample_order
+from tabred.session import checkpointed
 
 
 def sample_per_group(df: DataFrame, key: str, row: str, k: int | Column, seed: int) -> DataFrame:
@@ -104,9 +105,10 @@ def different_pairs(pairs: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` unique pairs of pool members with different keys: [group_a, group_b, a, b].
 
     Members are numbered group by group. All pairs (member, any member of a later group) form one
-    numbering; a draw gives the group of the first member, and the rest follows by division.
+    numbering; a draw gives the group of the first member, and the rest follows by division. The pool is
+    a sample, so it is written once and read by the following steps.
     """
-    members = pool(pairs, key)
+    members = checkpointed(pool(pairs, key))
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     placed = running_totals(sizes, [], "group", ["n"]) if dict(sizes.dtypes)["group"] != "string" else running_totals(
         sizes.withColumn("_o", F.conv(F.substring(F.md5("group"), 1, 15), 16, 10).cast("long")), [], "_o", ["n"]).drop("_o")
