@@ -139,8 +139,8 @@ def embedded(s, d, method: str) -> DataFrame:
 register("g7_fast_rp", lambda s, d: embedded(s, d, "fast_rp"))
 register("g8_node2vec", lambda s, d: embedded(s, d, "node2vec"))
 register("g8_random_walks", lambda s, d: embed.random_walks(feature_graph(s, d)[1]).select("walk", F.size("path").alias("nodes")),
-         g("""with recursive walks as (select distinct src || '#' || k as walk from (select src from g_edges where type <> 'O_C' union select dst from g_edges where type <> 'O_C'),
-              (values (1), (2), (3), (4), (5)) x(k)) select walk, 20 as nodes from walks""").replace("with recursive walks", "with walks") )
+         g("""with walks as (select distinct src || '#' || k as walk from (select src from g_edges where type <> 'O_C' union select dst from g_edges where type <> 'O_C'),
+              (values (1), (2), (3), (4), (5)) x(k)) select walk, 20 as nodes from walks"""))
 register("g9_hash_gnn", lambda s, d: embedded(s, d, "hash_gnn"))
 register("g10_mean_aggregate", lambda s, d: embedded(s, d, "mean_aggregate"))
 register("g11_check_vectors", lambda s, d: G.check_vectors(s.read.parquet(f"{d}/embeddings.parquet").where("label <> 3").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")),
@@ -251,10 +251,6 @@ def labelled(s, d):
     return s.read.parquet(f"{d}/labels.parquet").join(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id")
 
 
-AUC_SQL = """select lang, sum(w) / (any_value(p) * any_value(n)) as auc from (select lang, quality, sum(case when quality = 1 then
-    (select count(*) from labels l2 join documents d2 using (doc_id) where d2.lang = d.lang and l2.quality = 0 and d2.n_chars < d.n_chars)
-    + 0.5 * (select count(*) from labels l2 join documents d2 using (doc_id) where d2.lang = d.lang and l2.quality = 0 and d2.n_chars = d.n_chars) else 0 end) over (partition by lang) as w0,
-    0 as w, 0 as p, 0 as n from labels join documents d using (doc_id)) group by 1"""
 AUC_SQL = """with j as (select lang, n_chars, quality from labels join documents using (doc_id)),
     r as (select *, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2.0 as r from j)
     select lang, (sum(r) filter (quality = 1) - count(*) filter (quality = 1) * (count(*) filter (quality = 1) + 1) / 2.0)

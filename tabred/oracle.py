@@ -56,6 +56,8 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
         return sql
     head = ", ".join(f"{v} as ({views[v]})" for v in ordered)
     body = sql.lstrip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}"
     return f"with {head}, {body[5:]}" if body.lower().startswith("with ") else f"with {head} {body}"
 
 
