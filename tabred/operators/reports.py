@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tabred.functions.vectors import let
+
 # Bounds of the copy-count bins.
 COPY_BINS = ((100, "<100"), (1000, "100-999"), (10000, "1000-9999"))
 _one = F.lit(1)
@@ -90,11 +92,13 @@ def effective_edges(folded: str, terminal: str) -> Column:
 
     The reference graph has eight edges and at most five steps, so five rounds of closing suffice.
     """
-    ends = lambda e: (F.element_at(F.split(e, "_"), 1), F.element_at(F.split(e, "_"), 2))
+    source = lambda e: F.element_at(F.split(e, "_"), 1)
+    target = lambda e: F.element_at(F.split(e, "_"), 2)
+    into = lambda reach: F.filter(F.col(folded), lambda e: F.array_contains(reach, target(e)))
     reach = F.array(F.col(terminal))
     for _ in range(5):
-        reach = F.array_union(reach, F.transform(F.filter(F.col(folded), lambda e, r=reach: F.array_contains(r, ends(e)[1])), lambda e: ends(e)[0]))
-    return F.filter(F.col(folded), lambda e: F.array_contains(reach, ends(e)[1]))
+        reach = let(reach, lambda r: F.array_union(r, F.transform(into(r), source)))
+    return let(reach, into)
 
 
 def representatives(rows: DataFrame) -> DataFrame:
