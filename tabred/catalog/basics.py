@@ -1,8 +1,6 @@
 """Expressions, joins, aggregates, windows, ordering and checks, one small query each."""
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Window as W, functions as F
 
 from tabred import oracle
@@ -13,59 +11,69 @@ from tabred.operators import compare as C, evaluate as E, validate as VAL
 from tabred.plans import sweep, tpch
 from tabred.plans.joins import join_parts, role_part
 from tabred.plans.graphs import query_links
-from tabred.sources.tables import COMMENT_WORDS_1, load_tables, tpch_view
+from tabred.sources.tables import load_tables, tpch_view
 
 V = oracle.with_views
 c = F.col
 
 
-def v(table):
-    return lambda s, d: tpch_view(s, d)[table]
-
-
-def select(name, table, columns: dict, sql: str, where=None):
-    """Register a projection of one view table."""
+def select(name, table, columns, sql: str, where: str | None = None):
+    """Register a projection of one view table; ``columns`` builds the expressions once a session runs."""
     def fn(s, d):
         df = tpch_view(s, d)[table]
         df = df if where is None else df.where(where)
-        return df.select(*[e.alias(n) for n, e in columns.items()])
+        return df.select(*[e.alias(n) for n, e in columns().items()])
     register(name, fn, V(sql))
 
 
-# -- S1, S8, S9 -----------------------------------------------------------------------------------------
+def keys():
+    return {k: c(k) for k in _lk}
+
+
+def tpch_day():
+    return c("o_orderdate").cast("date")
+
+
+def words():
+    return F.split("p_name", " ")
+
+
+def price():
+    return X.hundredths("l_extendedprice")
+
+
+# -- S1 -----------------------------------------------------------------------------------------
 register("s1_parquet_scan", lambda s, d: load_tables(s, d, "customer")["customer"].where("c_nationkey = 3").select("c_custkey", "c_name"),
          "select c_custkey, c_name from customer where c_nationkey = 3")
 # -- P: expressions ---------------------------------------------------------------------------------------
-_lk = {"l_orderkey": c("l_orderkey"), "l_partkey": c("l_partkey"), "l_suppkey": c("l_suppkey"), "l_linenumber": c("l_linenumber")}
+_lk = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 _lks = ", ".join(_lk)
-select("p1_revenue_expressions", "lineitem", {**_lk, "revenue": X.revenue_units() / 10000.0, "charge": X.charge_units() / 1000000.0},
+select("p1_revenue_expressions", "lineitem", lambda: {**keys(), "revenue": X.revenue_units() / 10000.0, "charge": X.charge_units() / 1000000.0},
        f"select {_lks}, {oracle.REV} / 10000.0 as revenue, {oracle.CHARGE} / 1000000.0 as charge from v_lineitem")
-_od = c("o_orderdate").cast("date")
-select("p2_date_arithmetic", "orders", {"o_orderkey": c("o_orderkey"), "minus_90": F.date_sub(_od, 90), "plus_3_months": F.add_months(_od, 3), "plus_1_year": F.add_months(_od, 12)},
+select("p2_date_arithmetic", "orders", lambda: {"o_orderkey": c("o_orderkey"), "minus_90": F.date_sub(tpch_day(), 90), "plus_3_months": F.add_months(tpch_day(), 3), "plus_1_year": F.add_months(tpch_day(), 12)},
        """select o_orderkey, o_orderdate - 90 as minus_90, cast(o_orderdate + interval 3 month as date) as plus_3_months, cast(o_orderdate + interval 1 year as date) as plus_1_year from v_orders""")
-select("p3_year", "orders", {"o_orderkey": c("o_orderkey"), "y": F.year("o_orderdate").cast("long")}, "select o_orderkey, cast(year(o_orderdate) as bigint) as y from v_orders")
-select("p4_text_tests", "part", {"p_partkey": c("p_partkey"), "ends": c("p_type").endswith("MO"), "starts": c("p_type").startswith("PRO"), "has": c("p_name").contains("blue")},
+select("p3_year", "orders", lambda: {"o_orderkey": c("o_orderkey"), "y": F.year("o_orderdate").cast("long")}, "select o_orderkey, cast(year(o_orderdate) as bigint) as y from v_orders")
+select("p4_text_tests", "part", lambda: {"p_partkey": c("p_partkey"), "ends": c("p_type").endswith("MO"), "starts": c("p_type").startswith("PRO"), "has": c("p_name").contains("blue")},
        "select p_partkey, p_type like '%MO' as ends, starts_with(p_type, 'PRO') as starts, contains(p_name, 'blue') as has from part")
-select("p5_regex_full_match", "supplier", {"s_suppkey": c("s_suppkey"), "hit": c("s_comment").rlike("^.*Customer.*Complaints.*$")},
+select("p5_regex_full_match", "supplier", lambda: {"s_suppkey": c("s_suppkey"), "hit": c("s_comment").rlike("^.*Customer.*Complaints.*$")},
        "select s_suppkey, regexp_full_match(s_comment, '.*Customer.*Complaints.*') as hit from v_supplier")
-select("p6_two_word_pattern", "orders", {"o_orderkey": c("o_orderkey"), "hit": tpch.like_two_words(c("o_comment"), "%special%requests%")},
+select("p6_two_word_pattern", "orders", lambda: {"o_orderkey": c("o_orderkey"), "hit": tpch.like_two_words(c("o_comment"), "%special%requests%")},
        "select o_orderkey, o_comment like '%special%requests%' as hit from v_orders")
-select("p7_substring", "customer", {"c_custkey": c("c_custkey"), "code": F.substring("c_phone", 1, 2)}, "select c_custkey, substr(c_phone, 1, 2) as code from v_customer")
-select("p8_in_list", "part", {"p_partkey": c("p_partkey")}, "select p_partkey from part where p_size in (1, 5, 9, 22)", c("p_size").isin(1, 5, 9, 22))
-select("p9_null_default", "supplier", {"s_suppkey": c("s_suppkey"), "missing": F.nullif(c("s_suppkey") % 3, F.lit(0)).isNull(), "value": F.coalesce(F.nullif(c("s_suppkey") % 3, F.lit(0)), F.lit(-1))},
+select("p7_substring", "customer", lambda: {"c_custkey": c("c_custkey"), "code": F.substring("c_phone", 1, 2)}, "select c_custkey, substr(c_phone, 1, 2) as code from v_customer")
+select("p8_in_list", "part", lambda: {"p_partkey": c("p_partkey")}, "select p_partkey from part where p_size in (1, 5, 9, 22)", "p_size in (1, 5, 9, 22)")
+select("p9_null_default", "supplier", lambda: {"s_suppkey": c("s_suppkey"), "missing": F.nullif(c("s_suppkey") % 3, F.lit(0)).isNull(), "value": F.coalesce(F.nullif(c("s_suppkey") % 3, F.lit(0)), F.lit(-1))},
        "select s_suppkey, nullif(s_suppkey % 3, 0) is null as missing, coalesce(nullif(s_suppkey % 3, 0), -1) as value from supplier")
-select("p10_case_when", "orders", {"o_orderkey": c("o_orderkey"), "high": F.when(c("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)},
+select("p10_case_when", "orders", lambda: {"o_orderkey": c("o_orderkey"), "high": F.when(c("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)},
        "select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 else 0 end as high from orders")
-select("p11_integer_percent", "lineitem", {**_lk, "near": F.abs(X.hundredths("l_discount") - 6) <= 1},
+select("p11_integer_percent", "lineitem", lambda: {**keys(), "near": F.abs(X.hundredths("l_discount") - 6) <= 1},
        f"select {_lks}, abs({oracle.cents('l_discount')} - 6) <= 1 as near from lineitem")
-select("p12_replace", "part", {"p_partkey": c("p_partkey"), "name": F.replace("p_name", F.lit(" "), F.lit(""))}, "select p_partkey, replace(p_name, ' ', '') as name from part")
-_words = F.split("p_name", " ")
-select("p13_list_operations", "part", {"p_partkey": c("p_partkey"), "kept": F.size(F.filter(_words, lambda w: w != "")), "tail": F.array_join(F.slice(_words, 2, 100), " "),
-                                       "any_o": F.exists(_words, lambda w: w.contains("o"))},
+select("p12_replace", "part", lambda: {"p_partkey": c("p_partkey"), "name": F.replace("p_name", F.lit(" "), F.lit(""))}, "select p_partkey, replace(p_name, ' ', '') as name from part")
+select("p13_list_operations", "part", lambda: {"p_partkey": c("p_partkey"), "kept": F.size(F.filter(words(), lambda w: w != "")), "tail": F.array_join(F.slice(words(), 2, 100), " "),
+                                       "any_o": F.exists(words(), lambda w: w.contains("o"))},
        """select p_partkey, cast(len(list_filter(string_split(p_name, ' '), lambda w: w <> '')) as int) as kept, array_to_string(string_split(p_name, ' ')[2:], ' ') as tail,
           len(list_filter(string_split(p_name, ' '), lambda w: contains(w, 'o'))) > 0 as any_o from part""")
-select("p14_concat_lists", "part", {"p_partkey": c("p_partkey"), "all": F.array_join(F.aggregate(F.array(_words, F.array("p_brand")), F.array().cast("array<string>"), lambda a, b: F.concat(a, b)), "/"),
-                                    "flat": F.size(F.flatten(F.array(_words, F.array("p_brand"))))},
+select("p14_concat_lists", "part", lambda: {"p_partkey": c("p_partkey"), "all": F.array_join(F.aggregate(F.array(words(), F.array("p_brand")), F.array().cast("array<string>"), lambda a, b: F.concat(a, b)), "/"),
+                                    "flat": F.size(F.flatten(F.array(words(), F.array("p_brand"))))},
        """select p_partkey, array_to_string(list_concat(string_split(p_name, ' '), [p_brand]), '/') as "all", cast(len(list_concat(string_split(p_name, ' '), [p_brand])) as int) as flat from part""")
 register("p15_structs_and_unwind",
          lambda s, d: tpch_view(s, d)["orders"].select("o_orderkey", F.inline(F.array(F.struct(F.lit("status").alias("field"), c("o_orderstatus").alias("value")),
@@ -75,7 +83,7 @@ register("p16_property_bag",
          lambda s, d: tpch_view(s, d)["supplier"].withColumn("s_phone", F.when(c("s_suppkey") % 2 == 0, c("s_phone")))
          .select("s_suppkey", F.array_join(F.sort_array(F.map_keys(K.property_bag(tpch_view(s, d)["supplier"], ["s_name", "s_phone"]))), ",").alias("keys")),
          "select s_suppkey, case when s_suppkey % 2 = 0 then 's_name,s_phone' else 's_name' end as keys from supplier")
-select("p19_tokens", "part", {"p_partkey": c("p_partkey"), "tokens": F.array_join(K.tokens("Part", "p_name"), ";")},
+select("p19_tokens", "part", lambda: {"p_partkey": c("p_partkey"), "tokens": F.array_join(K.tokens("Part", "p_name"), ";")},
        """select p_partkey, 'Part.p_name=' || lower(trim(p_name)) || ';' || array_to_string(list_transform(regexp_extract_all(lower(trim(p_name)), '\\w+'), lambda w: 'Part.p_name:word=' || w), ';') as tokens from part""")
 register("p20_missing_token",
          lambda s, d: tpch_view(s, d)["part"].withColumn("tag", F.when(c("p_size") > 25, c("p_brand")))
@@ -83,7 +91,7 @@ register("p20_missing_token",
          """with t as (select p_partkey, case when p_size > 25 then lower(p_brand) end as v from part), u as (select p_partkey, coalesce(v, '<MISSING>') as w, v from t)
             select p_partkey, 'Part.tag=' || w || ';' || array_to_string(list_transform(regexp_extract_all(w, '\\w+'), lambda x: 'Part.tag:word=' || x), ';') as with_placeholder,
             case when v is null then '' else 'Part.tag=' || v || ';' || array_to_string(list_transform(regexp_extract_all(v, '\\w+'), lambda x: 'Part.tag:word=' || x), ';') end as without from u""")
-select("p21_value_correction", "nation", {"n_nationkey": c("n_nationkey"), "n_name": K.correct("n_name")}, "select n_nationkey, n_name || ' [corrected]' as n_name from nation")
+select("p21_value_correction", "nation", lambda: {"n_nationkey": c("n_nationkey"), "n_name": K.correct("n_name")}, "select n_nationkey, n_name || ' [corrected]' as n_name from nation")
 for _q in (1, 3, 6, 12, 14):
     _sets = sweep.parameter_sets(_q, 5 if _q in (3, 12) else 50, 20260818)
     register(f"p22_parameter_sweep_q{_q}", lambda s, d, q=_q, p=_sets: sweep.run_param_sweep(tpch_view(s, d), q, p),
@@ -139,21 +147,19 @@ register("j16_cycle_closing_predicates", lambda s, d: join_parts([role_part(tpch
          "select s_suppkey, n_name, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 
 # -- A: aggregates ---------------------------------------------------------------------------------------------
-_price = X.hundredths("l_extendedprice")
-register("a1_grouped_aggregates", lambda s, d: tpch_view(s, d)["lineitem"].groupBy("l_returnflag").agg(X.exact_sum(_price, 2).alias("s"), F.avg("l_quantity").alias("a"),
+register("a1_grouped_aggregates", lambda s, d: tpch_view(s, d)["lineitem"].groupBy("l_returnflag").agg(X.exact_sum(price(), 2).alias("s"), F.avg("l_quantity").alias("a"),
          F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.count(F.lit(1)).alias("n")),
          f"select l_returnflag, {oracle.total(oracle.cents('l_extendedprice'), 2)} as s, avg(l_quantity) as a, min(l_quantity) as lo, max(l_quantity) as hi, count(*) as n from lineitem group by 1")
 register("a2_count_distinct", lambda s, d: tpch_view(s, d)["lineitem"].groupBy("l_returnflag").agg(F.countDistinct("l_suppkey").alias("suppliers")),
          "select l_returnflag, count(distinct l_suppkey) as suppliers from lineitem group by 1")
 register("a3_conditional_sum", lambda s, d: tpch_view(s, d)["orders"].groupBy("o_orderstatus").agg(F.sum(F.when(c("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("urgent")),
          "select o_orderstatus, cast(sum(case when o_orderpriority = '1-URGENT' then 1 else 0 end) as bigint) as urgent from orders group by 1")
-register("a4_null_on_empty", lambda s, d: tpch_view(s, d)["lineitem"].where("l_quantity > 1000").agg(X.exact_sum(_price, 2).alias("total"), F.count(F.lit(1)).alias("n")),
+register("a4_null_on_empty", lambda s, d: tpch_view(s, d)["lineitem"].where("l_quantity > 1000").agg(X.exact_sum(price(), 2).alias("total"), F.count(F.lit(1)).alias("n")),
          "select cast(null as double) as total, count(*) as n from lineitem where l_quantity > 1000")
 register("a5_having", lambda s, d: tpch_view(s, d)["orders"].groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where(c("n") > 14), "select o_custkey, count(*) as n from orders group by 1 having count(*) > 14")
 register("a6_two_level", lambda s, d: tpch_view(s, d)["orders"].groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("customers")),
          "select n, count(*) as customers from (select count(*) as n from orders group by o_custkey) group by 1")
-_air = F.when(c("l_shipmode") == "AIR", _price).otherwise(F.lit(0))
-register("a7_ratio_of_sums", lambda s, d: tpch_view(s, d)["lineitem"].groupBy("l_returnflag").agg((X.exact_sum(_air, 2) / X.exact_sum(_price, 2)).alias("share")),
+register("a7_ratio_of_sums", lambda s, d: tpch_view(s, d)["lineitem"].groupBy("l_returnflag").agg((X.exact_sum(F.when(c("l_shipmode") == "AIR", price()).otherwise(F.lit(0)), 2) / X.exact_sum(price(), 2)).alias("share")),
          V(f"""select l_returnflag, {oracle.total("case when l_shipmode = 'AIR' then " + oracle.cents('l_extendedprice') + " else 0 end", 2)} / {oracle.total(oracle.cents('l_extendedprice'), 2)} as share from v_lineitem group by 1"""))
 register("a8_single_variant", lambda s, d: tpch_view(s, d)["orders"].groupBy("o_custkey").agg((F.min(F.struct("o_orderstatus", "o_orderpriority")) == F.max(F.struct("o_orderstatus", "o_orderpriority"))).alias("one")),
          "select o_custkey, count(distinct (o_orderstatus, o_orderpriority)) = 1 as one from orders group by 1")

@@ -7,7 +7,6 @@ from tabred.functions.vectors import let
 
 # Bounds of the copy-count bins.
 COPY_BINS = ((100, "<100"), (1000, "100-999"), (10000, "1000-9999"))
-_one = F.lit(1)
 
 
 def _c(name: str) -> Column:
@@ -16,7 +15,7 @@ def _c(name: str) -> Column:
 
 def _mean_of_all(value: Column) -> Column:
     """Mean that is null as soon as one value of the group is missing."""
-    return F.when(F.count(value) == F.count(_one), F.avg(value))
+    return F.when(F.count(value) == F.count("*"), F.avg(value))
 
 
 def observations(records: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def observations(records: DataFrame) -> DataFrame:
 def strategy_means(records: DataFrame) -> DataFrame:
     """Means per strategy; null when any run lacks the value, a lower bound when any run was capped."""
     return (observations(records).groupBy("query_id", "template", "strategy").agg(
-        F.count(_one).alias("runs"), _mean_of_all(_c("mv_create_time_ms")).alias("build_ms"),
+        F.count("*").alias("runs"), _mean_of_all(_c("mv_create_time_ms")).alias("build_ms"),
         _mean_of_all(_c("baseline.client_time_ms")).alias("baseline_ms"), _mean_of_all(_c("observed")).alias("template_ms"),
         F.max("is_bound").alias("_any_bound"))
         .withColumn("lower_bound", _c("template_ms").isNotNull() & _c("_any_bound")).drop("_any_bound"))
@@ -38,9 +37,9 @@ def strategy_means(records: DataFrame) -> DataFrame:
 def query_summary(records: DataFrame) -> DataFrame:
     """Equal-weight mean over the complete strategies of each query: times, saving, speed-up, build time."""
     means = strategy_means(records)
-    complete = F.when(_c("build_ms").isNotNull() & _c("baseline_ms").isNotNull() & _c("template_ms").isNotNull(), _one)
+    complete = F.when(_c("build_ms").isNotNull() & _c("baseline_ms").isNotNull() & _c("template_ms").isNotNull(), F.lit(1))
     rows = means.groupBy("query_id").agg(
-        F.count(_one).alias("strategies"), F.count(complete).alias("usable"), F.avg(F.when(complete == 1, _c("baseline_ms"))).alias("baseline_ms"),
+        F.count("*").alias("strategies"), F.count(complete).alias("usable"), F.avg(F.when(complete == 1, _c("baseline_ms"))).alias("baseline_ms"),
         F.avg(F.when(complete == 1, _c("template_ms"))).alias("template_ms"), F.avg(F.when(complete == 1, _c("build_ms"))).alias("build_ms"),
         F.coalesce(F.max(F.when(complete == 1, _c("lower_bound"))), F.lit(False)).alias("lower_bound"))
     return (rows.withColumn("saving_ms", _c("template_ms") - _c("baseline_ms")).withColumn("speed_up", F.try_divide(_c("template_ms"), _c("baseline_ms"))))
@@ -57,10 +56,10 @@ def faster_slower(records: DataFrame) -> DataFrame:
 def validate_records(records: DataFrame) -> DataFrame:
     """Violations: [strategy, problem, n]: missing fields, times that are not positive, uneven numbers of runs."""
     def problems(name: str, condition: Column) -> DataFrame:
-        return records.where(condition).groupBy("strategy").agg(F.count(_one).alias("n")).select("strategy", F.lit(name).alias("problem"), "n")
+        return records.where(condition).groupBy("strategy").agg(F.count("*").alias("n")).select("strategy", F.lit(name).alias("problem"), "n")
     missing = problems("missing field", _c("query_id").isNull() | _c("strategy").isNull() | _c("baseline").isNull() | _c("template_result").isNull())
     negative = problems("time not positive", (_c("baseline.client_time_ms") <= 0) | (_c("template_result.client_time_ms") <= 0))
-    runs = records.groupBy("query_id", "strategy").agg(F.count(_one).alias("n"))
+    runs = records.groupBy("query_id", "strategy").agg(F.count("*").alias("n"))
     spread = runs.groupBy(F.col("query_id").alias("_q")).agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low <> high")
     uneven = runs.join(spread, F.col("query_id") == F.col("_q")).select("strategy", F.lit("uneven runs").alias("problem"), "n")
     return missing.unionAll(negative).unionAll(uneven)
@@ -118,7 +117,7 @@ def sf_influence(samples: DataFrame, baseline: DataFrame) -> DataFrame:
     cuts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     return both.groupBy("sf", "strategy").agg(
         *[F.percentile("pct", q).alias(f"{n}_pct") for n, q in cuts.items()], *[F.percentile("speed_up", q).alias(f"{n}_speed_up") for n, q in cuts.items()],
-        F.count(_one).alias("samples"))
+        F.count("*").alias("samples"))
 
 
 def case_rows(samples: DataFrame, baseline: DataFrame, group: int) -> DataFrame:
@@ -137,7 +136,7 @@ def speedup_bins(cases: DataFrame) -> DataFrame:
     for bound, name in COPY_BINS[1:]:
         bin_ = bin_.when(_c("copies") < bound, name)
     return (cases.withColumn("bin", bin_.otherwise(">=10000")).withColumn("speed_up", _c("d_median_ms") / _c("n_median_ms"))
-            .groupBy("bin").agg(F.count(_one).alias("groups"), F.percentile("speed_up", 0.5).alias("median_speed_up")))
+            .groupBy("bin").agg(F.count("*").alias("groups"), F.percentile("speed_up", 0.5).alias("median_speed_up")))
 
 
 def update_summary(records: DataFrame) -> DataFrame:
@@ -154,7 +153,7 @@ def sf1_summary(records: DataFrame) -> DataFrame:
     """Per strategy: runs, base mean and median, completed mean, capped, over limit, mean with bounds, errors."""
     status, done = _c("template_result.status"), _c("template_result.client_time_ms")
     return records.groupBy("strategy").agg(
-        F.count(_one).alias("runs"), F.avg("baseline.client_time_ms").alias("base_mean_ms"), F.percentile("baseline.client_time_ms", 0.5).alias("base_median_ms"),
+        F.count("*").alias("runs"), F.avg("baseline.client_time_ms").alias("base_mean_ms"), F.percentile("baseline.client_time_ms", 0.5).alias("base_median_ms"),
         F.avg(done).alias("done_mean_ms"), F.percentile(done, 0.5).alias("done_median_ms"), F.count(F.when(status == "capped", 1)).alias("capped"),
         F.count(F.when(status == "completed_over_limit", 1)).alias("over_limit"),
         F.avg(F.coalesce("template_result.client_time_lower_bound_ms", done)).alias("bound_mean_ms"),
