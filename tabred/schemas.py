@@ -59,12 +59,12 @@ REFERENCES = (
 )
 REFERENCE_BY_CODE = {r.code: r for r in REFERENCES}
 
-# dbgen numbers the lines of an order; the driver's lineitem repeats line numbers, so there the
-# part and supplier keys complete the key (see README).
+# dbgen numbers the lines of an order. The driver's lineitem repeats line numbers, so there the part,
+# the supplier and the quantity complete the key (see README).
 TPCH_KEYS = {"L": ("l_orderkey", "l_linenumber"), "PS": ("ps_partkey", "ps_suppkey"),
              "P": ("p_partkey",), "O": ("o_orderkey",), "C": ("c_custkey",), "S": ("s_suppkey",),
              "N": ("n_nationkey",), "R": ("r_regionkey",)}
-KEYS = {**TPCH_KEYS, "L": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")}
+KEYS = {**TPCH_KEYS, "L": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")}
 
 # Columns whose values the update experiments change.
 UPDATE_COLUMN = {"PS": "ps_comment", "P": "p_comment", "O": "o_comment", "C": "c_comment",
