@@ -98,8 +98,12 @@ def discover_fds(df: DataFrame, min_support: int = MIN_SUPPORT, min_coverage: fl
     """
     cols = df.columns
     text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    spread = text.select("*", F.inline(F.array(*[F.struct(F.lit(c).alias("_x"), F.col(c).alias("_v")) for c in cols]))) \
-                 .where(F.col("_v").isNotNull())
+    long = lambda xs: F.inline(F.array(*[F.struct(F.lit(c).alias("_x"), F.col(c).alias("_v")) for c in xs]))
+    # Columns without enough repeated values cannot be X; only their names come to the driver.
+    repeated = (text.select(long(cols)).where(F.col("_v").isNotNull()).groupBy("_x", "_v").agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("_x").agg(F.count(F.when(F.col("n") > 1, 1)).alias("n")).where(F.col("n") >= min_repeated))
+    candidates = sorted(r["_x"] for r in repeated.select("_x").collect()) or cols[:1]
+    spread = text.select("*", long(candidates)).where(F.col("_v").isNotNull())
     groups = spread.groupBy("_x", "_v").agg(
         *[F.count(c).alias(f"n_{c}") for c in cols], *[F.min(c).alias(f"lo_{c}") for c in cols],
         *[F.max(c).alias(f"hi_{c}") for c in cols])

@@ -8,7 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], DataFrame] = {}
+_scans: dict[tuple[str, str], DataFrame] = {}
 _local_folder: dict[str, str] = {}
 
 
@@ -50,8 +51,16 @@ def stored(spark: SparkSession, name: str, source: str, build: Callable[[], Data
     path = f"{shared_folder(spark)}/tabred/{app}/{tag}/{name}"
     if (app, path) not in _written:
         build().write.mode("overwrite").parquet(path)
-        _written[app, path] = path
-    return spark.read.parquet(path)
+        _written[app, path] = spark.read.parquet(path)
+    return _written[app, path]
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """Lazy parquet scan; the schema is read from the files once per application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _scans:
+        _scans[key] = spark.read.parquet(path)
+    return _scans[key]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabred.session import stored
+from tabred.session import scan, stored
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -19,7 +19,7 @@ CONTAINERS = ("SM CASE", "SM BOX", "SM PACK", "SM PKG", "MED BAG", "MED BOX", "M
 
 def load_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     """One lazily read DataFrame per parquet table."""
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names or DRIVER_TABLES}
+    return {n: scan(spark, f"{folder}/{n}.parquet") for n in names or DRIVER_TABLES}
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
