@@ -173,8 +173,9 @@ def streamed_updates(s, d):
     return feeds.last_version(s, f"{root}/table", q.lastProgress["batchId"] + 1)
 
 
-register("t1_stream_updates", lambda s, d: streamed_updates(s, d).select("c_custkey", "c_nationkey", (c("n_comment").startswith("event ")).alias("corrected")),
-         "select c_custkey, c_nationkey, c_nationkey < 20 as corrected from customer")
+register("t1_stream_updates", lambda s, d: streamed_updates(s, d).select("c_custkey", "c_nationkey", "n_comment"),
+         """select c_custkey, c_nationkey, coalesce('event ' || e, 'nation ' || c_nationkey) as n_comment from customer
+            left join (select user_id % 20 as k, max(event_id) as e from events group by 1) on k = c_nationkey""")
 
 
 def monitored(s, d):

@@ -1,11 +1,11 @@
 """Two of the batch jobs as streams: corrections to a folded table, and a monitor of conflicting groups."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tabred.operators.updates import apply_updates
-
 
 def latest_changes(feed: DataFrame, keys: list[str], value: str, time: str) -> DataFrame:
     """Last change per key of a batch: [keys..., a1, changed_at]."""
@@ -17,13 +17,21 @@ def stream_updates(feed: DataFrame, target_path: str, checkpoint: str, locator:
 
     Version ``n`` is built from version ``n - 1`` and written under ``target_path/v=n``; a batch that is
     replayed after a failure writes the same version again, so each change counts once. Version 0 is the
-    initial table.
+    initial table. Every row remembers when it last changed, so a change that arrives late, in a later
+    batch, does not undo a newer one.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{target_path}/v={batch_id}")
-        changes = latest_changes(batch, list(locator), value, time)
-        apply_updates(before, changes, locator, column).write.mode("overwrite").parquet(f"{target_path}/v={batch_id + 1}")
+        if "changed_at" not in before.columns:
+            before = before.withColumn("changed_at", F.lit(None).cast(batch.schema[time].dataType))
+        changes = latest_changes(batch, list(locator), value, time).select(
+            *[F.col(k).alias(f"_u_{k}") for k in locator], F.col("a1").alias("_a1"), F.col("changed_at").alias("_at"))
+        same = reduce(lambda a, b: a & b, [F.col(place) == F.col(f"_u_{k}") for k, place in locator.items()])
+        newer = F.col("_at").isNotNull() & (F.col("changed_at").isNull() | (F.col("_at") >= F.col("changed_at")))
+        after = before.join(changes, same, "left").withColumns({
+            column: F.when(newer, F.col("_a1")).otherwise(F.col(column)), "changed_at": F.when(newer, F.col("_at")).otherwise(F.col("changed_at"))})
+        after.select(*before.columns).write.mode("overwrite").parquet(f"{target_path}/v={batch_id + 1}")
 
     return (feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
