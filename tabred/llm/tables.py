@@ -3,12 +3,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabred.session import shared_folder
 
 #: Rows that one numbering task sorts, about.
 ROWS_PER_BIN = 50_000
+#: Copies of one row that are written out by one task.
+COPIES_PER_TASK = 50_000
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -38,28 +40,31 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int | None = None) -> DataFrame:
-    """Add ``name``: 0, 1, 2, ... within ``keys``, without a task that sees a whole group.
+def digits52(text: Column) -> Column:
+    """The first 52 bits of a text's md5 as a number; null text counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 13), 16, 10).cast("long")
 
-    Rows are dealt into bins by a hash of the row's place in the input; a group's bins are counted, their
-    running totals are the first numbers, and each bin is numbered alone. ``df`` must be a saved table, so that
-    both passes see the same rows in the same files. Equal rows get different numbers; an empty table stays empty.
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add ``name``: 0, 1, 2, ... within ``keys`` (never null), in the order of a hash of the whole row.
+
+    No task sees a whole group: equal rows are counted before they are moved, the hash range is cut into bins, a
+    group's bins are added up, and each bin is numbered alone, beginning at its running total. Equal rows get
+    neighbouring numbers. The result does not depend on bins or partitions; an empty table stays empty.
     """
-    rows = df.count() if rows is None else rows
-    bins = max(1, -(-rows // ROWS_PER_BIN), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.withColumn("bin__", F.pmod(F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()), F.lit(bins)).cast("int"))
-    dealt = saved(dealt)
-    counts = dealt.groupBy(*keys, "bin__").agg(F.count("*").alias("n__"))
-    first = counts.withColumn("first__", F.sum("n__").over(
-        Window.partitionBy(*keys).orderBy("bin__").rowsBetween(Window.unboundedPreceding, -1)))
-    first = first.select(*[F.col(k).alias(f"{k}__k") for k in keys], F.col("bin__").alias("bin__k"),
-                         F.coalesce("first__", F.lit(0)).alias("first__"))
-    within = Window.partitionBy(*keys, "bin__").orderBy(*order)
-    same = [F.col(k).eqNullSafe(F.col(f"{k}__k")) for k in keys] + [F.col("bin__") == F.col("bin__k")]
-    ranked = dealt.withColumn("place__", F.row_number().over(within) - 1)
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    return (ranked.join(first, condition)
-            .withColumn(name, (F.col("first__") + F.col("place__")).cast("long"))
-            .select(*df.columns, name))
+    spark, columns = df.sparkSession, df.columns
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    rows = saved(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n__")).withColumn("h__", digits52(text)))
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_BIN))
+    rows = rows.withColumn("bin__", F.shiftright(F.col("h__"), 26) * bins / 2 ** 26).withColumn("bin__", F.col("bin__").cast("int"))
+    sums = rows.groupBy(*keys, "bin__").agg(F.sum("n__").alias("of_bin__"))
+    sums = sums.select(*keys, "bin__", (F.sum("of_bin__").over(Window.partitionBy(*keys).orderBy("bin__")) - F.col("of_bin__")).alias("first__"))
+    order = Window.partitionBy(*keys, "bin__").orderBy("h__", *columns)
+    placed = rows.withColumn("place__", F.sum("n__").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n__"))
+    placed = placed.join(sums, [*keys, "bin__"]).withColumn("from__", F.col("first__") + F.col("place__"))
+    once = placed.where("n__ = 1").select(*columns, F.col("from__").alias(name))
+    many = placed.where("n__ > 1").withColumn("part__", F.explode(F.sequence(F.lit(0), ((F.col("n__") - 1) / COPIES_PER_TASK).cast("int"))))
+    many = many.repartition(bins, "from__", "part__")
+    low = F.col("from__") + F.col("part__") * COPIES_PER_TASK
+    high = F.least(low + COPIES_PER_TASK, F.col("from__") + F.col("n__")) - 1
+    return once.unionByName(many.select(*columns, F.explode(F.sequence(low, high)).alias(name)))
