@@ -4,9 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabred.llm import bpe, packing, sharding
+from tabred.llm import bpe, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_packed_sequences")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_secret_ownership")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """A source owns what it publishes; its texts of one language count as one repository."""
+    docs = table(spark, folder, "documents")
+    return secrets.find_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
