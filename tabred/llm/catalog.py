@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabred.llm import bpe, packing, secrets, sharding
+from tabred.llm import bpe, packing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     """A source owns what it publishes; its texts of one language count as one repository."""
     docs = table(spark, folder, "documents")
     return secrets.find_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+@query("op10_line_field")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -79,26 +79,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def windows(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the k words from each word on, whether they all lie in its text)."""
+    total = np.zeros(len(words), U)
+    for j in range(min(k, len(words))):
+        total[:len(words) - j] += words[j:] * _SPREAD[j % 16] * U(2 * (j // 16) + 1)
+    last = np.repeat(bounds[1:], np.diff(bounds)) - k
+    return mix(total), np.arange(len(words)) <= last
+
+
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds per text) of all k-word shingles in order; a shorter text is one shingle as a whole."""
     lengths = np.diff(bounds)
     count = np.where(lengths >= k, lengths - k + 1, (lengths > 0).astype(lengths.dtype))
-    out_bounds = np.concatenate(([0], np.cumsum(count)))
-    if not len(words):
-        return np.zeros(0, U), out_bounds
-    total = np.zeros(len(words), U)
-    for j in range(k):
-        total[:len(words) - j] += words[j:] * _SPREAD[j % 16] * U(2 * (j // 16) + 1)
-    total = mix(total)
-    last = np.repeat(bounds[1:], lengths) - k       # last start of a whole shingle
-    keep = np.arange(len(words)) <= last
-    short = np.flatnonzero((lengths > 0) & (lengths < k))
-    for d in short:
+    total, keep = windows(words, bounds, k)
+    for d in np.flatnonzero((lengths > 0) & (lengths < k)):
         own = words[bounds[d]:bounds[d + 1]]
         value = sum((int(w) * int(_SPREAD[j % 16]) for j, w in enumerate(own)), 7 * len(own))
         total[bounds[d]] = mix(np.array([value & (2 ** 64 - 1)], U))[0]
         keep[bounds[d]] = True
-    return total[keep], out_bounds
+    return total[keep], np.concatenate(([0], np.cumsum(count)))
 
 
 def distinct_sets(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
