@@ -134,7 +134,8 @@ class Field:
 def fit(features: np.ndarray, bounds: np.ndarray, content: np.ndarray, rounds: int = 150, hold: float = 2.0) -> Field:
     """Field of greatest posterior for sequences whose lines all have their text's label.
 
-    Gradient ascent with forward and backward sums over all sequences at once; ``hold`` is the pull to the prior. No
+    Gradient ascent with forward and backward sums over all sequences at once; ``hold`` is the pull to the prior.
+    Labels of whole texts say nothing of changes inside one, so the steps between states stay as they are given. No
     sequences at all, or one label only, leave the prior.
     """
     length = np.diff(bounds)
@@ -154,10 +155,6 @@ def fit(features: np.ndarray, bounds: np.ndarray, content: np.ndarray, rounds: i
     share = np.zeros(len(target))
     for t, line in enumerate(lines):
         share[line] = balance[:active[t]]
-    moves = np.zeros((2, 2))
-    for t in range(1, most):
-        for s in (0, 1):
-            moves[s, s] += balance[:active[t]][label[:active[t]] == s].sum()
     speed, moment, square = 0.1, None, None
     for k in range(1, rounds + 1):
         score = features @ field.weights
@@ -171,7 +168,7 @@ def fit(features: np.ndarray, bounds: np.ndarray, content: np.ndarray, rounds: i
         total = np.zeros(len(label))
         for t in range(most):
             total[:active[t]] = np.logaddexp.reduce(forward[t], axis=1)
-        after, expected, chance = np.zeros((active[-1], 2)), np.zeros((2, 2)), np.zeros(len(target))
+        after, chance = np.zeros((active[-1], 2)), np.zeros(len(target))
         for t in range(most - 1, -1, -1):
             if len(after) < active[t]:
                 after = np.concatenate([after, np.zeros((active[t] - len(after), 2))])
@@ -179,16 +176,13 @@ def fit(features: np.ndarray, bounds: np.ndarray, content: np.ndarray, rounds: i
             if t:
                 emit = after.copy()
                 emit[:, 1] += score[lines[t]]
-                joint = forward[t - 1][:active[t], :, None] + field.steps[None] + emit[:, None, :] - total[:active[t], None, None]
-                expected += (np.exp(joint) * balance[:active[t], None, None]).sum(axis=0)
                 after = np.logaddexp.reduce(field.steps[None] + emit[:, None, :], axis=2)
         scale = 1.0 / len(label)
-        slope = np.concatenate([features.T @ ((target - chance) * share) * scale - hold * scale * (field.weights - PRIOR),
-                                ((moves - expected) * scale - hold * scale * (field.steps - PRIOR_STEPS)).ravel()])
+        slope = features.T @ ((target - chance) * share) * scale - hold * scale * (field.weights - PRIOR)
         moment = slope * 0.1 if moment is None else 0.9 * moment + 0.1 * slope
         square = slope ** 2 * 0.01 if square is None else 0.99 * square + 0.01 * slope ** 2
         step = speed * (moment / (1 - 0.9 ** k)) / (np.sqrt(square / (1 - 0.99 ** k)) + 1e-8)
-        field = Field(field.weights + step[:len(PRIOR)], field.steps + step[len(PRIOR):].reshape(2, 2))
+        field = Field(field.weights + step, field.steps)
     return field
 
 
