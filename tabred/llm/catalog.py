@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabred.llm import bpe, packing, quality, secrets, sharding
+from tabred.llm import bpe, packing, pii, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_line_field")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_weak_labels")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_private(table(spark, folder, "documents"))
