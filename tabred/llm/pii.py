@@ -270,7 +270,7 @@ def mask_private(docs: DataFrame, text: str = "text") -> DataFrame:
     length column ``n_chars``, where there is one, follows the text.
     """
     found, name = candidates(docs, text)
-    counted = saved(found.select(name).where(F.size(name) > 0))
+    counted = saved(found.select(name))                     # whole: a filter would be worked out inside every step above
     classifier = train(counted, name)
     drop(counted)
 
