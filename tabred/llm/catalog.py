@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabred.llm import bpe, packing, pii, quality, secrets, sharding
+from tabred.llm import bpe, html, packing, pii, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_weak_labels")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_private(table(spark, folder, "documents"))
+
+
+@query("op8_tag_path_ratios")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_pages(table(spark, folder, "pages"))
