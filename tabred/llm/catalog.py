@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabred.llm import bpe, html, packing, pii, quality, secrets, sharding
+from tabred.llm import bpe, html, neighbours, packing, pii, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_tag_path_ratios")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_pages(table(spark, folder, "pages"))
+
+
+@query("op4_near_vectors")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, folder, "embeddings"))
