@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabred.llm import bpe, html, neighbours, packing, pii, quality, secrets, sharding
+from tabred.llm import bpe, html, licenses, neighbours, packing, pii, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_near_vectors")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op3_license_compression")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
