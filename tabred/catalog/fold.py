@@ -23,12 +23,12 @@ def view(code: str) -> str:
 
 def fold_sql(root: str, mask: int, columns: list[str] | None = None) -> str:
     """Flat rows of a root as SQL."""
-    copies = fold.fold_copies(root, mask_codes(mask))
-    items = [f"{c.token}.{col} as {out}" for c in copies for col, out in c.kept.items() if columns is None or out in columns]
+    layout = fold.Layout(root, mask_codes(mask))
+    items = [f"{layout.token(p)}.{col} as {out}" for p in layout.paths for col, out in layout.stored(p).items() if columns is None or out in columns]
     text = f"{view(root)} {root}"
-    for c in copies[1:]:
-        on = " and ".join(f"{c.above.token}.{f} = {c.token}.{k}" for f, k in zip(c.reference.fields, KEYS[c.table]))
-        text += f" join {view(c.table)} {c.token} on {on}"
+    for p in layout.paths[1:]:
+        on = " and ".join(f"{layout.token(p[:-1])}.{f} = {layout.token(p)}.{k}" for k, f in layout.by_reference(p).items())
+        text += f" join {view(layout.end(p))} {layout.token(p)} on {on}"
     return f"select {', '.join(items)} from {text}"
 
 
@@ -51,10 +51,10 @@ register("d1_fold_orders", lambda s, d: fold.fold(t_(s, d), ORDERS)["O"].select(
 def lineage_sql(mask: int) -> str:
     parts = []
     for root in fold.folded_roots(mask_codes(mask)):
-        copies = fold.fold_copies(root, mask_codes(mask))
-        for c in copies:
-            parts.append(f"select '{root}' as root, {text_sql(copies[0].key_columns())} as row_key, '{c.token}' as token, "
-                         f"{text_sql(c.key_columns())} as source_key from ({fold_sql(root, mask)})")
+        layout = fold.Layout(root, mask_codes(mask))
+        for p in layout.paths:
+            parts.append(f"select '{root}' as root, {text_sql(layout.keys(()))} as row_key, '{layout.token(p)}' as token, "
+                         f"{text_sql(layout.keys(p))} as source_key from ({fold_sql(root, mask)})")
     return " union all ".join(parts)
 
 
@@ -64,10 +64,9 @@ register("d2_fold_lineage", lambda s, d: fold.fold_lineage(t_(s, d), ORDERS), V(
 def inherited_sql(mask: int) -> str:
     codes, parts = mask_codes(mask), []
     for root in fold.roots(codes):
-        for c in fold.fold_copies(root, codes):
-            for ref in (r for r in REFERENCES if r.source == c.table and r.code not in codes):
-                parts.append(f"select '{ref.code}' as type, '{root}' as source_root, {text_sql(KEYS[root])} as source_key, "
-                             f"'{ref.target}' as target_root, {text_sql([c.place[f] for f in ref.fields])} as target_key from ({fold_sql(root, mask)})")
+        for ref, columns in fold.Layout(root, codes).open_references():
+            parts.append(f"select '{ref.code}' as type, '{root}' as source_root, {text_sql(KEYS[root])} as source_key, "
+                         f"'{ref.target}' as target_root, {text_sql(columns)} as target_key from ({fold_sql(root, mask)})")
     return " union all ".join(parts)
 
 
@@ -91,14 +90,15 @@ def delta_sql(mask: int) -> str:
     filled = lambda cols: " + ".join(f"cast({c} is not null as bigint)" for c in cols)
     parts = []
     for r in folded:
-        outs = [o for c in fold.fold_copies(r, codes) for o in c.kept.values()]
+        layout = fold.Layout(r, codes)
+        outs = [o for p in layout.paths for o in layout.stored(p).values()]
         parts.append(f"select count(*) as n, 0 as e, sum({filled(outs)}) as k from ({fold_sql(r, mask)})")
     for c in gone:
         parts.append(f"select -count(*), 0, -sum({filled(fold.COLUMNS[c])}) from {view(c)}")
     for ref in REFERENCES:
         parts.append(f"select 0, -count(*), 0 from {view(ref.source)}")
     for r in fold.roots(codes):
-        times = sum(1 for c in fold.fold_copies(r, codes) for x in REFERENCES if x.source == c.table and x.code not in codes)
+        times = len(fold.Layout(r, codes).open_references())
         if times:
             parts.append(f"select 0, {times} * count(*), 0 from ({fold_sql(r, mask)})")
     return (f"select {mask} as mask, cast(sum(n) as bigint) as delta_nodes, cast(sum(e) as bigint) as delta_edges, "

@@ -1,8 +1,9 @@
 """De-normalise along a subset of the eight references, and rebuild the tables from the result."""
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
+from collections import Counter
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,50 +14,70 @@ Tables = dict[str, DataFrame]
 COLUMNS = {code: tuple(TBL_SCHEMAS[name].names) for code, name in TABLE_OF.items()}
 
 
-@dataclass
-class Copy:
-    """A table's place in a fold: the references that lead to it, and where its columns are kept.
+Path = tuple[str, ...]
 
-    ``kept`` maps own columns to columns of the flat row; ``place`` also covers the key columns of a
-    folded parent, which are not stored again but read from the child's reference columns.
+
+@dataclass(frozen=True)
+class Layout:
+    """Columns of the flat rows of ``root``. A place in them is the path of references that leads to it.
+
+    A key that a reference already holds is not kept again: such a column is the reference's own. Any other column
+    has its own name, with the place behind it (fixed form of output names) where a table is reached more than once.
     """
-    table: str
-    path: tuple[str, ...]
-    above: "Copy | None" = None
-    reference: Reference | None = None
-    kept: dict[str, str] = field(default_factory=dict)
-    place: dict[str, str] = field(default_factory=dict)
+    root: str
+    codes: tuple[str, ...]
+
+    @cached_property
+    def paths(self) -> list[Path]:
+        """All places, nearer ones first."""
+        found, level = [], [()]
+        while level:
+            found += level
+            level = [(*path, code) for path in level for code in self.codes if REFERENCE_BY_CODE[code].source == self.end(path)]
+        return found
+
+    @cached_property
+    def repeated(self) -> set[str]:
+        ends = [self.end(p) for p in self.paths]
+        return {t for t in ends if ends.count(t) > 1}
+
+    def end(self, path: Path) -> str:
+        return REFERENCE_BY_CODE[path[-1]].target if path else self.root
+
+    def token(self, path: Path) -> str:
+        return "__".join((self.end(path), *path))
+
+    def by_reference(self, path: Path) -> dict[str, str]:
+        """Key columns at a place, and the columns one place before that refer to them."""
+        return dict(zip(KEYS[self.end(path)], REFERENCE_BY_CODE[path[-1]].fields)) if path else {}
+
+    def column(self, path: Path, name: str) -> str:
+        """Flat column that holds a column of the table at a place."""
+        while name in (held := self.by_reference(path)):
+            path, name = path[:-1], held[name]
+        return f"{name}__{self.token(path).lower()}" if self.end(path) in self.repeated else name
+
+    def stored(self, path: Path) -> dict[str, str]:
+        """Columns kept at a place, with their flat names."""
+        return {c: self.column(path, c) for c in COLUMNS[self.end(path)] if c not in self.by_reference(path)}
+
+    def keys(self, path: Path) -> list[str]:
+        return [self.column(path, k) for k in KEYS[self.end(path)]]
 
-    @property
-    def token(self) -> str:
-        return "__".join((self.table, *self.path))
+    def places(self, table: str) -> list[Path]:
+        return [p for p in self.paths if self.end(p) == table]
 
-    def key_columns(self) -> list[str]:
-        return [self.place[k] for k in KEYS[self.table]]
+    def open_references(self) -> list[tuple[Reference, list[str]]]:
+        """References that are not folded, with the flat columns that hold them, place by place."""
+        return [(r, [self.column(p, f) for f in r.fields]) for p in self.paths for r in REFERENCES
+                if r.source == self.end(p) and r.code not in self.codes]
 
 
 def roots(codes: tuple[str, ...]) -> list[str]:
-    """Tables that keep a representation of their own: some incoming reference is not folded, or none exists."""
-    return [t for t in TABLE_OF if not (inc := [r for r in REFERENCES if r.target == t])
-            or any(r.code not in codes for r in inc)]
-
-
-def fold_copies(root: str, codes: tuple[str, ...]) -> list[Copy]:
-    """Places of all tables reachable from ``root`` over ``codes``, parents after their children."""
-    copies = [Copy(root, ())]
-    for copy in copies:
-        copies.extend(Copy(r.target, (*copy.path, r.code), copy, r)
-                      for r in REFERENCES if r.source == copy.table and r.code in codes)
-    times = {t: sum(c.table == t for c in copies) for t in TABLE_OF}
-    for copy in copies:
-        suffix = f"__{copy.token.lower()}" if times[copy.table] > 1 else ""
-        inherited = dict(zip(KEYS[copy.table], copy.reference.fields)) if copy.reference else {}
-        for column in COLUMNS[copy.table]:
-            if column in inherited:
-                copy.place[column] = copy.above.place[inherited[column]]
-            else:
-                copy.kept[column] = copy.place[column] = column + suffix
-    return copies
+    """Tables that stay tables: not all references to them are folded, or there are none."""
+    folded = Counter(REFERENCE_BY_CODE[c].target for c in codes)
+    every = Counter(r.target for r in REFERENCES)
+    return [t for t in TABLE_OF if not every[t] or folded[t] < every[t]]
 
 
 def _same(pairs: list[tuple[Column, Column]]) -> Column:
@@ -65,21 +86,19 @@ def _same(pairs: list[tuple[Column, Column]]) -> Column:
 
 def fold_root(t: Tables, root: str, codes: tuple[str, ...]) -> DataFrame:
     """Flat rows of one root. A parent takes in its own parents first, so each row is shuffled once per level."""
-    copies = fold_copies(root, codes)
-
-    def build(copy: Copy) -> DataFrame:
-        keys = {} if copy.above is None else {k: f"_key_{copy.token}_{k}" for k in KEYS[copy.table]}
-        frame = t[TABLE_OF[copy.table]].select(*[F.col(c).alias(o) for c, o in copy.kept.items()],
-                                               *[F.col(k).alias(o) for k, o in keys.items()])
-        own = {**copy.kept, **keys}
-        for parent in (c for c in copies if c.above is copy):
-            other = build(parent)
-            link = [(frame[own[f]], other[f"_key_{parent.token}_{k}"])
-                    for f, k in zip(parent.reference.fields, KEYS[parent.table])]
-            frame = frame.join(other, _same(link)).drop(*[f"_key_{parent.token}_{k}" for k in KEYS[parent.table]])
+    layout = Layout(root, codes)
+
+    def build(path: Path) -> DataFrame:
+        held = {k: f"_{layout.token(path)}_{k}" for k in layout.by_reference(path)}
+        names = {**layout.stored(path), **held}
+        frame = t[TABLE_OF[layout.end(path)]].select(*[F.col(c).alias(name) for c, name in names.items()])
+        for further in (p for p in layout.paths if p[:-1] == path and p):
+            parent, link = build(further), layout.by_reference(further)
+            keys = {k: f"_{layout.token(further)}_{k}" for k in link}
+            frame = frame.join(parent, _same([(frame[names[f]], parent[keys[k]]) for k, f in link.items()])).drop(*keys.values())
         return frame
 
-    return build(copies[0])
+    return build(())
 
 
 def fold(t: Tables, mask: int) -> dict[str, DataFrame]:
@@ -100,10 +119,10 @@ def fold_lineage(t: Tables, mask: int) -> DataFrame:
     """For every flat row the key of each source row it copies: [root, row_key, token, source_key]."""
     codes, parts = mask_codes(mask), []
     for root in folded_roots(codes):
-        copies = fold_copies(root, codes)
-        sources = F.array(*[F.struct(F.lit(c.token).alias("token"), row_text(c.key_columns()).alias("source_key")) for c in copies])
+        layout = Layout(root, codes)
+        sources = F.array(*[F.struct(F.lit(layout.token(p)).alias("token"), row_text(layout.keys(p)).alias("source_key")) for p in layout.paths])
         parts.append(fold_root(t, root, codes).select(
-            F.lit(root).alias("root"), row_text(copies[0].key_columns()).alias("row_key"), F.inline(sources)))
+            F.lit(root).alias("root"), row_text(layout.keys(())).alias("row_key"), F.inline(sources)))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -115,12 +134,10 @@ def inherited_edges(t: Tables, mask: int) -> DataFrame:
     codes, parts = mask_codes(mask), []
     for root in roots(codes):
         frame = fold_root(t, root, codes)
-        for copy in fold_copies(root, codes):
-            for ref in (r for r in REFERENCES if r.source == copy.table and r.code not in codes):
-                target = [copy.place[f] for f in ref.fields]
-                parts.append(frame.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in target])).select(
-                    F.lit(ref.code).alias("type"), F.lit(root).alias("source_root"), row_text(KEYS[root]).alias("source_key"),
-                    F.lit(ref.target).alias("target_root"), row_text(target).alias("target_key")))
+        for ref, target in Layout(root, codes).open_references():
+            parts.append(frame.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in target])).select(
+                F.lit(ref.code).alias("type"), F.lit(root).alias("source_root"), row_text(KEYS[root]).alias("source_key"),
+                F.lit(ref.target).alias("target_root"), row_text(target).alias("target_key")))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -130,9 +147,10 @@ def unfold(folds: dict[str, DataFrame], mask: int) -> dict[str, DataFrame]:
     retained = set(roots(codes)) - set(folded_roots(codes))
     found: dict[str, list[DataFrame]] = {}
     for root in folded_roots(codes):
-        for copy in (c for c in fold_copies(root, codes) if c.table not in retained):
-            found.setdefault(copy.table, []).append(
-                folds[root].select(*[F.col(copy.place[c]).alias(c) for c in COLUMNS[copy.table]]))
+        layout = Layout(root, codes)
+        for path in (p for p in layout.paths if layout.end(p) not in retained):
+            table = layout.end(path)
+            found.setdefault(table, []).append(folds[root].select(*[F.col(layout.column(path, c)).alias(c) for c in COLUMNS[table]]))
     return {table: reduce(DataFrame.unionByName, frames).dropDuplicates(list(KEYS[table]))
             for table, frames in found.items()}
 
@@ -149,13 +167,15 @@ def rebuilt_edges(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def participants(t: Tables, copy: Copy) -> DataFrame:
+def participants(t: Tables, layout: Layout, path: Path) -> DataFrame:
     """Source rows that reach a fold at this place: those that a participating child references."""
-    frame = t[TABLE_OF[copy.table]].select(*COLUMNS[copy.table])
-    if copy.above is None:
+    table = layout.end(path)
+    frame = t[TABLE_OF[table]].select(*COLUMNS[table])
+    if not path:
         return frame
-    child = participants(t, copy.above).select(*[F.col(f).alias(f"_c_{f}") for f in copy.reference.fields])
-    return frame.join(child, _same([(F.col(k), F.col(f"_c_{f}")) for f, k in zip(copy.reference.fields, KEYS[copy.table])]), "left_semi")
+    link = layout.by_reference(path)
+    child = participants(t, layout, path[:-1]).select(*[F.col(f).alias(f"_c_{f}") for f in link.values()])
+    return frame.join(child, _same([(F.col(k), F.col(f"_c_{f}")) for k, f in link.items()]), "left_semi")
 
 
 def check_lossless(t: Tables, mask: int) -> DataFrame:
@@ -164,8 +184,8 @@ def check_lossless(t: Tables, mask: int) -> DataFrame:
     rebuilt = unfold(fold(t, mask), mask)
     parts = []
     for table, frame in rebuilt.items():
-        places = [c for r in folded_roots(codes) for c in fold_copies(r, codes) if c.table == table]
-        source = reduce(DataFrame.unionByName, [participants(t, c) for c in places]).dropDuplicates(list(KEYS[table]))
+        layouts = [Layout(r, codes) for r in folded_roots(codes)]
+        source = reduce(DataFrame.unionByName, [participants(t, w, p) for w in layouts for p in w.places(table)]).dropDuplicates(list(KEYS[table]))
         parts.append(multiset_difference(frame, source).agg(F.count(F.lit(1)).alias("differing"))
                      .select(F.lit(table).alias("table"), "differing"))
     return reduce(DataFrame.unionAll, parts)
@@ -195,8 +215,7 @@ def structural_delta(t: Tables, mask: int) -> DataFrame:
     for root in roots(codes):
         frame = dict(changed).get(root)
         frame = t[TABLE_OF[root]] if frame is None else frame
-        places = [[c.place[f] for f in r.fields] for c in fold_copies(root, codes) for r in REFERENCES
-                  if r.source == c.table and r.code not in codes]
+        places = [columns for _, columns in Layout(root, codes).open_references()]
         if places:
             sides.append(frame.agg(reduce(lambda a, b: a + b, [F.coalesce(present(p), F.lit(0)) for p in places]).alias("n"))
                          .select(*edge(F.col("n"))))
@@ -213,10 +232,10 @@ def copies_per_key(t: Tables, mask: int, table: str) -> DataFrame:
     """How many flat rows hold each row of ``table``, over all its places: [key..., copies]."""
     codes, parts = mask_codes(mask), []
     for root in folded_roots(codes):
-        for copy in fold_copies(root, codes):
-            if copy.table == table:
-                parts.append(fold_root(t, root, codes).groupBy(
-                    *[F.col(copy.place[k]).alias(k) for k in KEYS[table]]).agg(F.count(F.lit(1)).alias("copies")))
+        layout = Layout(root, codes)
+        for path in layout.places(table):
+            parts.append(fold_root(t, root, codes).groupBy(
+                *[F.col(layout.column(path, k)).alias(k) for k in KEYS[table]]).agg(F.count(F.lit(1)).alias("copies")))
     return reduce(DataFrame.unionAll, parts).groupBy(*KEYS[table]).agg(F.sum("copies").alias("copies"))
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabred.operators.compare import multiset_difference
-from tabred.operators.fold import fold_copies, fold_root, folded_roots
+from tabred.operators.fold import Layout, fold_root, folded_roots
 from tabred.operators.ranking import hash_positions, sample_order
 from tabred.schemas import KEYS, REFERENCES, TABLE_OF, UPDATE_COLUMN, mask_codes
 
@@ -53,8 +53,9 @@ def apply_to_fold(t: Tables, mask: int, root: str, table: str, updates: DataFram
     """The updates on every place of ``table`` in one fold."""
     codes = mask_codes(mask)
     frame = fold_root(t, root, codes)
-    for copy in (c for c in fold_copies(root, codes) if c.table == table):
-        frame = apply_updates(frame, updates, {k: copy.place[k] for k in KEYS[table]}, copy.place[UPDATE_COLUMN[table]])
+    layout = Layout(root, codes)
+    for path in layout.places(table):
+        frame = apply_updates(frame, updates, dict(zip(KEYS[table], layout.keys(path))), layout.column(path, UPDATE_COLUMN[table]))
     return frame
 
 
@@ -68,8 +69,9 @@ def touched_rows(t: Tables, mask: int, table: str, updates: DataFrame) -> DataFr
     codes, keys = mask_codes(mask), list(KEYS[table])
     counts = []
     for root in folded_roots(codes):
-        for copy in (c for c in fold_copies(root, codes) if c.table == table):
-            counts.append(fold_root(t, root, codes).groupBy(*[F.col(copy.place[k]).alias(k) for k in keys])
+        layout = Layout(root, codes)
+        for path in layout.places(table):
+            counts.append(fold_root(t, root, codes).groupBy(*[F.col(layout.column(path, k)).alias(k) for k in keys])
                           .agg(F.count(F.lit(1)).alias("folded"), F.lit(0).cast("long").alias("normalised")))
     counts.append(t[TABLE_OF[table]].groupBy(*keys).agg(F.lit(0).cast("long").alias("folded"), F.count(F.lit(1)).alias("normalised")))
     every = reduce(DataFrame.unionAll, counts).groupBy(*keys).agg(F.sum("folded").alias("folded"), F.sum("normalised").alias("normalised"))

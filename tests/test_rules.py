@@ -16,19 +16,20 @@ def test_74_candidates_over_16_queries():
 def test_every_mask_represents_every_table():
     for mask in range(256):
         codes = mask_codes(mask)
-        seen = {c.table for r in fold.roots(codes) for c in fold.fold_copies(r, codes)}
+        layouts = {r: fold.Layout(r, codes) for r in fold.roots(codes)}
+        seen = {w.end(p) for w in layouts.values() for p in w.paths}
         assert seen == set(TABLE_OF)
         for r in fold.folded_roots(codes):
-            outs = [o for c in fold.fold_copies(r, codes) for o in c.kept.values()]
+            outs = [o for p in layouts[r].paths for o in layouts[r].stored(p).values()]
             assert len(outs) == len(set(outs))
 
 
 def test_nation_twice_is_suffixed_and_keys_are_located():
-    copies = fold.fold_copies("L", mask_codes(123))
-    nations = [c for c in copies if c.table == "N"]
+    layout = fold.Layout("L", mask_codes(123))
+    nations = layout.places("N")
     assert len(nations) == 2
-    assert {c.place["n_nationkey"] for c in nations} == {"c_nationkey", "s_nationkey"}
-    assert all("n_nationkey" not in c.kept and c.kept["n_name"].startswith("n_name__") for c in nations)
+    assert {layout.column(p, "n_nationkey") for p in nations} == {"c_nationkey", "s_nationkey"}
+    assert all("n_nationkey" not in layout.stored(p) and layout.stored(p)["n_name"].startswith("n_name__") for p in nations)
 
 
 FEATURES = ["product", "customer", "shipper", "orderDate", "orderTime", "address", "paymentMethod", "quantity", "discount"]
