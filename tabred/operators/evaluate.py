@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabred.functions.vectors import as_double, cosine, dot, unit
 from tabred.operators.ranking import running_totals
+from tabred.session import checkpointed
 
-# A retrieval pool is a sample; its matrix is sent to every task and must stay small.
-POOL_LIMIT = 20_000
+# Rows of a block of queries or pool rows in retrieval, about.
+RETRIEVAL_BLOCK = 512
 
 
 def score_pairs(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -52,46 +53,62 @@ def ecdf(df: DataFrame, keys: list[str], value: str, grid: list[float], repeat:
     return long.groupBy(*keys, "point").agg(F.avg("share").alias("share"))
 
 
-def retrieval_metrics(vectors: DataFrame, seed: int = 0) -> DataFrame:
+def retrieval_metrics(vectors: DataFrame, seed: int = 0, block: int = RETRIEVAL_BLOCK) -> DataFrame:
     """Nearest-neighbour retrieval inside a pool: R-precision, MAP, MRR, precision at 5 and lift over chance.
 
-    ``vectors``: [id, group, vec], a sampled pool of checked size. Every task scores its own queries
-    against the pool matrix; a query's ranking never leaves its task. Ties are ordered by a seeded draw
-    per pool row.
+    ``vectors``: [id, group, vec], each id once; queries without another row of their group don't count. Rows are dealt
+    into blocks. For one block of queries the blocks of the pool pass by twice: first the scores of relevant rows are
+    noted, then the rows placed before each of them are counted. A task holds one block and the relevant scores of its
+    queries, never the pool. Ties are in the order of a seeded hash of the id.
     """
-    rows = vectors.select("id", "group", as_double("vec").alias("vec")).orderBy("id").limit(POOL_LIMIT + 1).collect()
-    if len(rows) > POOL_LIMIT:
-        raise ValueError(f"the pool has more than {POOL_LIMIT} rows; sample it with same_pairs first")
-    spark = vectors.sparkSession
-    matrix = np.array([r["vec"] for r in rows], dtype=float)
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    length[length == 0] = 1.0
-    names: dict = {}
-    labels = np.array([names.setdefault(r["group"], len(names)) for r in rows])
-    shared = spark.sparkContext.broadcast((matrix / length, labels, np.random.default_rng(seed).random(len(rows))))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double")
+    rows = vectors.select(F.col("id").cast("string").alias("id"), F.col("group").cast("string").alias("group"), unit(as_double("vec")).alias("vec"), draw.alias("draw"))
+    total = vectors.count()
+    blocks = max(1, -(-total // block))
+    packed = checkpointed(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part")).agg(
+        F.collect_list("id").alias("id"), F.collect_list("group").alias("group"), F.collect_list("vec").alias("vec"), F.collect_list("draw").alias("draw")))
+    items = ("id", "group", "vec", "draw")
+    passing = (packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+               .select("q", "step", *items))
+    streams = packed.select(F.col("part").alias("q"), F.lit(-1).alias("step"), *items).unionByName(passing)
+    streams = streams.repartition(blocks, "q").sortWithinPartitions("q", "step")
 
     def score(batches):
-        unit_rows, groups, tie = shared.value
-        total = len(groups)
+        asked, relevant, before = None, [], []
+
+        def told():
+            made = []
+            for keys, count in zip(relevant, before):
+                if len(keys):
+                    places = np.sort(count) + 1
+                    precision = float((places <= len(keys)).mean())
+                    made.append((precision, float((np.arange(1, len(keys) + 1) / places).mean()), 1.0 / places[0],
+                                 float((places <= 5).sum() / min(5, total - 1)), precision * (total - 1) / len(keys)))
+            return pd.DataFrame(made, columns=["r_precision", "map", "mrr", "p_at_5", "lift"], dtype=float)
         for batch in batches:
-            out = []
-            for q in batch["id"]:
-                relevant = int((groups == groups[q]).sum()) - 1
-                if relevant < 1:
+            for row in batch.itertuples(index=False):
+                ids, groups, matrix, draws = np.array(row.id), np.array(row.group), np.stack(row.vec), np.array(row.draw)
+                if row.step < 0:
+                    if asked is not None:
+                        yield told()
+                    asked, relevant, before = (ids, groups, matrix), [np.zeros(0, complex)] * len(ids), [np.zeros(0, np.int64)] * len(ids)
                     continue
-                sims = np.round(unit_rows @ unit_rows[q], 12)
-                sims[q] = -np.inf
-                hits = groups[np.lexsort((tie, -sims))[: total - 1]] == groups[q]
-                places = np.flatnonzero(hits) + 1
-                precision = float(hits[:relevant].mean())
-                out.append((precision, float(np.mean(np.arange(1, len(places) + 1) / places)), 1.0 / places[0],
-                            float(hits[:5].mean()), precision / (relevant / (total - 1))))
-            yield pd.DataFrame(out, columns=["r_precision", "map", "mrr", "p_at_5", "lift"], dtype=float)
-
-    queries = spark.range(len(rows)).repartition(max(1, min(len(rows) // 64 + 1, spark.sparkContext.defaultParallelism)))
-    per_query = queries.mapInPandas(score, "r_precision double, map double, mrr double, p_at_5 double, lift double")
+                if asked is None:
+                    continue
+                # A place is before another if its key is smaller: first by score, then by draw.
+                keys = -np.round(asked[2] @ matrix.T, 12) + 1j * draws[None]
+                other = asked[0][:, None] != ids[None]
+                for i in range(len(asked[0])):
+                    if row.step == 0:
+                        relevant[i] = np.concatenate([relevant[i], keys[i][other[i] & (groups == asked[1][i])]])
+                    elif len(relevant[i]):
+                        count = np.searchsorted(np.sort(keys[i][other[i]]), relevant[i], "left")
+                        before[i] = count + before[i] if len(before[i]) else count
+        if asked is not None:
+            yield told()
+    per_query = streams.mapInPandas(score, "r_precision double, map double, mrr double, p_at_5 double, lift double")
     return per_query.agg(*[F.avg(m).alias(m) for m in ("r_precision", "map", "mrr", "p_at_5", "lift")],
-                         F.count(F.lit(1)).alias("queries")).withColumn("pool", F.lit(len(rows)).cast("long"))
+                         F.count(F.lit(1)).alias("queries")).withColumn("pool", F.lit(total).cast("long"))
 
 
 def drift(before: DataFrame, after: DataFrame, inside: DataFrame) -> DataFrame:
