@@ -37,9 +37,15 @@ def cast_checked(df: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataF
     return good, marked.where(F.col("reason") != "")
 
 
-def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge by key: new rows come in, a filled new value replaces the old one. Repeating a batch changes nothing."""
-    new = batch.select(*[F.col(c).alias(f"_n_{c}") for c in batch.columns])
+def upsert_by_key(target: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Merge by key: new rows come in, a filled new value replaces the old one. Repeating a batch changes nothing.
+
+    Of several rows of a key in a batch, each column takes the last filled value by ``order``, or the greatest one
+    where no order is given.
+    """
+    others = [c for c in batch.columns if c not in keys]
+    last = [(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)).alias(f"_n_{c}") for c in others]
+    new = batch.groupBy(*[F.col(k).alias(f"_n_{k}") for k in keys]).agg(*last) if others else batch.select(*[F.col(k).alias(f"_n_{k}") for k in keys]).distinct()
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_n_{k}") for k in keys])
     merged = [F.coalesce(f"_n_{c}", c).alias(c) if c in batch.columns else F.col(c) for c in target.columns]
     return target.join(new, same, "full").select(*merged)
