@@ -43,12 +43,13 @@ def same_pairs_of(df: DataFrame, key: str, row: str, seed: int) -> DataFrame:
 def draws(df: DataFrame, total: Column, n: int, seed: int) -> DataFrame:
     """``n`` different positions in [0, total), one per equal stretch: [draw]. Fails when total < n.
 
-    ``df`` only lends its session.
+    Stretches are cut in whole numbers, and a draw has 60 bits, so every position can be drawn. ``df`` only lends its
+    session.
     """
     numbers = df.sparkSession.range(n).withColumn("total", total)
-    low = F.floor(F.col("id") * F.col("total") / n).cast("long")
-    high = F.floor((F.col("id") + 1) * F.col("total") / n).cast("long")
-    shift = F.conv(F.substring(sample_order(f"{seed}:draw", "id"), 1, 8), 16, 10).cast("long") % (high - low)
+    whole = lambda part: F.expr(f"({part} * cast(total as decimal(38,0))) div {n}")
+    low, high = whole("cast(id as decimal(18,0))"), whole("cast(id + 1 as decimal(18,0))")
+    shift = F.conv(F.substring(sample_order(f"{seed}:draw", "id"), 1, 15), 16, 10).cast("long") % (high - low)
     enough = F.when(F.coalesce(F.col("total"), F.lit(0)) < n, F.raise_error(F.lit("not enough pairs to draw from"))).otherwise(low + shift)
     return numbers.select(enough.cast("long").alias("draw"))
 
@@ -59,10 +60,10 @@ def locate(drawn: DataFrame, blocks: DataFrame, total: Column, n: int) -> DataFr
     Positions are cut into n stretches; a block meets only draws of the stretches that it covers, so
     the lookup is an equality join.
     """
-    width = F.greatest(F.floor(F.col("_total") / n), F.lit(1))
+    width = f"greatest(cast(_total as bigint) div {n}, 1)"
     spans = (blocks.where(F.col("size") > 0).withColumn("_total", total)
-             .withColumn("_s", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("size") - 1) / width)))))
-    at = drawn.withColumn("_total", total).select("draw", F.floor(F.col("draw") / width).alias("_d"))
+             .withColumn("_s", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(start + size - 1) div {width}")))))
+    at = drawn.withColumn("_total", total).select("draw", F.expr(f"draw div {width}").alias("_d"))
     hit = (F.col("_s") == F.col("_d")) & (F.col("draw") >= F.col("start")) & (F.col("draw") < F.col("start") + F.col("size"))
     return spans.join(at, hit).withColumn("offset", F.col("draw") - F.col("start")).drop("_s", "_d", "_total")
 
@@ -70,7 +71,7 @@ def locate(drawn: DataFrame, blocks: DataFrame, total: Column, n: int) -> DataFr
 def pair_blocks(df: DataFrame, key: str) -> DataFrame:
     """Unordered pairs per group as a stretch of one numbering: [key, n, size, start]."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
-    sizes = sizes.withColumn("size", F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+    sizes = sizes.withColumn("size", F.expr("n * (n - 1) div 2"))
     ordered = sizes.withColumn("_o", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long"))
     return running_totals(ordered, [], "_o", ["size"]).select(key, "n", "size", F.col("size_before").alias("start"))
 
@@ -86,8 +87,10 @@ def child_pairs(df: DataFrame, parent: str, row: str, n: int, seed: int) -> Data
     o = F.col("offset")
     j = F.floor((F.sqrt(8 * o + 1) + 1) / 2).cast("long")
     # The square root may be off by one for huge numbers; step to the exact triangle row.
-    j = F.when((j * (j - 1) / 2).cast("long") > o, j - 1).when(((j + 1) * j / 2).cast("long") <= o, j + 1).otherwise(j)
-    placed = hits.withColumn("_j", j).withColumn("_i", o - (F.col("_j") * (F.col("_j") - 1) / 2).cast("long"))
+    hits = hits.withColumn("_j", j)
+    j = F.col("_j")
+    j = F.when(F.expr("_j * (_j - 1) div 2") > o, j - 1).when(F.expr("(_j + 1) * _j div 2") <= o, j + 1).otherwise(j)
+    placed = hits.withColumn("_j", j).withColumn("_i", o - F.expr("_j * (_j - 1) div 2"))
     numbered = hash_positions(df.select(parent, row), [parent], f"{seed}:child", [row])
     at = lambda p, out: numbered.select(F.col(parent).alias(f"_p{p}"), (F.col("position") - 1).alias(f"_n{p}"), F.col(row).alias(out))
     return (placed.join(at("i", "a"), (F.col(parent) == F.col("_pi")) & (F.col("_i") == F.col("_ni")))
@@ -119,7 +122,7 @@ def different_pairs(pairs: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     blocks = running_totals(later.select("group", "n", "n_before", "later", "size"), [], "n_before", ["size"]).withColumnRenamed("size_before", "start")
     total = blocks.agg(F.sum("size").alias("t")).scalar()
     hits = locate(draws(pairs, total, n, seed), blocks, total, n)
-    spots = hits.select(F.col("group").alias("group_a"), (F.col("n_before") + F.floor(F.col("offset") / F.col("later"))).alias("_first"),
+    spots = hits.select(F.col("group").alias("group_a"), (F.col("n_before") + F.expr("offset div later")).alias("_first"),
                         (F.col("n_before") + F.col("n") + F.col("offset") % F.col("later")).alias("_second"))
     numbered = (hash_positions(members, ["group"], f"{seed}:member", ["id"])
                 .join(placed.select(F.col("group").alias("_g"), "n_before"), F.col("group") == F.col("_g"))
