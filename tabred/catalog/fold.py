@@ -163,7 +163,15 @@ register("d11_copies_per_key", lambda s, d: fold.copies_per_key(t_(s, d), TWICE,
                union all select s_nationkey from ({fold_sql('L', TWICE)})) group by 1"""))
 
 # -- U: updates ------------------------------------------------------------------------------------
-register("u1_update_workload", lambda s, d: updates.update_workload(t_(s, d), "C", 50, 7))
+WORKLOAD_SQL = """with rows as (select {key}, {column} as a0 from v_{table} where {key} in (select {field} from v_{child}) order by {key} limit {count}),
+    placed as (select *, row_number() over (order by {key}) as place, count(*) over () as n from rows),
+    vals as (select a0 as value, row_number() over (order by md5('7:' || a0)) as rank, count(*) over () as v from (select distinct a0 from rows))
+    select o.i::int as ordinal, {key}, a0, f.value as a1 from range(1, {count} + 1) o(i) join placed p on (o.i - 1) % p.n + 1 = p.place
+    join vals w on p.a0 = w.value join vals f on w.rank % w.v + 1 = f.rank"""
+register("u1_update_workload", lambda s, d: updates.update_workload(t_(s, d), "C", 50, 7),
+         V(WORKLOAD_SQL.format(key="c_custkey", column="c_comment", table="customer", field="o_custkey", child="orders", count=50)))
+register("u1_update_workload_region", lambda s, d: updates.update_workload(t_(s, d), "R", 50, 7),
+         V(WORKLOAD_SQL.format(key="r_regionkey", column="r_comment", table="region", field="n_regionkey", child="nation", count=50)))
 
 
 def batch(s, d):

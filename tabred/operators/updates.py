@@ -14,11 +14,11 @@ Tables = dict[str, DataFrame]
 
 
 def update_workload(t: Tables, table: str, count: int, seed: int) -> DataFrame:
-    """The first ``count`` rows in key order that every incoming reference reaches, each with another
-    row's value as its new value: [ordinal, key..., a0, a1].
+    """``count`` updates: the first rows in key order that every incoming reference reaches, used again in turn where
+    there are fewer, each with another row's value as its new value: [ordinal, key..., a0, a1].
 
-    The new value is that of the next row in a seeded order, skipping rows with the same value, so it
-    always differs and is a value in use.
+    The new value is that of the next row in a seeded order of the values, so it always differs and is a value in
+    use. Fewer than two values are an error.
     """
     keys, column = list(KEYS[table]), UPDATE_COLUMN[table]
     rows = t[TABLE_OF[table]].select(*keys, F.col(column).alias("a0"))
@@ -27,15 +27,15 @@ def update_workload(t: Tables, table: str, count: int, seed: int) -> DataFrame:
         same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_f_{f}") for k, f in zip(keys, ref.fields)])
         rows = rows.join(used, same, "left_semi")
     chosen = rows.where(F.col("a0").isNotNull()).orderBy(*keys).limit(count)
-    numbered = chosen.withColumn("ordinal", F.row_number().over(W.orderBy(*keys)))
-    domain = (chosen.select(F.col("a0").alias("value")).distinct()
-              .withColumn("place", F.row_number().over(W.orderBy(sample_order(seed, "value")))))
-    following = domain.select((F.col("place") - 1).alias("place"), F.col("value").alias("next"))
-    first = domain.where(F.col("place") == 1).select(F.col("value").alias("next"))
-    cycle = (domain.join(following, "place", "left")
-             .select("value", F.coalesce("next", first.scalar()).alias("next")))
-    return (numbered.join(cycle, F.col("a0") == F.col("value"))
-            .where(F.col("next") != F.col("a0")).select("ordinal", *keys, "a0", F.col("next").alias("a1")))
+    numbered = chosen.withColumn("place", F.row_number().over(W.orderBy(*keys)))
+    values = chosen.select(F.col("a0").alias("value")).distinct().withColumn("rank", F.row_number().over(W.orderBy(sample_order(seed, "value"))))
+    sizes = numbered.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("a0").alias("values"))
+    enough = F.when(F.col("values") < 2, F.raise_error(F.lit("fewer than two values to exchange"))).otherwise(F.col("rows"))
+    items = t[TABLE_OF[table]].sparkSession.range(1, count + 1).join(sizes.select(enough.cast("long").alias("rows"), "values")).select(
+        F.col("id").cast("int").alias("ordinal"), (F.pmod(F.col("id") - 1, F.col("rows")) + 1).cast("int").alias("place"), "values")
+    follower = values.select(F.col("value").alias("a1"), F.col("rank").alias("next"))
+    return (items.join(numbered, "place").join(values, F.col("a0") == F.col("value"))
+            .join(follower, F.pmod(F.col("rank"), F.col("values")) + 1 == F.col("next")).select("ordinal", *keys, "a0", "a1"))
 
 
 def apply_updates(df: DataFrame, updates: DataFrame, locator: dict[str, str], column: str) -> DataFrame:
