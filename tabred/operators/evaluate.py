@@ -155,33 +155,35 @@ def er_metrics(scores: DataFrame) -> DataFrame:
     return areas.select("metric", "value").unionByName(mrr)
 
 
-def signed_rank(df: DataFrame, case: list[str], a: str, b: str) -> DataFrame:
-    """Paired signed-rank test per case: [case..., n, w_plus, w_minus, p]. Pairs are few (one per seed).
+def signed_rank(df: DataFrame, case: list[str], a: str, b: str, form: str = "exact") -> DataFrame:
+    """Paired signed-rank test per case: [case..., n, w_plus, w_minus, p].
 
-    Up to 16 pairs all sign patterns are counted; beyond that the normal form with tie correction is used.
+    ``form`` names the distribution, whatever the number of pairs: "exact" counts the sign patterns of every rank sum
+    by adding one pair after the other, for cases of few pairs such as one per seed; "normal" is the normal form with
+    tie correction, from sums alone.
     """
+    if form not in ("exact", "normal"):
+        raise ValueError(f"form {form}")
     diffs = df.select(*case, (F.col(a) - F.col(b)).alias("d")).where(F.col("d") != 0).withColumn("m", F.abs("d"))
     over = W.partitionBy(*case)
     ranked = (diffs.withColumn("low", F.rank().over(over.orderBy("m"))).withColumn("ties", F.count(F.lit(1)).over(W.partitionBy(*case, "m")))
               .withColumn("r", F.col("low") + (F.col("ties") - 1) / 2.0))
-    stats = ranked.groupBy(*case).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"),
-        F.sum((F.col("ties") * F.col("ties") - 1) / 48.0).alias("tie_term"),
-        F.when(F.count(F.lit(1)) <= 16, F.slice(F.collect_list("r"), 1, 16)).alias("ranks"))
+    sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"),
+            F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus")]
     least = F.least("w_plus", "w_minus")
-    patterns = (stats.where(F.col("n") <= 16).withColumn("s", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), "n") - 1).cast("int"))))
-                .withColumn("w", F.aggregate(F.transform("ranks", lambda r, i: F.when(F.expr("s").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0, r).otherwise(0.0)),
-                                             F.lit(0.0), lambda x, y: x + y)))
-    exact = (patterns.groupBy(*case, "n", "w_plus", "w_minus")
-             .agg(F.least(F.lit(1.0), 2.0 * F.avg(F.when(F.col("w") <= least + 1e-9, 1.0).otherwise(0.0))).alias("p")))
+    if form == "exact":
+        stats = ranked.groupBy(*case).agg(*sums, F.collect_list((F.col("r") * 2).cast("int")).alias("ranks"))
+        gap = lambda r: F.transform(F.sequence(F.lit(1), r), lambda _: F.lit(0.0))
+        ways = F.aggregate("ranks", F.array(F.lit(1.0)), lambda w, r: F.zip_with(F.concat(w, gap(r)), F.concat(gap(r), w), lambda x, y: (x + y) / 2))
+        chance = F.aggregate(F.slice(ways, F.lit(1), F.floor(least * 2 + 1e-9).cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
+        return stats.select(*case, "n", "w_plus", "w_minus", F.least(F.lit(1.0), 2.0 * chance).alias("p"))
+    stats = ranked.groupBy(*case).agg(*sums, F.sum((F.col("ties") * F.col("ties") - 1) / 48.0).alias("tie_term"))
     n = F.col("n").cast("double")
     z = (least - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term"))
     # Two-sided tail of the normal distribution by a rational approximation (error below 1.5e-7).
     t = 1 / (1 + 0.3275911 * F.abs(z) / F.sqrt(F.lit(2.0)))
     poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
-    large = stats.where(F.col("n") > 16).select(*case, "n", "w_plus", "w_minus", F.least(F.lit(1.0), poly * F.exp(-z * z / 2)).alias("p"))
-    return exact.unionByName(large)
+    return stats.select(*case, "n", "w_plus", "w_minus", F.least(F.lit(1.0), poly * F.exp(-z * z / 2)).alias("p"))
 
 
 def holm(df: DataFrame, family: list[str], p: str = "p") -> DataFrame:
@@ -192,8 +194,8 @@ def holm(df: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return ranked.withColumn("p_holm", F.max(raised).over(over.orderBy("_r").rowsBetween(W.unboundedPreceding, 0))).drop("_r", "_m")
 
 
-def paired_test(df: DataFrame, case: list[str], a: str, b: str) -> DataFrame:
-    return holm(signed_rank(df, case, a, b), [])
+def paired_test(df: DataFrame, case: list[str], a: str, b: str, form: str = "exact") -> DataFrame:
+    return holm(signed_rank(df, case, a, b, form), [])
 
 
 def noise_filter(df: DataFrame, limit: float = 0.01) -> DataFrame:
