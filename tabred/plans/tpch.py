@@ -267,11 +267,10 @@ def order_suppliers(lines: DataFrame) -> DataFrame:
 
 
 def q21(rel, t, p):
-    waiting = order_suppliers(t["lineitem"])
     orders = t["orders"].where(c("o_orderstatus") == "F")
+    waiting = order_suppliers(t["lineitem"].join(orders, c("l_orderkey") == c("o_orderkey"), "left_semi"))
     suppliers = t["supplier"].join(t["nation"].where(c("n_name") == p["nation"]), c("s_nationkey") == c("n_nationkey"))
-    return q21_count(waiting.join(orders, c("waiting_order") == c("o_orderkey"), "left_semi")
-                     .join(suppliers, c("first_late") == c("s_suppkey")))
+    return q21_count(waiting.join(suppliers, c("first_late") == c("s_suppkey")))
 
 
 def q21_count(rel: DataFrame) -> DataFrame:
