@@ -7,8 +7,8 @@ shingles threaten with many candidates takes a longer prefix and asks for more s
 1. One pass counts the shingles that occur often; the commonest decide the order.
 2. A second pass gives each text its set's digest, size, prefix and a parity sketch. Equal sets become one class.
 3. Stars: on every prefix shingle, each class is compared with the class most exposed to candidates.
-4. Shingles on which several components still meet are compared in blocks; pairs that pass size, sketch and match count
-   are verified too. Links of both steps give the components.
+4. On shingles where several components still meet, classes are compared in blocks by size and sketch. Pairs that meet
+   on as many shingles as they ask for are verified too. Links of both steps give the components.
 Verification compares whole sets, which a further pass makes for the classes in question only.
 """
 from __future__ import annotations
@@ -20,30 +20,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabred.llm.components import components
-from tabred.llm.tables import drop, saved
+from tabred.llm.tables import drop, saved, tidy
 from tabred.llm.words import shingle_sets
 
 #: Shared prefix shingles asked for at most.
 MATCHES = 4
 #: Common shingles whose counts order the others; what is told to every task has this many entries at most.
 COMMON = 50_000
-#: Texts of one batch that a shingle must occur in to be counted there.
-OFTEN = 4
-#: Classes of one block, about, and bits of a sketch.
+#: Shingles that are counted together, and texts among them that one must occur in to count.
+COUNTED, OFTEN = 2_000_000, 4
+#: Classes of one block, about, and bits of the smallest sketch; a larger set has one bit or more for each shingle.
 BLOCK, SKETCH = 1024, 512
 #: Bits of the filter for classes in question: at least, and at most (4 MB).
 FILTER_BITS = (1 << 16, 1 << 25)
-_S = "struct<rid:long,component:long,n:int,matches:int,prefix:array<long>,sketch:binary>"
+_S = "struct<rid:long,component:long,n:int,matches:int,level:int,sketch:binary>"
 
 
 def common_shingles(docs: DataFrame, k: int, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of the commonest shingles of all texts; only shingles that are common in a batch count."""
     def run(batches):
         for batch in batches:
-            sets = [own for _, own in shingle_sets(batch.column(0), k)]
-            every, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = times >= OFTEN
-            yield pa.RecordBatch.from_arrays([pa.array(every[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "n"])
+            own, size = [], 0
+            for i, hashes in shingle_sets(batch.column(0), k):
+                own.append(hashes)
+                size += len(hashes)
+                if size > COUNTED or i + 1 == batch.num_rows:
+                    every, times = np.unique(np.concatenate(own), return_counts=True)
+                    often = times >= OFTEN
+                    yield pa.RecordBatch.from_arrays([pa.array(every[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "n"])
+                    own, size = [], 0
     counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "token").limit(limit).collect()
     tokens = np.array([r[0] for r in rows], np.int64).view(np.uint64)
@@ -77,6 +82,23 @@ def prefix_of(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: i
     return own[chosen], asked, int(often[chosen].sum())
 
 
+def sketch_of(own: np.ndarray) -> bytes:
+    """Parity of the shingles in each of as many cells as bits; sets differ in as many shingles as bits at least."""
+    bits = max(SKETCH, 1 << (len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch brought down to ``size`` bytes: cells that fall together add up."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Shingles in which two sets differ at least."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+
+
 def profiles(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row per document: doc_id, text hash, digest and size of its set, and once per task and digest the rest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -96,7 +118,7 @@ def profiles(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
                 if len(told) < 1_000_000:
                     told.add(digest)
                 prefix, asked, exposure = prefix_of(own, common, percent)
-                sketch = np.packbits(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+                sketch = sketch_of(own)
                 out.append((digest, len(own), prefix.view(np.int64), asked, exposure, sketch))
             c = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
@@ -116,57 +138,67 @@ def _alike(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb, sa, sb) that sizes and sketches allow, as (a, b)."""
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches allow."""
+    side = lambda x: classes.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = pairs.join(side("a").drop("sa"), "a").join(side("b").drop("sb"), "b").where(
+        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    told = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+
     def run(batches):
         for batch in batches:
             a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for i in (4, 5))
-            good = _alike(n, m, np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), percent)
+            differ = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], np.int64)
+            good = _alike(n, m, differ, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
-    return pairs.mapInArrow(run, "a long, b long")
+    return told.mapInArrow(run, "a long, b long")
+
 
+def _in_block(left: list[dict], right: list[dict] | None, percent: int) -> list[tuple[int, int, int]]:
+    """(a, b, matches asked for) of pairs of different components that may be alike, where this shingle counts for both.
 
-def _in_block(token: np.uint64, left: list[dict], right: list[dict] | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs of different components that may be alike and first meet on this shingle with as many matches as they ask for."""
+    A pair asks for the fewer matches of its two; shingles beyond the prefix that goes with these don't count.
+    """
     other = left if right is None else right
     n, m = (np.array([r["n"] for r in side], np.int64) for side in (left, other))
-    x, y = (np.frombuffer(b"".join(r["sketch"] for r in side), np.uint64).reshape(-1, SKETCH // 64) for side in (left, other))
+    x, y = (np.stack([folded(r["sketch"], SKETCH // 8) for r in side]) for side in (left, other))
     c, d = (np.array([r["component"] for r in side]) for side in (left, other))
-    first, out = {}, []
+    p, q = (np.array([r["matches"] for r in side]) for side in (left, other))
+    u, v = (np.array([r["level"] for r in side]) for side in (left, other))
+    out = []
     for low in range(0, len(left), 256):
-        apart = np.bitwise_count(x[low:low + 256, None] ^ y[None]).sum(axis=2, dtype=np.int64)
-        good = _alike(n[low:low + 256, None], m[None], apart, percent) & (c[low:low + 256, None] != d[None])
+        part = slice(low, low + 256)
+        asked = np.minimum(p[part, None], q[None])
+        differ = np.bitwise_count(x[part, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+        good = _alike(n[part, None], m[None], differ, percent) & (c[part, None] != d[None]) & (np.maximum(u[part, None], v[None]) <= asked)
         if right is None:
             good &= np.arange(low, low + len(good))[:, None] < np.arange(len(other))[None]
         for i, j in zip(*np.nonzero(good)):
-            p, q = left[low + i], other[j]
-            asked = min(p["matches"], q["matches"])
-            u = p["prefix"][:len(p["prefix"]) - p["matches"] + asked]
-            v = first.setdefault(j, set(q["prefix"])) if asked == q["matches"] else set(q["prefix"][:len(q["prefix"]) - q["matches"] + asked])
-            shared = [t for t in u if t in v]
-            if len(shared) >= asked and shared[0] == token:
-                out.append((p["rid"], q["rid"]))
+            one, two = left[low + i], other[j]
+            if max(len(one["sketch"]), len(two["sketch"])) == SKETCH // 8 or _alike(one["n"], two["n"], apart(one["sketch"], two["sketch"]), percent):
+                out.append((min(one["rid"], two["rid"]), max(one["rid"], two["rid"]), int(asked[i, j])))
     return out
 
 
 def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs to verify from entries (token, n_blocks, item); a shingle with many classes is compared block by block."""
+    """(a, b, matches asked for, matches met) from entries (token, n_blocks, item), in parts; a shingle of many classes is compared block by block."""
     entries = entries.withColumn("block", F.pmod(F.xxhash64("item.rid"), F.col("n_blocks")).cast("int"))
     packed = saved(entries.groupBy("token", "n_blocks", "block").agg(F.collect_list("item").alias("items")))
-    alone = packed.select("token", F.col("items").alias("left"), F.lit(None).cast(f"array<{_S}>").alias("right"))
+    alone = packed.select(F.col("items").alias("left"), F.lit(None).cast(f"array<{_S}>").alias("right"))
     many = packed.where("n_blocks > 1")
     two = many.select("token", "block", F.col("items").alias("left")).join(
         many.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("items").alias("right")), (F.col("token") == F.col("t")) & (F.col("block") < F.col("b")))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for token, left, right in zip(batch.column(0), batch.column(1), batch.column(2)):
-                out += _in_block(token.as_py(), left.as_py(), right.as_py(), percent)
-            c = list(zip(*out)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], names=["a", "b"])
-    return alone.unionByName(two.select("token", "left", "right")).mapInArrow(run, "a long, b long").distinct()
+            met: dict[tuple[int, int, int], int] = {}
+            for left, right in zip(batch.column(0), batch.column(1)):
+                for pair in _in_block(left.as_py(), right.as_py(), percent):
+                    met[pair] = met.get(pair, 0) + 1
+            c = list(zip(*met)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()),
+                                              pa.array(list(met.values()), pa.int64())], names=["a", "b", "asked", "met"])
+    return alone.unionByName(two.select("left", "right")).mapInArrow(run, "a long, b long, asked int, met long")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -215,6 +247,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
     with_b = with_a.join(sets.select(F.col("rid").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
     links = saved(with_b.mapInArrow(check, "a long, b long"))
     drop(asked, sets)
+    tidy(docs.sparkSession)
     return links
 
 
@@ -225,25 +258,38 @@ def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
         F.min("tid").alias("tid"), F.max(F.struct("matches", "n", "exposure", "prefix", "sketch")).alias("p"))
     classes = saved(grouped.select(F.monotonically_increasing_id().alias("rid"), "digest", "tid", F.col("p.n").cast("int").alias("n"),
                                    "p.matches", "p.exposure", "p.prefix", "p.sketch"))
-    entries = classes.select("rid", "exposure", F.explode("prefix").alias("token"))
-    tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max(F.struct("exposure", "rid"))["rid"].alias("leader")).where("df > 1")
-    shared = saved(entries.select("rid", "token").join(tokens, "token"))
-    side = lambda x: classes.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    stars = shared.where("rid <> leader").select(F.col("rid").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    pairs = saved(_plausible(stars, percent))
+    tidy(docs.sparkSession)
+    entries = classes.select("rid", "exposure", "matches", (F.size("prefix") - F.col("matches")).alias("last"), F.posexplode("prefix").alias("place", "token"))
+    entries = entries.select("token", "rid", "exposure", F.col("matches").cast("tinyint").alias("matches"), F.greatest(F.lit(1), F.col("place") - F.col("last") + 1).cast("tinyint").alias("level"))
+    often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = saved(entries.join(often, "token"))
+    leaders = shared.groupBy("token").agg(F.max(F.struct("exposure", "rid"))["rid"].alias("leader"))
+    tidy(docs.sparkSession)
+    stars = shared.select("token", "rid").join(leaders, "token").where("rid <> leader").select(F.col("rid").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = saved(_plausible(stars, classes, percent))
     links = _verify(docs, classes, pairs, k, percent)
     drop(pairs)
     first = saved(components(links))
+    tidy(docs.sparkSession)
     label = first.withColumnRenamed("node", "rid")
-    labelled = saved(shared.select("token", "rid", "df").join(label, "rid", "left").withColumn("component", F.coalesce("component", "rid")))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    meeting = labelled.join(mixed, "token").join(classes.select("rid", "n", "matches", "prefix", "sketch"), "rid")
-    rest = saved(_block_pairs(meeting.select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("n_blocks"),
-                                             F.struct("rid", "component", "n", "matches", "prefix", "sketch").alias("item")), percent))
+    labelled = shared.select("token", "rid", "matches", "level", "df").join(label, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    labelled = saved(labelled)
+    of_two = labelled.where("df = 2").groupBy("token").agg(*[f(F.struct("rid", "component", "matches", "level")).alias(x) for f, x in ((F.min, "u"), (F.max, "v"))])
+    asked = F.least("u.matches", "v.matches")
+    few = (of_two.where((F.col("u.component") != F.col("v.component")) & (F.greatest("u.level", "v.level") <= asked))
+           .groupBy(F.col("u.rid").alias("a"), F.col("v.rid").alias("b"), asked.cast("int").alias("asked")).agg(F.count(F.lit(1)).alias("met")))
+    several = labelled.where("df > 2")
+    mixed = several.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    meeting = several.drop("matches").join(mixed, "token").join(classes.select("rid", "n", "matches", "sketch"), "rid")
+    met = _block_pairs(meeting.select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("n_blocks"),
+                                      F.struct("rid", "component", "n", "matches", F.col("level").cast("int").alias("level"), "sketch").alias("item")), percent)
+    every = few.unionByName(met).groupBy("a", "b", "asked").agg(F.sum("met").alias("met")).where("met >= asked").select("a", "b")
+    rest = saved(_plausible(every, classes, percent))
+    tidy(docs.sparkSession)
     more = _verify(docs, classes, rest, k, percent)
     whole = components(links.unionByName(more)).withColumnRenamed("node", "rid")
     drop(shared, labelled, rest)
+    tidy(docs.sparkSession)
     return profile, classes.select("rid", "digest").join(whole, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
 
 

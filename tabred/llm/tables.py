@@ -1,6 +1,7 @@
 """Intermediate tables in the shared folder, and numbering without gaps."""
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -35,6 +36,12 @@ def drop(*frames: DataFrame) -> None:
         fs.delete(target, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now; it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
