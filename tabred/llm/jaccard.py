@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabred.llm.components import components
-from tabred.llm.tables import drop, saved, tidy
+from tabred.llm.tables import drop, saved, small_batches, tidy
 from tabred.llm.words import shingle_sets
 
 #: Shared prefix shingles asked for at most.
@@ -28,7 +28,7 @@ MATCHES = 4
 #: Common shingles whose counts order the others; what is told to every task has this many entries at most.
 COMMON = 50_000
 #: Shingles that are counted together, and texts among them that one must occur in to count.
-COUNTED, OFTEN = 2_000_000, 4
+COUNTED, OFTEN = 1_000_000, 4
 #: Classes of one block, about, and bits of the smallest sketch; a larger set has one bit or more for each shingle.
 BLOCK, SKETCH = 1024, 512
 #: Bits of the filter for classes in question: at least, and at most (4 MB).
@@ -253,6 +253,11 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
 
 def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(profiles of all documents, (digest, rid, component) of every class)."""
+    with small_batches(docs.sparkSession):
+        return _joined(docs, k, percent)
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     profile = saved(profiles(docs, k, percent, common_shingles(docs, k)))
     grouped = profile.where("digest is not null").groupBy("digest").agg(
         F.min("tid").alias("tid"), F.max(F.struct("matches", "n", "exposure", "prefix", "sketch")).alias("p"))

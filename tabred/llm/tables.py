@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -36,6 +37,18 @@ def drop(*frames: DataFrame) -> None:
         fs.delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Batches of few rows for what is written or collected inside, so that Python tasks hold few texts or sets at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps now; it does so when their plans are collected as garbage."""
     gc.collect()

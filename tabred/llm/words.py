@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on together; a longer single text is taken whole.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 U = np.uint64
 _ROOT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ROOT, -1, 2 ** 64)
