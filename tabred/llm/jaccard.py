@@ -109,24 +109,24 @@ def profiles(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
             out = []
             for _, own in shingle_sets(batch.column(2), k):
                 if not len(own):
-                    out.append((None, 0, None, None, None, None))
+                    out.append((None, 0, None, None, None, None, None))
                     continue
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 if digest in told:
-                    out.append((digest, len(own), None, None, None, None))
+                    out.append((digest, len(own), None, None, None, None, None))
                     continue
                 if len(told) < 1_000_000:
                     told.add(digest)
                 prefix, asked, exposure = prefix_of(own, common, percent)
                 sketch = sketch_of(own)
-                out.append((digest, len(own), prefix.view(np.int64), asked, exposure, sketch))
-            c = list(zip(*out)) or [[]] * 6
+                out.append((digest, len(own), prefix.view(np.int64), asked, exposure, sketch, folded(sketch, SKETCH // 8).tobytes()))
+            c = list(zip(*out)) or [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.int64())),
-                 pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.binary())],
-                names=["doc_id", "tid", "digest", "n", "prefix", "matches", "exposure", "sketch"])
+                 pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.binary())],
+                names=["doc_id", "tid", "digest", "n", "prefix", "matches", "exposure", "sketch", "small"])
     return docs.select("doc_id", text_hash(), "text").mapInArrow(
-        run, f"doc_id {kind}, tid long, digest binary, n long, prefix array<long>, matches int, exposure long, sketch binary")
+        run, f"doc_id {kind}, tid long, digest binary, n long, prefix array<long>, matches int, exposure long, sketch binary, small binary")
 
 
 def text_hash():
@@ -161,7 +161,7 @@ def _in_block(left: list[dict], right: list[dict] | None, percent: int) -> list[
     """
     other = left if right is None else right
     n, m = (np.array([r["n"] for r in side], np.int64) for side in (left, other))
-    x, y = (np.stack([folded(r["sketch"], SKETCH // 8) for r in side]) for side in (left, other))
+    x, y = (np.stack([np.frombuffer(r["sketch"], np.uint64) for r in side]) for side in (left, other))
     c, d = (np.array([r["component"] for r in side]) for side in (left, other))
     p, q = (np.array([r["matches"] for r in side]) for side in (left, other))
     u, v = (np.array([r["level"] for r in side]) for side in (left, other))
@@ -175,8 +175,7 @@ def _in_block(left: list[dict], right: list[dict] | None, percent: int) -> list[
             good &= np.arange(low, low + len(good))[:, None] < np.arange(len(other))[None]
         for i, j in zip(*np.nonzero(good)):
             one, two = left[low + i], other[j]
-            if max(len(one["sketch"]), len(two["sketch"])) == SKETCH // 8 or _alike(one["n"], two["n"], apart(one["sketch"], two["sketch"]), percent):
-                out.append((min(one["rid"], two["rid"]), max(one["rid"], two["rid"]), int(asked[i, j])))
+            out.append((min(one["rid"], two["rid"]), max(one["rid"], two["rid"]), int(asked[i, j])))
     return out
 
 
@@ -260,9 +259,9 @@ def _join(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
 def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     profile = saved(profiles(docs, k, percent, common_shingles(docs, k)))
     grouped = profile.where("digest is not null").groupBy("digest").agg(
-        F.min("tid").alias("tid"), F.max(F.struct("matches", "n", "exposure", "prefix", "sketch")).alias("p"))
+        F.min("tid").alias("tid"), F.max(F.struct("matches", "n", "exposure", "prefix", "sketch", "small")).alias("p"))
     classes = saved(grouped.select(F.monotonically_increasing_id().alias("rid"), "digest", "tid", F.col("p.n").cast("int").alias("n"),
-                                   "p.matches", "p.exposure", "p.prefix", "p.sketch"))
+                                   "p.matches", "p.exposure", "p.prefix", "p.sketch", "p.small"))
     tidy(docs.sparkSession)
     entries = classes.select("rid", "exposure", "matches", (F.size("prefix") - F.col("matches")).alias("last"), F.posexplode("prefix").alias("place", "token"))
     entries = entries.select("token", "rid", "exposure", F.col("matches").cast("tinyint").alias("matches"), F.greatest(F.lit(1), F.col("place") - F.col("last") + 1).cast("tinyint").alias("level"))
@@ -285,7 +284,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
            .groupBy(F.col("u.rid").alias("a"), F.col("v.rid").alias("b"), asked.cast("int").alias("asked")).agg(F.count(F.lit(1)).alias("met")))
     several = labelled.where("df > 2")
     mixed = several.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    meeting = several.drop("matches").join(mixed, "token").join(classes.select("rid", "n", "matches", "sketch"), "rid")
+    meeting = several.drop("matches").join(mixed, "token").join(classes.select("rid", "n", "matches", F.col("small").alias("sketch")), "rid")
     met = _block_pairs(meeting.select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("n_blocks"),
                                       F.struct("rid", "component", "n", "matches", F.col("level").cast("int").alias("level"), "sketch").alias("item")), percent)
     every = few.unionByName(met).groupBy("a", "b", "asked").agg(F.sum("met").alias("met")).where("met >= asked").select("a", "b")
