@@ -29,8 +29,12 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
-#: Share of the best fused ratio from which a path is content, of the content that the common element must hold, and of
-#: linked text from which a block is a list of links.
+#: Containers without a meaning of their own: what stands in one beside the content is not part of it for that.
+BOXES = frozenset("div center form details dialog address fieldset".split())
+_ROWS, _CELLS = frozenset("thead tbody tfoot tr".split()), frozenset(("td", "th"))
+
+#: Share of the best fused ratio from which a path is content, of the content that an article element must hold to be
+#: the root, and of linked text from which a block is a list of links.
 THRESHOLD, HELD, LINKED = 0.3, 0.9, 0.6
 
 
@@ -41,6 +45,7 @@ class Element:
     outside: bool
     inside: bool
     chain: tuple[int, ...]
+    tags: tuple[str, ...]
 
 
 @dataclass
@@ -52,7 +57,7 @@ class Block:
 
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page in order, with the open elements that break blocks."""
-    top = Element("", "", False, False, ())
+    top = Element("", "", False, False, (), ())
     stack, out, parts = [top], [], []
     anchor, linked, serial, at, skip = 0, 0, 0, 0, 0
 
@@ -120,19 +125,50 @@ def blocks(html: str) -> list[Block]:
             outside = above.outside or tag in OUTSIDE or bool(marked and tag not in ARTICLE | {"html", "body"}) or (
                 not inside and (tag == "header" or bool(words & HEADS and tag not in ("html", "body"))))
             serial += 1
-            stack.append(Element(tag, f"{above.label}>{tag}" + "".join(f".{w}" for w in sorted(words)), outside, inside, (*above.chain, serial)))
+            stack.append(Element(tag, f"{above.label}>{tag}" + "".join(f".{w}" for w in sorted(words)), outside, inside, (*above.chain, serial), (*above.tags, tag)))
     flush()
     return out
 
 
+def _article(element: Element) -> int:
+    """Number of the outermost article or main around an element, 0 without one."""
+    return next((serial for serial, tag in zip(element.chain, element.tags) if tag in ARTICLE), 0)
+
+
+def _common(seeds: list[Block], found: list[Block]) -> tuple[int, ...]:
+    """Numbers down to the element that all seeds share: a whole table or list, and the parent of a single block."""
+    chains, tags = [b.element.chain for b in seeds], seeds[0].element.tags
+    size = 0
+    while all(len(c) > size and c[size] == chains[0][size] for c in chains):
+        size += 1
+    chain = chains[0]
+    if size > 1 and len({b.element.chain for b in found if b.element.chain[:size] == chain[:size]}) == 1:
+        size -= 1
+    cells = {c[i] for b in seeds for c in [b.element.chain] for i, t in enumerate(b.element.tags) if t in _CELLS}
+    while size > 1 and (tags[size - 1] in ("li", "dt", "dd") or tags[size - 1] in _ROWS and len(cells) > 1):
+        size -= 1
+    return chain[:size]
+
+
+def _beside(element: Element, chain: tuple[int, ...]) -> bool:
+    """If an element stands beside a root or one of its parents: a first heading, or text that is in no box of its own."""
+    if element.tag == "h1":
+        return True
+    size = 0
+    while size < min(len(chain), len(element.chain)) and chain[size] == element.chain[size]:
+        size += 1
+    own = element.tags[size:]
+    return not BOXES & set(own) and not (own and size and own[0] in _ROWS | _CELLS)
+
+
 def main_text(html: str) -> str:
     """The content blocks of a page, joined by line ends.
 
     Text length and punctuation are added up for every tag path and divided by its nodes; ratios of paths in an
     article count double, linked text counts against a path. In page order the ratios are smoothed over neighbours and
-    fused with the paths' own; blocks above a share of the best are content. The deepest element that holds nearly
-    all of them is the article: its blocks belong to it whatever their length, unless they are lists of links or
-    marked as another part.
+    fused with the paths' own; blocks above a share of the best are content. Where articles hold nearly all of them,
+    the outermost ones are the root, elsewhere the element that all of them share, with headings and text beside it.
+    Blocks of the root belong to it whatever their length, unless they are lists of links or marked as another part.
     """
     found = [b for b in blocks(html) if not b.element.outside]
     if not found:
@@ -148,18 +184,15 @@ def main_text(html: str) -> str:
     fused = [(r * s) ** 0.5 for r, s in zip(own, smooth)]
     least = THRESHOLD * max(fused)
     seeds = [b for b, f in zip(found, fused) if f >= least]
-    held = defaultdict(int)
-    for b in seeds:
-        for serial in b.element.chain:
-            held[serial] += len(b.text)
-    total = sum(len(b.text) for b in seeds)
-    root = max((s for s, n in held.items() if n >= HELD * total), default=0)
-    inside = [b for b in found if root == 0 or root in b.element.chain]
-    if root and len({b.element.chain for b in inside}) == 1 and inside[0].element.tag not in ARTICLE:   # one block: its element's neighbours count too
-        chain = inside[0].element.chain
-        if len(chain) > 1:
-            inside = [b for b in found if chain[-2] in b.element.chain]
-    kept = [b.text for b in inside if b.linked < LINKED * len(b.text) or b in seeds]
+    places = {id(b) for b in seeds}
+    articles = {_article(b.element) for b in seeds} - {0}
+    held = sum(len(b.text) for b in seeds if _article(b.element))
+    if held and held >= HELD * sum(len(b.text) for b in seeds):
+        inside = [b for b in found if _article(b.element) in articles]
+    else:
+        chain = _common(seeds, found)
+        inside = [b for b in found if b.element.chain[:len(chain)] == chain or _beside(b.element, chain)]
+    kept = [b.text for b in inside if b.linked < LINKED * len(b.text) or id(b) in places]
     return "\n".join(kept)
 
 

@@ -115,6 +115,22 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+BODY = "<p>A long paragraph, with commas, points and much to read. It goes on, and on, until the very end of it is reached.</p>"
+READ = re.sub("<[^>]*>", "", BODY)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><h1>Title</h1><p>Intro.</p><div class=entry-content>{BODY * 4}</div><p>End.</p></article><div>Site, all rights. And so on.</div>", ["Title", "Intro.", *[READ] * 4, "End."]),
+    (f"<div>Site</div><main><h1>Title</h1><article><div class=lead>Lead</div><section><h2>One</h2>{BODY * 4}</section><section><h2>Two</h2><p>Few.</p></section></article></main>",
+     ["Title", "Lead", "One", *[READ] * 4, "Two", "Few."]),
+    (f"<article><h1>Title</h1><p>Intro.</p><table>{f'<tr><td>{BODY}</td></tr>' * 4}</table><ul><li>one<li>two</ul></article>", ["Title", "Intro.", *[READ] * 4, "one", "two"]),
+    (f"<div>Site</div><div class=post><h1>Title</h1><p>Intro.</p><div class=entry-content>{BODY * 4}</div><ul><li>one</ul></div><div>Imprint</div>", ["Title", "Intro.", *[READ] * 4, "one"]),
+    (f"<div>Site</div><div class=post><h1>Title</h1><table><thead><tr><th>Column</th></tr></thead>{f'<tr><td>{BODY}</td></tr>' * 4}</table></div>", ["Title", "Column", *[READ] * 4]),
+    (f"<article><h1>One</h1>{BODY * 9}</article><div>Site</div><article><h1>Two</h1>{BODY}</article>", ["One", *[READ] * 9, "Two", READ])])
+def test_nested_bodies_are_whole(page, text):
+    assert html.main_text(f"<body><nav>Home</nav>{page}<footer>Foot, note.</footer></body>").split("\n") == text
+
+
 def test_pages(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     rows = pages.union(spark.createDataFrame([(-1, None, None), (-2, "u", "<p>x"), (-2, "u", "<p>x")], pages.schema))
