@@ -14,8 +14,8 @@ BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol
                   "figure figcaption nav header footer aside form fieldset address details summary dialog hr noscript template svg menu center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp select object".split())
-OUTSIDE = frozenset("nav footer aside form head noscript template svg dialog menu button".split())
-#: Words of class, id and role that mark parts other than the article.
+OUTSIDE = frozenset("nav footer aside head noscript template svg dialog menu button".split())
+#: Words of class, id and role that speak for parts other than the article.
 MARKS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
                   "widget footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search share sharing social "
                   "related recommended comment comments respond replies reply discussion disqus complementary contentinfo skip pagination pager".split())
@@ -36,6 +36,8 @@ _ROWS, _CELLS = frozenset("thead tbody tfoot tr".split()), frozenset(("td", "th"
 #: Share of the best fused ratio from which a path is content, of the content that an article element must hold to be
 #: the root, and of linked text from which a block is a list of links.
 THRESHOLD, HELD, LINKED = 0.3, 0.9, 0.6
+#: What is left of a ratio under a name made of marks alone, and under a name that has other words too.
+FULL, PARTLY = 0.05, 0.5
 
 
 @dataclass
@@ -44,6 +46,8 @@ class Element:
     label: str
     outside: bool
     inside: bool
+    marks: tuple[tuple[int, float], ...]
+    above: int
     chain: tuple[int, ...]
     tags: tuple[str, ...]
 
@@ -57,7 +61,7 @@ class Block:
 
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page in order, with the open elements that break blocks."""
-    top = Element("", "", False, False, (), ())
+    top = Element("", "", False, False, (), 0, (), ())
     stack, out, parts = [top], [], []
     anchor, linked, serial, at, skip = 0, 0, 0, 0, 0
 
@@ -119,13 +123,20 @@ def blocks(html: str) -> list[Block]:
                 continue
             anchor = 0
             above = stack[-1]
-            words = {w.lower() for n in _NAMES.findall(m[3] or m[6] or "") for w in _WORD.findall("".join(n))}
+            names = [[w.lower() for w in _WORD.findall(name)] for n in _NAMES.findall(m[3] or m[6] or "") for name in "".join(n).split()]
+            words = {w for name in names for w in name}
             inside = above.inside or tag in ARTICLE
-            marked = words & MARKS - (HEADS if inside else frozenset())
-            outside = above.outside or tag in OUTSIDE or bool(marked and tag not in ARTICLE | {"html", "body"}) or (
-                not inside and (tag == "header" or bool(words & HEADS and tag not in ("html", "body"))))
             serial += 1
-            stack.append(Element(tag, f"{above.label}>{tag}" + "".join(f".{w}" for w in sorted(words)), outside, inside, (*above.chain, serial), (*above.tags, tag)))
+            marks, outer = above.marks, above.above
+            if inside and not above.inside:
+                outer = len(marks)
+            elif tag not in ("html", "body"):
+                marking = MARKS - HEADS if inside else MARKS | HEADS
+                left = [FULL if marking.issuperset(name) else PARTLY for name in names if not marking.isdisjoint(name)]
+                left += [FULL] if tag == "form" or tag == "header" and not inside else []
+                marks += ((serial, min(left)),) if left else ()
+            stack.append(Element(tag, f"{above.label}>{tag}" + "".join(f".{w}" for w in sorted(words)), above.outside or tag in OUTSIDE, inside, marks, outer,
+                                 (*above.chain, serial), (*above.tags, tag)))
     flush()
     return out
 
@@ -161,14 +172,32 @@ def _beside(element: Element, chain: tuple[int, ...]) -> bool:
     return not BOXES & set(own) and not (own and size and own[0] in _ROWS | _CELLS)
 
 
+def _marks(found: list[Block]) -> list[dict[int, float]]:
+    """Marks of each block with what they leave of its ratio.
+
+    Marks around an article do not count unless another article stands free of them, and none counts that holds most
+    of the page's text; a full one does then still where a free article has its share.
+    """
+    chars = [max(len(b.text) - b.linked, 0) for b in found]
+    free = [b.element.inside and not b.element.above for b in found]
+    marks = [dict(b.element.marks if any(free) else b.element.marks[b.element.above:]) for b in found]
+    held = defaultdict(int)
+    for own, n in zip(marks, chars):
+        for serial in own:
+            held[serial] += n
+    named = sum(n for n, f, own in zip(chars, free, marks) if f and not own) > (1 - HELD) * sum(chars)
+    return [{s: left for s, left in own.items() if 2 * held[s] <= sum(chars) or left == FULL and named} for own in marks]
+
+
 def main_text(html: str) -> str:
     """The content blocks of a page, joined by line ends.
 
     Text length and punctuation are added up for every tag path and divided by its nodes; ratios of paths in an
-    article count double, linked text counts against a path. In page order the ratios are smoothed over neighbours and
+    article count double, linked text counts against a path, and marks lower its ratio. In page order the ratios are smoothed over neighbours and
     fused with the paths' own; blocks above a share of the best are content. Where articles hold nearly all of them,
     the outermost ones are the root, elsewhere the element that all of them share, with headings and text beside it.
-    Blocks of the root belong to it whatever their length, unless they are lists of links or marked as another part.
+    Blocks of the root belong to it whatever their length, unless they are lists of links or under a mark without a
+    block that is content by its path or its own text.
     """
     found = [b for b in blocks(html) if not b.element.outside]
     if not found:
@@ -179,20 +208,27 @@ def main_text(html: str) -> str:
         for i, v in enumerate((len(b.text), len(_PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)), 1)):
             s[i] += v
     ratio = {label: (chars - linked) / nodes * (1 + marks / nodes) for label, (chars, marks, linked, nodes) in sums.items()}
-    own = [ratio[b.element.label] * (2 if b.element.inside else 1) for b in found]
+    marks = _marks(found)
+    own = [ratio[b.element.label] * (2 if b.element.inside else 1) * min(m.values(), default=1) for b, m in zip(found, marks)]
     smooth = [(own[max(i - 1, 0)] + 2 * r + own[min(i + 1, len(own) - 1)]) / 4 for i, r in enumerate(own)]
     fused = [(r * s) ** 0.5 for r, s in zip(own, smooth)]
     least = THRESHOLD * max(fused)
     seeds = [b for b, f in zip(found, fused) if f >= least]
     places = {id(b) for b in seeds}
     articles = {_article(b.element) for b in seeds} - {0}
-    held = sum(len(b.text) for b in seeds if _article(b.element))
-    if held and held >= HELD * sum(len(b.text) for b in seeds):
+    sure = [b for b, f, m in zip(found, fused, marks) if f >= least and not m] or seeds
+    held = sum(len(b.text) for b in sure if _article(b.element))
+    if held and held >= HELD * sum(len(b.text) for b in sure):
         inside = [b for b in found if _article(b.element) in articles]
     else:
         chain = _common(seeds, found)
         inside = [b for b in found if b.element.chain[:len(chain)] == chain or _beside(b.element, chain)]
-    kept = [b.text for b in inside if b.linked < LINKED * len(b.text) or id(b) in places]
+    content = set()
+    for b, m in zip(found, marks):
+        alone = (len(b.text) - b.linked) * (1 + len(_PUNCTUATION.findall(b.text))) * (2 if b.element.inside else 1)
+        content.update(serial for serial, left in m.items() if id(b) in places or alone * left >= least)
+    other = {id(b) for b, m in zip(found, marks) if not content.issuperset(m)}
+    kept = [b.text for b in inside if id(b) in places or b.linked < LINKED * len(b.text) and id(b) not in other]
     return "\n".join(kept)
 
 

@@ -131,6 +131,21 @@ def test_nested_bodies_are_whole(page, text):
     assert html.main_text(f"<body><nav>Home</nav>{page}<footer>Foot, note.</footer></body>").split("\n") == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='layout has-sidebar'><article><h1>Title</h1>{BODY}<p>End.</p></article></div>", ["Title", READ, "End."]),
+    (f"<div class=sidebar><article><h1>Title</h1>{BODY}</article></div>", ["Title", READ]),
+    (f"<form id=all><main><h1>Title</h1>{BODY}<p>End.</p></main></form>", ["Title", READ, "End."]),
+    (f"<div class='layout has-sidebar'><div class=sidebar><p>Other, text.</p></div><div class=text><h1>Title</h1>{BODY * 3}<p>End.</p></div></div>", ["Title", *[READ] * 3, "End."]),
+    (f"<div id='search-results'><h1>Title</h1>{BODY}<p>End.</p></div>", ["Title", READ, "End."]),
+    (f"<main><div class='post comments-open'><h1>Title</h1>{BODY * 3}<p>End.</p></div></main>", ["Title", *[READ] * 3, "End."]),
+    (f"<article><h1>Title</h1>{BODY * 3}<section class='related-work'><h2>Related work</h2>{BODY}<p>End.</p></section></article>", ["Title", *[READ] * 3, "Related work", READ, "End."]),
+    (f"<article><h1>Title</h1>{BODY * 2}</article><div id=comments>{BODY * 5}<article>{BODY}</article></div><div class=ad>Buy, now.</div>", ["Title", *[READ] * 2]),
+    ("<div class=ad>Buy this, and that, and more of it. It is new, and cheap. So go, and buy it.</div><article><h1>Short title here</h1><p>Short title here</article>", ["Short title here"] * 2),
+    (f"<article><h1>Title</h1>{BODY * 2}<section class=comments>{BODY * 3}</section></article>", ["Title", *[READ] * 2])])
+def test_marks_lower_ratios_only(page, text):
+    assert html.main_text(f"<body><nav>Home</nav>{page}<footer>Foot, note.</footer></body>").split("\n") == text
+
+
 def test_pages(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     rows = pages.union(spark.createDataFrame([(-1, None, None), (-2, "u", "<p>x"), (-2, "u", "<p>x")], pages.schema))
