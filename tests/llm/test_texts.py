@@ -173,3 +173,38 @@ def test_licenses(odd):
         assert [s[2] for s in licenses.scan_text(f"Some words before. {notice} And some after it.")] == [name]
     assert licenses.scan_text("He has a driving license and permission to sell.") == []
     assert licenses.scan_licenses(odd.limit(0)).count() == 0
+
+
+def test_every_license_of_a_block_is_found():
+    names = list(licenses.NAMES)
+    spans = licenses.scan_text(" ".join(licenses.NOTICES[i % 5].format(licenses.NAMES[k][0]) for i, k in enumerate(names)))
+    assert [s[2] for s in spans] == names and all(s[3] == 0 for s in spans)
+    for name in ("MIT", "ISC"):
+        spans = licenses.scan_text(" And ".join(n.format(licenses.NAMES[name][0]) for n in licenses.NOTICES))
+        assert [s[2] for s in spans] == [name] * 5
+
+
+def test_changed_copies_before_the_best_are_found():
+    text = licenses.TEXTS["ISC"][0]
+    changed = text.replace("any purpose", "every purpose").replace("copyright", "ownership")
+    assert [s[2:4] for s in licenses.scan_text(f"{changed} Other words stand here. {text} And at the end: {changed}")] == [("ISC", 2), ("ISC", 0), ("ISC", 2)]
+
+
+def test_near_places_have_the_least_changes():
+    import numpy as np
+    rng = np.random.default_rng(5)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    for _ in range(100):
+        block, wording = rng.integers(0, 4, rng.integers(1, 14)), rng.integers(0, 4, 5)
+        every = {(f, e): distance(wording, block[f:e]) for f in range(len(block)) for e in range(f + 1, len(block) + 1)}
+        got = licenses.near(block, wording, 2)
+        assert all(every[f, e] == c for c, f, e in got)
+        assert min([c for c, *_ in got], default=9) == min([d for d in every.values() if d <= 2], default=9)
+        assert all(d > 2 or any(f < y and x < e for _, x, y in got) for (f, e), d in every.items())
