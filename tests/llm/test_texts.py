@@ -208,3 +208,22 @@ def test_near_places_have_the_least_changes():
         assert all(every[f, e] == c for c, f, e in got)
         assert min([c for c, *_ in got], default=9) == min([d for d in every.values() if d <= 2], default=9)
         assert all(d > 2 or any(f < y and x < e for _, x, y in got) for (f, e), d in every.items())
+
+
+def test_license_texts_are_told_apart():
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+           "documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+           "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+           "PARTICULAR PURPOSE ARE DISCLAIMED.")
+    third = ("3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this "
+             "software without specific prior written permission. ")
+    gnu = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software "
+           "Foundation; either version {} of the License, or (at your option) any later version.")
+    for text, name in ((bsd.format(""), "BSD-2-Clause"), (bsd.format(third), "BSD-3-Clause"), (bsd[:140] + ": none.", "BSD-family"),
+                       (gnu.format("Lesser General Public License", "2.1"), "LGPL-2.1"), (gnu.format("Lesser General Public License", "3"), "LGPL-3.0"),
+                       (gnu.format("Library General Public License", "2"), "LGPL-2.0"), (gnu.format("Affero General Public License", "3"), "AGPL-3.0"),
+                       (gnu.format("General Public License", "2"), "GPL-2.0"), (gnu.format("General Public License", "3"), "GPL-3.0")):
+        assert [s[2] for s in licenses.scan_text(text)] == [name], text
+    assert licenses.scan_text(gnu.format("General Public License", "7")) == []
