@@ -118,6 +118,25 @@ def test_graph_recall():
     assert there > 128 and found >= 0.99 * there
 
 
+def test_audit_has_links_and_an_exact_way_out(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data, far = neighbours.unit(rng.normal(size=(1000, 48))), neighbours.unit(rng.normal(size=(512, 48)))
+    assert not (far @ data.T >= 0.9).any()
+    graph = neighbours.Graph(data.astype(np.float32))
+    beam, found, there = neighbours._audited(graph, far, data, 0.9)
+    assert beam and there >= 128 and found >= 0.99 * there
+    for layer in graph.layers:
+        layer.links[:] = -1                                      # no node is reached by any beam
+    beam, found, there = neighbours._audited(graph, data, data, 0.9)
+    assert beam == 0 and found == there > 128
+    row, hit = neighbours._exact(data, data, 0.9)
+    assert Counter(zip(row.tolist(), hit.tolist())) == Counter(zip(*[x.tolist() for x in np.nonzero(data @ data.T >= 0.9)]))
+    bad = spark.createDataFrame([(2, 0, 32, 989_999)], "kind int, a long, b long, n long")
+    monkeypatch.setattr(neighbours, "search_links", lambda *_: bad)
+    with pytest.raises(RuntimeError, match="1 audits"):
+        neighbours.near_vectors(spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+
+
 def _valid(rows, capacity):
     """Places in each sequence are gapless and within the capacity."""
     by = defaultdict(list)
