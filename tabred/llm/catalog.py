@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabred.llm import bpe, html, jaccard, licenses, neighbours, packing, pii, quality, secrets, sharding
+from tabred.llm import bpe, html, jaccard, licenses, neighbours, packing, pii, quality, secrets, sharding, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+@query("op12_incremental_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, folder, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
