@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabred.llm import bpe, html, jaccard, licenses, neighbours, packing, pii, quality, secrets, sharding, whitening
+from tabred.llm import bpe, html, jaccard, licenses, neighbours, packing, pii, quality, secrets, sharding, toxicity, trie, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,11 +78,21 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+@query("op11_splitter_skeleton")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 @query("op12_incremental_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_vectors(table(spark, folder, "embeddings"))
 
 
+@query("op13_toxic_spans")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

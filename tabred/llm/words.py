@@ -67,10 +67,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * _SPREAD[0])
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each text and the end) of the words of a run of texts."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SEPARATOR[data]
+    inside[1:-1] = ~separator[data]
     starts, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
     cuts = offsets[1:-1]
     both = inside[cuts] & inside[cuts + 1]          # a text ends in a word and the next begins with one
