@@ -23,7 +23,7 @@ BINS = 1 << 19
 #: Bytes of the beginnings and ends of words that count as forms of their own.
 STARTS, ENDS = (4, 6, 8), (4, 6)
 #: Labelled documents that the field is fitted on, and the longest text among them in bytes: what the driver holds.
-TRAIN_DOCS, TRAIN_BYTES = 3000, 20_000
+TRAIN_DOCS, TRAIN_BYTES = 1500, 6_000
 #: Standard errors taken off a log-odds value, and the value from which a word of a toxic document is labelled toxic.
 CAUTION, SURE = 2.0, 1.5
 #: Words on either side that make up a word's surroundings.
@@ -31,6 +31,8 @@ AROUND = 5
 FEATURES = ("bias", "word", "beginning", "end", "most", "least", "before", "after", "around", "length", "capitals", "digits")
 #: Where weights start and are drawn to: words whose forms are surely toxic.
 PRIOR = np.array([-4.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+#: Logarithms beyond which a word's weight counts as this, so that sums stay finite.
+_FAR, _LEAST = 30.0, 1e-60
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x5F, *range(0x80, 0x100)]] = False
 _CAPITAL, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
@@ -98,60 +100,65 @@ def features(data: np.ndarray, words: Words, values: np.ndarray) -> np.ndarray:
 def marginals(scores: np.ndarray, steps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(chance of state 1 per word, chance of each pair of states with the word before) by forward and backward sums.
 
-    All texts are one sequence whose first words forget what stands before them. It is cut into as many blocks as a
-    block has words: products of steps within all blocks at once, then from block to block, then within all blocks
-    again. Sums are scaled at every word. Pairs of first words are 0.
+    All texts are one sequence whose first words forget what stands before them. It is cut into about as many blocks as
+    a block has words: products of steps within all blocks at once, then from block to block, then within all blocks
+    again. What is carried is how many times state 1 outweighs state 0. Pairs of first words are 0.
     """
     n = len(scores)
     if not n:
         return np.zeros(0), np.zeros((0, 2, 2))
     long = max(1, int(np.sqrt(n)))
     count = -(-n // long)
-    emit = np.stack([np.zeros(n), scores], axis=1)
+
+    def blocks(values: np.ndarray, rest: float) -> np.ndarray:
+        out = np.full(count * long, rest)
+        out[:n] = values
+        return np.ascontiguousarray(out.reshape(count, long).T)
+
     begin = np.zeros(n, bool)
     begin[bounds[:-1][np.diff(bounds) > 0]] = True
-    move = np.where(begin[:, None, None], 0.0, steps[None]) + emit[:, None, :]
-    move = np.exp(move - move.max(axis=(1, 2), keepdims=True))
-    full = np.zeros((count * long, 2, 2))
-    full[:n] = move
-    full[n:] = np.eye(2)
-    full = full.reshape(count, long, 2, 2)
-    whole = np.tile(np.eye(2), (count, 1, 1))
+    gain = np.exp(np.clip(scores, -_FAR, _FAR))
+    moves = np.exp(np.clip(steps, -_FAR, _FAR))
+    # Weight of state s before state t of this word is m[s][t], without what the word itself gives to state 1.
+    m = [[np.where(begin, 1.0, moves[s, t]) for t in (0, 1)] for s in (0, 1)]
+    g = blocks(gain, 1.0)
+    (a, b), (c, d) = ([blocks(m[s][t], float(s == t)) for t in (0, 1)] for s in (0, 1))
+    b, d = b * g, d * g
+    whole = np.zeros((2, 2, count))
+    whole[0, 0] = whole[1, 1] = 1.0
     for t in range(long):
-        whole = whole @ full[:, t]
-        whole /= whole.max(axis=(1, 2), keepdims=True)
-    head, tail = np.empty((count, 2)), np.empty((count, 2))
-    now = np.full(2, 0.5)
-    for k in range(count):
+        first, second = whole[:, 0], whole[:, 1]
+        whole = np.stack([first * a[t] + second * c[t], first * b[t] + second * d[t]], axis=1)
+        if t % 4 == 3:
+            whole /= whole.max(axis=(0, 1))
+    whole /= whole.max(axis=(0, 1))
+    head, tail, now = np.empty(count), np.empty(count), 1.0
+    for k, ((w, x), (y, z)) in enumerate(whole.transpose(2, 0, 1).tolist()):
         head[k] = now
-        now = now @ whole[k]
-        now = now / now.sum()
-    now = np.full(2, 0.5)
-    for k in range(count - 1, -1, -1):
+        now = min(max((x + z * now) / (w + y * now), _LEAST), 1 / _LEAST)
+    now = 1.0
+    for k, ((w, x), (y, z)) in reversed(list(enumerate(whole.transpose(2, 0, 1).tolist()))):
         tail[k] = now
-        now = whole[k] @ now
-        now = now / now.sum()
-    ahead, behind = np.empty((count, long, 2)), np.empty((count, long, 2))
+        now = min(max((y + z * now) / (w + x * now), _LEAST), 1 / _LEAST)
+    ahead, behind = np.empty((long, count)), np.empty((long, count))
     now = head
     for t in range(long):
-        now = (now[:, :, None] * full[:, t]).sum(axis=1)
-        now = now / now.sum(axis=1, keepdims=True)
-        ahead[:, t] = now
+        ahead[t] = now = (b[t] + d[t] * now) / (a[t] + c[t] * now)
     now = tail
     for t in range(long - 1, -1, -1):
-        behind[:, t] = now
-        now = (full[:, t] * now[:, None, :]).sum(axis=2)
-        now = now / now.sum(axis=1, keepdims=True)
-    ahead, behind = ahead.reshape(-1, 2)[:n], behind.reshape(-1, 2)[:n]
+        behind[t] = now
+        now = (c[t] + d[t] * now) / (a[t] + b[t] * now)
+    ahead, behind = ahead.T.ravel()[:n], behind.T.ravel()[:n]
     both = ahead * behind
     pairs = np.zeros((n, 2, 2))
-    pairs[1:] = ahead[:-1, :, None] * move[1:] * behind[1:, None, :]
+    pairs[1:, 0, 0], pairs[1:, 0, 1] = moves[0, 0], moves[0, 1] * (gain * behind)[1:]
+    pairs[1:, 1, 0], pairs[1:, 1, 1] = moves[1, 0] * ahead[:-1], moves[1, 1] * ahead[:-1] * (gain * behind)[1:]
     pairs[begin] = 0.0
     total = pairs.sum(axis=(1, 2), keepdims=True)
-    return both[:, 1] / both.sum(axis=1), pairs / np.where(total > 0, total, 1.0)
+    return both / (1 + both), pairs / np.where(total > 0, total, 1.0)
 
 
-def fit_field(rows: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, rounds: int = 120, hold: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(rows: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, rounds: int = 80, hold: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, steps) of greatest posterior for labelled words, by gradient ascent; the prior where nothing is toxic."""
     weights, steps = PRIOR.copy(), np.zeros((2, 2))
     if not toxic.any():
