@@ -7,13 +7,16 @@ shingles threaten with many candidates takes a longer prefix and asks for more s
 1. One pass counts the shingles that occur often; the commonest decide the order.
 2. A second pass gives each text its set's digest, size, prefix and a parity sketch. Equal sets become one class.
 3. Stars: on every prefix shingle, each class is compared with the class most exposed to candidates.
-4. On shingles where several components still meet, classes are compared in blocks by size and sketch. Pairs that meet
-   on as many shingles as they ask for are verified too. Links of both steps give the components.
+4. On shingles where several components still meet, classes are compared in blocks: by size and a small sketch, those left
+   by the whole sketch, those left by whole sets. Each of these passes returns classes or links, at most one per class
+   and shingle, never pairs: a block unites what it has verified. A pair is verified where it shares as many prefix
+   shingles as it asks for. Links of both steps give the components.
 Verification compares whole sets, which a further pass makes for the classes in question only.
 """
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,12 @@ COMMON = 50_000
 COUNTED, OFTEN = 1_000_000, 4
 #: Classes of one block, about, and bits of the smallest sketch; a larger set has one bit or more for each shingle.
 BLOCK, SKETCH = 1024, 512
+#: Bytes of sets or sketches of one block, about.
+BLOCK_BYTES = 32_000_000
 #: Bits of the filter for classes in question: at least, and at most (4 MB).
 FILTER_BITS = (1 << 16, 1 << 25)
 _S = "struct<rid:long,component:long,n:int,matches:int,level:int,sketch:binary>"
+_T = "struct<rid:long,component:long,n:int,matches:int,level:int,prefix:array<long>,own:binary>"
 
 
 def common_shingles(docs: DataFrame, k: int, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -154,55 +160,114 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return told.mapInArrow(run, "a long, b long")
 
 
-def _in_block(left: list[dict], right: list[dict] | None, percent: int) -> list[tuple[int, int, int]]:
-    """(a, b, matches asked for) of pairs of different components that may be alike, where this shingle counts for both.
+def _near(left: list[dict], right: list[dict] | None, percent: int, whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, columns, matches asked for) of items of different components that may be alike, where this shingle counts for both.
 
-    A pair asks for the fewer matches of its two; shingles beyond the prefix that goes with these don't count.
+    A pair asks for the fewer matches of its two; shingles beyond the prefix that goes with these don't count. Sketches
+    are compared at the smallest size first, and at their own size where ``whole``.
     """
     other = left if right is None else right
     n, m = (np.array([r["n"] for r in side], np.int64) for side in (left, other))
-    x, y = (np.stack([np.frombuffer(r["sketch"], np.uint64) for r in side]) for side in (left, other))
+    x, y = (np.stack([folded(r["sketch"], SKETCH // 8) for r in side]) for side in (left, other))
     c, d = (np.array([r["component"] for r in side]) for side in (left, other))
     p, q = (np.array([r["matches"] for r in side]) for side in (left, other))
     u, v = (np.array([r["level"] for r in side]) for side in (left, other))
-    out = []
-    for low in range(0, len(left), 256):
-        part = slice(low, low + 256)
-        asked = np.minimum(p[part, None], q[None])
-        differ = np.bitwise_count(x[part, None] ^ y[None]).sum(axis=2, dtype=np.int64)
-        good = _alike(n[part, None], m[None], differ, percent) & (c[part, None] != d[None]) & (np.maximum(u[part, None], v[None]) <= asked)
+    for i in range(len(left)):
+        asked = np.minimum(p[i], q)
+        good = (c[i] != d) & (np.maximum(u[i], v) <= asked) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m))
         if right is None:
-            good &= np.arange(low, low + len(good))[:, None] < np.arange(len(other))[None]
-        for i, j in zip(*np.nonzero(good)):
-            one, two = left[low + i], other[j]
-            out.append((min(one["rid"], two["rid"]), max(one["rid"], two["rid"]), int(asked[i, j])))
-    return out
-
-
-def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, matches asked for, matches met) from entries (token, n_blocks, item), in parts; a shingle of many classes is compared block by block."""
+            good[:i + 1] = False
+        at = np.flatnonzero(good)
+        if len(at):
+            at = at[_alike(n[i], m[at], np.bitwise_count(x[i] ^ y[at]).sum(axis=1, dtype=np.int64), percent)]
+        if whole and len(at):
+            differ = np.array([apart(left[i]["sketch"], other[j]["sketch"]) for j in at.tolist()], np.int64)
+            at = at[_alike(n[i], m[at], differ, percent)]
+        if len(at):
+            yield i, at, asked[at]
+
+
+def _each_block(entries: DataFrame, item: str, run, kind: str) -> DataFrame:
+    """What ``run`` makes of (left, right) from entries (token, n_blocks, item): each block with itself (right null) and with the later ones of its shingle."""
     entries = entries.withColumn("block", F.pmod(F.xxhash64("item.rid"), F.col("n_blocks")).cast("int"))
     packed = saved(entries.groupBy("token", "n_blocks", "block").agg(F.collect_list("item").alias("items")))
-    alone = packed.select(F.col("items").alias("left"), F.lit(None).cast(f"array<{_S}>").alias("right"))
+    alone = packed.select("token", F.col("items").alias("left"), F.lit(None).cast(f"array<{item}>").alias("right"))
     many = packed.where("n_blocks > 1")
     two = many.select("token", "block", F.col("items").alias("left")).join(
         many.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("items").alias("right")), (F.col("token") == F.col("t")) & (F.col("block") < F.col("b")))
+    return alone.unionByName(two.select("token", "left", "right")).mapInArrow(run, kind)
+
 
+def _in_question(entries: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """The (token, rid) among the entries that have a partner which may be alike: never more rows than entries."""
+    def run(batches):
+        for batch in batches:
+            tokens, rids = [], []
+            for token, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                left, right = left.as_py(), right.as_py()
+                found: set[int] = set()
+                for i, at, _ in _near(left, right, percent, whole):
+                    found.add(left[i]["rid"])
+                    found.update((left if right is None else right)[j]["rid"] for j in at.tolist())
+                tokens += [token] * len(found)
+                rids += found
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(rids, pa.int64())], names=["token", "rid"])
+    return saved(_each_block(entries, _S, run, "token long, rid long").distinct())
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have ``percent`` hundredths of Jaccard similarity."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1) if len(y) else np.zeros(0, int)
+    both = int((y[at] == x).sum()) if len(y) else 0
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _links_in_blocks(entries: DataFrame, percent: int) -> DataFrame:
+    """Links that join what the components leave apart, verified on whole sets in the task: at most one per entry.
+
+    A pair counts once it shares as many prefix shingles as it asks for; it is verified on the least of them alone.
+    """
     def run(batches):
         for batch in batches:
-            met: dict[tuple[int, int, int], int] = {}
-            for left, right in zip(batch.column(0), batch.column(1)):
-                for pair in _in_block(left.as_py(), right.as_py(), percent):
-                    met[pair] = met.get(pair, 0) + 1
-            c = list(zip(*met)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()),
-                                              pa.array(list(met.values()), pa.int64())], names=["a", "b", "asked", "met"])
-    return alone.unionByName(two.select("left", "right")).mapInArrow(run, "a long, b long, asked int, met long")
+            links: list[tuple[int, int]] = []
+            for token, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                left, right = left.as_py(), right.as_py()
+                for side in (left, right or []):
+                    for r in side:
+                        r["own"] = np.frombuffer(r["own"], np.uint64)
+                        r["sketch"] = sketch_of(r["own"])
+                root: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while root.get(x, x) != x:
+                        root[x] = root.get(root[x], root[x])
+                        x = root[x]
+                    return x
+                other = left if right is None else right
+                for i, at, asked in _near(left, right, percent, True):
+                    one = left[i]
+                    for j, l in zip(at.tolist(), asked.tolist()):
+                        two = other[j]
+                        shared = set(one["prefix"][:len(one["prefix"]) - one["matches"] + l]) & set(two["prefix"][:len(two["prefix"]) - two["matches"] + l])
+                        if len(shared) < l or min(shared) != token:
+                            continue
+                        a, b = find(one["component"]), find(two["component"])
+                        if a != b and alike(one["own"], two["own"], percent):
+                            root[max(a, b)] = min(a, b)
+                            links.append((one["rid"], two["rid"]))
+            c = list(zip(*links)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], names=["a", "b"])
+    return saved(_each_block(entries, _T, run, "a long, b long"))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The saved pairs (a, b) whose whole sets are alike enough. Sets are made again, for the classes in question only."""
-    nodes = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+def _blocked(entries: DataFrame, size: str) -> DataFrame:
+    """Add ``n_blocks`` to entries (token, item): blocks of about BLOCK classes and BLOCK_BYTES bytes."""
+    of = entries.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.expr(size)) / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    return entries.join(of, "token")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(rid, own) with the whole set of every class in ``nodes`` (rid), made again from the texts of these classes only."""
     asked = saved(classes.select("rid", "tid").join(nodes, "rid"))
     count = asked.count()
     bits = min(max(FILTER_BITS[0], 1 << (12 * max(count, 1) - 1).bit_length()), FILTER_BITS[1])
@@ -231,21 +296,30 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
     source = docs.select(text_hash(), "text")
     made = source.select("tid", *[F.pmod(F.xxhash64("tid", F.lit(i)), F.lit(bits)).alias(f"p{i}") for i in range(3)], "text").mapInArrow(run, "tid long, own binary")
     sets = saved(made.join(asked, "tid").groupBy("rid").agg(F.first("own").alias("own")))
+    drop(asked)
+    return sets
+
+
+def _asking(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share as many shingles of their prefixes as they ask for."""
+    side = lambda x: classes.select(F.col("rid").alias(x), F.col("prefix").alias(f"p{x}"), F.col("matches").alias(f"m{x}"))
+    asked = F.least("ma", "mb")
+    part = lambda x: F.slice(f"p{x}", F.lit(1), F.size(f"p{x}") - F.col(f"m{x}") + asked)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect(part("a"), part("b"))) >= asked).select("a", "b")
+
+
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The saved pairs (a, b) whose whole sets are alike enough."""
+    sets = _sets(docs, classes, pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), k)
 
     def check(batches):
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*[batch.column(i) for i in range(4)]):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) + len(y) else 0
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((a.as_py(), b.as_py()))
-            c = list(zip(*out)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], names=["a", "b"])
+            good = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
     with_a = pairs.join(sets.select(F.col("rid").alias("a"), F.col("own").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("rid").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
     links = saved(with_b.mapInArrow(check, "a long, b long"))
-    drop(asked, sets)
+    drop(sets)
     tidy(docs.sparkSession)
     return links
 
@@ -279,20 +353,25 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     labelled = shared.select("token", "rid", "matches", "level", "df").join(label, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     labelled = saved(labelled)
     of_two = labelled.where("df = 2").groupBy("token").agg(*[f(F.struct("rid", "component", "matches", "level")).alias(x) for f, x in ((F.min, "u"), (F.max, "v"))])
-    asked = F.least("u.matches", "v.matches")
-    few = (of_two.where((F.col("u.component") != F.col("v.component")) & (F.greatest("u.level", "v.level") <= asked))
-           .groupBy(F.col("u.rid").alias("a"), F.col("v.rid").alias("b"), asked.cast("int").alias("asked")).agg(F.count(F.lit(1)).alias("met")))
+    few = (of_two.where((F.col("u.component") != F.col("v.component")) & (F.greatest("u.level", "v.level") <= F.least("u.matches", "v.matches")))
+           .select(F.col("u.rid").alias("a"), F.col("v.rid").alias("b")).distinct())
+    rest = saved(_asking(_plausible(few, classes, percent), classes))
+    more = _verify(docs, classes, rest, k, percent)
     several = labelled.where("df > 2")
     mixed = several.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    meeting = several.drop("matches").join(mixed, "token").join(classes.select("rid", "n", "matches", F.col("small").alias("sketch")), "rid")
-    met = _block_pairs(meeting.select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("n_blocks"),
-                                      F.struct("rid", "component", "n", "matches", F.col("level").cast("int").alias("level"), "sketch").alias("item")), percent)
-    every = few.unionByName(met).groupBy("a", "b", "asked").agg(F.sum("met").alias("met")).where("met >= asked").select("a", "b")
-    rest = saved(_plausible(every, classes, percent))
-    tidy(docs.sparkSession)
-    more = _verify(docs, classes, rest, k, percent)
-    whole = components(links.unionByName(more)).withColumnRenamed("node", "rid")
-    drop(shared, labelled, rest)
+    meeting = several.join(mixed, "token")
+    for sketch, size in (("small", f"{SKETCH // 8}L"), ("sketch", "length(item.sketch)")):
+        items = meeting.select("token", "rid", "component", "level").join(classes.select("rid", "n", "matches", F.col(sketch).alias("sketch")), "rid")
+        items = items.select("token", F.struct("rid", "component", "n", "matches", F.col("level").cast("int").alias("level"), "sketch").alias("item"))
+        left = _in_question(_blocked(items, size), percent, sketch == "sketch")
+        meeting = labelled.join(left, ["token", "rid"])
+        tidy(docs.sparkSession)
+    sets = _sets(docs, classes, left.select("rid").distinct(), k)
+    items = meeting.select("token", "rid", "component", "level").join(classes.select("rid", "n", "matches", "prefix"), "rid").join(sets, "rid")
+    items = items.select("token", F.struct("rid", "component", "n", "matches", F.col("level").cast("int").alias("level"), "prefix", "own").alias("item"))
+    found = _links_in_blocks(_blocked(items, "length(item.own)"), percent)
+    whole = components(links.unionByName(more).unionByName(found)).withColumnRenamed("node", "rid")
+    drop(shared, labelled, rest, sets)
     tidy(docs.sparkSession)
     return profile, classes.select("rid", "digest").join(whole, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
 
