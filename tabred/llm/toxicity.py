@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabred.llm.tables import digits52
+from tabred.llm.tables import digits52, small_batches
 from tabred.llm.words import LOWER, mix, slices, span_hashes, word_spans
 
 #: Hashed forms: what is counted in Spark, and what every task is told (a number each).
@@ -220,16 +221,34 @@ class Model:
         return words, chance, 1 / (1 + np.exp(-np.clip(summary(chance, words.bounds) @ self.curve, -30, 30)))
 
 
+def word_lists(docs: DataFrame) -> DataFrame:
+    """(doc_id, words) per document: its different words in lower case, compressed; what counting documents needs of a text."""
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            out = []
+            for _, _, data, offsets in slices(batch.column(1)):
+                low = lowered(data)
+                starts, ends, bounds = word_spans(low, offsets, _NOT_WORD)
+                raw, starts, ends = low.tobytes(), starts.tolist(), ends.tolist()
+                out += [press.compress(b" ".join(dict.fromkeys(raw[i:j] for i, j in zip(starts[a:b], ends[a:b])))) for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "words"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary")
+
+
 def form_values(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Cautious log-odds value of every hashed form, from the counts over all labelled documents.
 
-    Counts are added up in a task, then in Spark, so at most ``BINS`` rows leave a task and reach the driver.
+    Word lists meet the labels in a shuffle, never texts. Counts are added up in a task, then in Spark, so at most
+    ``BINS`` rows leave a task and reach the driver.
     """
     def count(batches):
         toxic, clean, docs_of = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64), [0, 0]
+        opened = zstandard.ZstdDecompressor()
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in slices(batch.column(0)):
+            texts = pa.array([opened.decompress(w) for w in batch.column(0).to_pylist()], pa.binary()).cast(pa.string())
+            for first, _, data, offsets in slices(texts):
                 words = read_words(data, offsets)
                 for i, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:])):
                     forms = np.unique(words.forms[a:b])
@@ -237,7 +256,7 @@ def form_values(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                     docs_of[int(label[first + i] > 0)] += 1
         full = np.flatnonzero(toxic + clean)
         yield pa.RecordBatch.from_pydict({"form": np.append(full, -1), "toxic": np.append(toxic[full], docs_of[1]), "clean": np.append(clean[full], docs_of[0])})
-    marked = docs.select("doc_id", "text").join(labels, "doc_id").select("text", F.col("toxic").cast("int"))
+    marked = word_lists(docs).join(labels.hint("merge"), "doc_id").select("words", F.col("toxic").cast("int"))
     rows = marked.mapInArrow(count, "form long, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     form, toxic, clean = (rows.column(c).to_numpy() for c in ("form", "toxic", "clean"))
     whole = form < 0
@@ -257,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     """
     spark = docs.sparkSession
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    values = form_values(docs, labels)
+    with small_batches(spark):
+        values = form_values(docs, labels)
     told = spark.sparkContext.broadcast(values)
     chosen = labels.orderBy(digits52(F.col("doc_id").cast("string")), "doc_id").limit(train_docs)
     sample = docs.select("doc_id", "text").where(F.octet_length("text") <= train_bytes).join(F.broadcast(chosen), "doc_id")
