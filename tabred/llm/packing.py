@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabred.llm.tables import numbered, saved
-from tabred.llm.words import slices, span_hashes
+from tabred.llm.words import equal_spans, slices, span_codes, span_hashes
 
 CAPACITY = 1024
 END_ID = 2
@@ -21,7 +21,7 @@ END_ID = 2
 SMALL_SHARE = 0.45
 #: Groups of equal cardinality, so many sizes at most in a configuration.
 GROUPS = 64
-#: Different text chunks whose ids a Python worker keeps, about 40 bytes each.
+#: Different text chunks whose ids a Python worker keeps, about 60 bytes each.
 KEPT_CHUNKS = 3_000_000
 
 _SPACE = np.zeros(256, bool)
@@ -65,10 +65,21 @@ class ChunkTokenizer:
     def _clear(self) -> None:
         self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.bytes, self.held = np.zeros(1 << 16, np.uint8), 0
+        self.byte_at, self.byte_size = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        made = self._ids(chunks)
         size = np.fromiter(map(len, made), np.int32, len(made))
+        whole, long = np.frombuffer(b"".join(chunks), np.uint8), np.fromiter(map(len, chunks), np.int32, len(chunks))
+        if self.held + len(whole) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(len(self.bytes) + len(whole), np.uint8)])
+        self.bytes[self.held:self.held + len(whole)] = whole
+        byte_at = self.held + np.cumsum(long, dtype=np.int64) - long
+        self.held += len(whole)
         total = int(size.sum())
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + total, np.uint32)])
@@ -76,7 +87,8 @@ class ChunkTokenizer:
         at = self.used + np.cumsum(size, dtype=np.int64) - size
         self.used += total
         place = np.searchsorted(self.known, hashes)
-        self.known, self.at, self.size = (np.insert(a, place, b) for a, b in ((self.known, hashes), (self.at, at), (self.size, size)))
+        self.known, self.at, self.size, self.byte_at, self.byte_size = (np.insert(a, place, b) for a, b in (
+            (self.known, hashes), (self.at, at), (self.size, size), (self.byte_at, byte_at), (self.byte_size, long)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds per text) of a run of texts."""
@@ -92,13 +104,23 @@ class ChunkTokenizer:
             self.known[np.minimum(place, len(self.known) - 1)] != hashes)
         if len(new):
             raw = data.tobytes()
-            self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self._learn(hashes[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             place = np.searchsorted(self.known, hashes)
+        kept = place[back]
+        if not equal_spans(data, starts, ends, self.bytes, self.byte_at[kept], self.byte_at[kept] + self.byte_size[kept]).all():
+            return self._encode_apart(data, offsets, starts, ends)
         at, sizes = self.at[place][back], self.size[place][back].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.ids[np.repeat(at - total[:-1], sizes) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offsets)]
 
+    def _encode_apart(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where different chunks share a hash: chunks are told apart by their bytes, and nothing is kept."""
+        codes, chunks = span_codes(data, starts, ends)
+        made = [np.array(i, np.uint32) for i in self._ids(chunks.to_pylist())]
+        total = np.concatenate(([0], np.cumsum(np.array([len(m) for m in made], np.int64)[codes])))
+        return np.concatenate([made[c] for c in codes.tolist()]), total[np.searchsorted(starts, offsets)]
+
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str) -> ChunkTokenizer:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabred.llm.tables import digits52
-from tabred.llm.words import mix, slices, span_hashes, windows, word_spans
+from tabred.llm.words import mix, slices, span_codes, windows, word_spans
 
 WINDOW = 8
 #: Labelled documents that the field is fitted on, and the longest text among them in bytes: what the driver holds.
@@ -49,13 +49,18 @@ def look(data: np.ndarray, offsets: np.ndarray) -> Lines:
         return np.concatenate(([0], np.cumsum(marks)))
 
     starts, ends, bounds = word_spans(data, offsets)
-    words = span_hashes(data, starts, ends)
+    words, _ = span_codes(data, starts, ends)
     texts = len(offsets) - 1
     owner = np.repeat(np.arange(texts), np.diff(bounds))
-    window, whole = windows(words, bounds, WINDOW)
+    window, whole = windows(mix(words.astype(np.uint64)), bounds, WINDOW)
     at = np.flatnonzero(whole)
     keys = mix(window[at] + owner[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+    _, first_of, back, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    like = at[first_of[back]]
+    if (owner[at] != owner[like]).any() or any((words[at + j] != words[like + j]).any() for j in range(WINDOW)):
+        whole_rows = np.stack([owner[at], *[words[at + j] for j in range(WINDOW)]], axis=1)
+        _, back, times = np.unique(whole_rows, axis=0, return_inverse=True, return_counts=True)
+        back = back.ravel()
     again = at[times[back] > 1]
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, again, 1)
@@ -75,7 +80,8 @@ def look(data: np.ndarray, offsets: np.ndarray) -> Lines:
     full = last > first
     line_starts, line_ends, first, last = line_starts[full], line_ends[full], first[full], last[full]
     line_owner = np.searchsorted(offsets, line_starts, "right") - 1
-    line_keys = mix(span_hashes(data, line_starts, line_ends) + line_owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    line_codes, every_line = span_codes(data, line_starts, line_ends)
+    line_keys = line_codes + line_owner * max(len(every_line), 1)
     _, once = np.unique(line_keys, return_index=True)
     copy = np.ones(len(line_keys), bool)
     copy[once] = False

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,42 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span."""
+    """64-bit hash of the bytes of each span: a filter only, since different spans can be made that share it."""
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * power[:len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * _SPREAD[0])
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each span of ``data`` has the bytes of its span of ``other``."""
+    size = ends - starts
+    same = size == last - first
+    size = np.where(same, size, 0)
+    edge = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+    wrong = np.concatenate(([0], np.cumsum(data[np.repeat(starts, size) + at] != other[np.repeat(first, size) + at])))
+    return same & (wrong[edge[1:]] == wrong[edge[:-1]])
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each span's bytes, the different byte strings by number) for spans in order that don't overlap."""
+    if not len(starts):
+        return np.zeros(0, np.int64), pa.array([], pa.binary())
+    edge = np.empty(2 * len(starts) + 1, np.int64)
+    edge[0:-1:2], edge[1::2], edge[-1] = starts, ends, ends[-1]
+    every = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))])
+    own = every.take(pa.array(np.arange(0, len(edge) - 1, 2))).dictionary_encode()
+    return own.indices.to_numpy().astype(np.int64), own.dictionary
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of a keyed blake2b digest of each span, alike on every machine; equal bytes are digested once."""
+    codes, texts = span_codes(data, starts, ends)
+    made = b"".join([blake2b(w, digest_size=8, key=b"words").digest() for w in texts.to_pylist()])
+    return np.frombuffer(made, U)[codes]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each text and the end) of the words of a run of texts."""
     inside = np.zeros(len(data) + 2, bool)
@@ -81,9 +111,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SE
 
 def windows(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the k words from each word on, whether they all lie in its text)."""
-    total = np.zeros(len(words), U)
+    total = np.full(len(words), _SPREAD[0])
     for j in range(min(k, len(words))):
-        total[:len(words) - j] += words[j:] * _SPREAD[j % 16] * U(2 * (j // 16) + 1)
+        total[:len(words) - j] = mix(total[:len(words) - j] ^ words[j:]) + _SPREAD[1]
     last = np.repeat(bounds[1:], np.diff(bounds)) - k
     return mix(total), np.arange(len(words)) <= last
 
@@ -95,8 +125,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     total, keep = windows(words, bounds, k)
     for d in np.flatnonzero((lengths > 0) & (lengths < k)):
         own = words[bounds[d]:bounds[d + 1]]
-        value = sum((int(w) * int(_SPREAD[j % 16]) for j, w in enumerate(own)), 7 * len(own))
-        total[bounds[d]] = mix(np.array([value & (2 ** 64 - 1)], U))[0]
+        total[bounds[d]] = int.from_bytes(blake2b(own.tobytes(), digest_size=8, key=b"short").digest(), "little")
         keep[bounds[d]] = True
     return total[keep], np.concatenate(([0], np.cumsum(count)))
 
@@ -111,6 +140,6 @@ def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> Iterator[tuple[
     for first, _, data, offsets in slices(texts):
         data = LOWER[data] if lower else data
         starts, ends, bounds = word_spans(data, offsets)
-        hashes, cuts = shingle_hashes(span_hashes(data, starts, ends), bounds, k)
+        hashes, cuts = shingle_hashes(word_keys(data, starts, ends), bounds, k)
         for i, own in enumerate(distinct_sets(hashes, cuts)):
             yield first + i, own

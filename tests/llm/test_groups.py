@@ -219,3 +219,23 @@ def test_pipeline(spark, folder):
 def test_every_query_is_registered():
     names = set(catalog.QUERIES)
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_equal_fast_hashes_are_told_apart(vocabulary):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    from conftest import SAME_A, SAME_B
+    data = np.frombuffer((SAME_A + SAME_B).encode(), np.uint8)
+    ends = np.array([2048, 4096])
+    assert len(set(words.span_hashes(data, ends - 2048, ends).tolist())) == 1
+    assert len(set(words.word_keys(data, ends - 2048, ends).tolist())) == 2
+    one, two = (own for _, own in words.shingle_sets(pa.array([SAME_A + " x y z", SAME_B + " x y z"]), 3))
+    assert len(np.intersect1d(one, two)) == 1
+    plain = Tokenizer.from_file(vocabulary)
+    for texts in ([SAME_A, SAME_B], [SAME_A, "a b", SAME_B, SAME_A], [SAME_B]):
+        encoder = packing.ChunkTokenizer(vocabulary)
+        for part in (texts, texts[::-1]):
+            flat = "".join(part).encode()
+            offsets = np.concatenate(([0], np.cumsum([len(t) for t in part])))
+            ids, bounds = encoder.encode(np.frombuffer(flat, np.uint8), offsets)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in part]
