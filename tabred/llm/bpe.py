@@ -17,6 +17,10 @@ PIECE_CHARS = 100_000
 #: Between these two characters no match of the split pattern can reach: a space after and before something that is not space.
 SAFE = regex.compile(r"(?<=\S)(?= \S)")
 
+#: White space (Unicode) in a row from which a run is merged without the split pattern.
+LONG_RUN = 10_000
+_RUN = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
 
 @lru_cache(maxsize=2)
 def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
@@ -43,10 +47,21 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode(text: str, enc: tiktoken.Encoding, size: int = PIECE_CHARS) -> np.ndarray:
-    """Token ids of a text, as the library gives for the whole text."""
-    if len(text) <= size:
+    """Token ids of a text, as the library gives for the whole text.
+
+    The split pattern takes a run of white space as one match, less its last character where something follows. The
+    library's pattern engine runs out of stack on very long runs, so their bytes are merged as one piece instead.
+    """
+    if len(text) <= min(size, LONG_RUN):
         return np.array(enc.encode_ordinary(text), np.uint32)
-    return np.concatenate([np.array(enc.encode_ordinary(p), np.uint32) for p in pieces(text, size)])
+    out, start = [np.zeros(0, np.uint32)], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += [np.array(enc.encode_ordinary(p), np.uint32) for p in pieces(text[start:run.start()], size)]
+        out.append(np.array(enc._encode_single_piece(text[run.start():end]), np.uint32))
+        start = end
+    out += [np.array(enc.encode_ordinary(p), np.uint32) for p in pieces(text[start:], size)]
+    return np.concatenate(out)
 
 
 def encode_texts(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,7 +88,13 @@ def decode_ids(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id",
 
 
 def round_trip(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Encode every document, decode its ids, and return counts and digests, without moving ids between tasks."""
+    """Encode every document, decode its ids, and return counts and digests, without moving ids between tasks.
+
+    Null and empty texts have no ids; texts of any length are encoded whole; repeated rows repeat, with the doc_id as it
+    is (null too). Other columns are left out, whatever their names; an empty table gives no rows.
+    """
+    kind = df.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
         enc = encoding(rank_file, pattern)
         for batch in batches:
@@ -85,7 +106,7 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 of_bytes.append(hashlib.sha256(enc.decode_bytes(ids.tolist())).hexdigest())
             yield _batch(batch.column(0), {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()),
                                            "decoded_sha256": pa.array(of_bytes, pa.string())})
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _batch(key: pa.Array, columns: dict[str, pa.Array]) -> pa.RecordBatch:

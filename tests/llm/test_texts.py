@@ -227,3 +227,13 @@ def test_license_texts_are_told_apart():
                        (gnu.format("General Public License", "2"), "GPL-2.0"), (gnu.format("General Public License", "3"), "GPL-3.0")):
         assert [s[2] for s in licenses.scan_text(text)] == [name], text
     assert licenses.scan_text(gnu.format("General Public License", "7")) == []
+
+
+def test_long_white_space(ranks):
+    enc = bpe.encoding(*ranks)
+    for run in (" " * 12_000, "\n" * 10_001, " \n\t" * 4000, "　\xa0" * 6000, "\x1c" * 12_000, "\x1c \x1f" * 5000):
+        for text in (run, f"a{run}", f"{run}b", f"one{run}two {run}!", f"{run}'s{run}5"):
+            assert bpe.encode(text, enc).tolist() == enc.encode_ordinary(text)
+    for run in (" " * 2_000_000, "\n" * 2_000_000, " \n" * 1_000_000):
+        ids = bpe.encode(f"word{run}end", enc)
+        assert enc.decode_bytes(ids.tolist()) == f"word{run}end".encode()
