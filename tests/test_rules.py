@@ -65,3 +65,22 @@ def test_registry_covers_templates_and_oracles_have_queries():
     assert set(o) <= set(q)
     assert sum(1 for n in q if n.startswith("t") and n.split("_")[0][1:].isdigit() and "stream" not in n and "windowed" not in n and "one_year" not in n) == 74
     assert {f"q{i}" for i in range(1, 23)} <= {n.split("_")[0] for n in q}
+
+
+def test_reduced_dependencies_are_equivalent_and_tight():
+    import itertools
+    import numpy as np
+    rng = np.random.default_rng(3)
+    names = list("abcdef")
+    every = np.array(list(itertools.product((False, True), repeat=6)))
+    for _ in range(40):
+        fds = [(rng.choice(names, rng.integers(1, 4), replace=False).tolist(), rng.choice(names, rng.integers(1, 3), replace=False).tolist()) for _ in range(rng.integers(1, 7))]
+        given = normalize.Dependencies.of(names, fds)
+        tight = given.reduced()
+        assert (given.closure(every) == tight.closure(every)).all()
+        for i, side in enumerate(tight.left):
+            assert (tight.without(i).closure(side[None]) != given.closure(side[None])).any()
+            for c in np.flatnonzero(side):
+                less = side.copy()
+                less[c] = False
+                assert not less.any() or (given.closure(less[None]) != given.closure(side[None])).any()
