@@ -7,10 +7,10 @@ shingles threaten with many candidates takes a longer prefix and asks for more s
 1. One pass counts the shingles that occur often; the commonest decide the order.
 2. A second pass gives each text its set's digest, size, prefix and a parity sketch. Equal sets become one class.
 3. Stars: on every prefix shingle, each class is compared with the class most exposed to candidates.
-4. On shingles where several components still meet, classes are compared in blocks: by size and a small sketch, those left
-   by the whole sketch, those left by whole sets. Each of these passes returns classes or links, at most one per class
-   and shingle, never pairs: a block unites what it has verified. A pair is verified where it shares as many prefix
-   shingles as it asks for. Links of both steps give the components.
+4. On shingles where several components still meet, classes are compared in blocks by size and a small sketch, and those
+   left by the whole sketch, which puts them into families. A family's classes are compared by whole sets, in blocks, if
+   they share as many prefix shingles as they ask for. Each of these passes returns classes or links, at most one per
+   class and group, never pairs: a block unites what it has found. Links of both steps give the components.
 Verification compares whole sets, which a further pass makes for the classes in question only.
 """
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabred.llm.components import components
+from tabred.llm.components import components, forest
 from tabred.llm.tables import drop, saved, small_batches, tidy
 from tabred.llm.words import shingle_sets
 
@@ -39,7 +39,7 @@ BLOCK_BYTES = 32_000_000
 #: Bits of the filter for classes in question: at least, and at most (4 MB).
 FILTER_BITS = (1 << 16, 1 << 25)
 _S = "struct<rid:long,component:long,n:int,matches:int,level:int,sketch:binary>"
-_T = "struct<rid:long,component:long,n:int,matches:int,level:int,prefix:array<long>,own:binary>"
+_T = "struct<rid:long,component:long,n:int,matches:int,prefix:array<long>,own:binary>"
 
 
 def common_shingles(docs: DataFrame, k: int, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -187,32 +187,52 @@ def _near(left: list[dict], right: list[dict] | None, percent: int, whole: bool)
             yield i, at, asked[at]
 
 
-def _each_block(entries: DataFrame, item: str, run, kind: str) -> DataFrame:
-    """What ``run`` makes of (left, right) from entries (token, n_blocks, item): each block with itself (right null) and with the later ones of its shingle."""
+def _each_block(entries: DataFrame, item: str, run, kind: str, then=lambda df: df) -> DataFrame:
+    """What ``run`` and ``then`` make, written as a table, of (left, right) from entries (token, n_blocks, item): each block with itself (right null) and with the later ones of its shingle."""
     entries = entries.withColumn("block", F.pmod(F.xxhash64("item.rid"), F.col("n_blocks")).cast("int"))
     packed = saved(entries.groupBy("token", "n_blocks", "block").agg(F.collect_list("item").alias("items")))
     alone = packed.select("token", F.col("items").alias("left"), F.lit(None).cast(f"array<{item}>").alias("right"))
     many = packed.where("n_blocks > 1")
     two = many.select("token", "block", F.col("items").alias("left")).join(
         many.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("items").alias("right")), (F.col("token") == F.col("t")) & (F.col("block") < F.col("b")))
-    return alone.unionByName(two.select("token", "left", "right")).mapInArrow(run, kind)
+    out = saved(then(alone.unionByName(two.select("token", "left", "right")).mapInArrow(run, kind)))
+    drop(packed)
+    tidy(entries.sparkSession)
+    return out
 
 
-def _in_question(entries: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """The (token, rid) among the entries that have a partner which may be alike: never more rows than entries."""
+def _in_question(entries: DataFrame, percent: int) -> DataFrame:
+    """The (token, rid) among the entries that have a partner which may be alike by its small sketch: never more rows than entries."""
     def run(batches):
         for batch in batches:
             tokens, rids = [], []
             for token, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 left, right = left.as_py(), right.as_py()
                 found: set[int] = set()
-                for i, at, _ in _near(left, right, percent, whole):
+                for i, at, _ in _near(left, right, percent, False):
                     found.add(left[i]["rid"])
                     found.update((left if right is None else right)[j]["rid"] for j in at.tolist())
                 tokens += [token] * len(found)
                 rids += found
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(rids, pa.int64())], names=["token", "rid"])
-    return saved(_each_block(entries, _S, run, "token long, rid long").distinct())
+    return _each_block(entries, _S, run, "token long, rid long", DataFrame.distinct)
+
+
+def _families(entries: DataFrame, percent: int) -> DataFrame:
+    """(rid, family): classes that may be alike by their whole sketches hang together; never more links than entries."""
+    def run(batches):
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for left, right in zip(batch.column(1), batch.column(2)):
+                left, right = left.as_py(), right.as_py()
+                other, met = left if right is None else right, ([], [])
+                for i, at, _ in _near(left, right, percent, True):
+                    met[0].extend([left[i]["rid"]] * len(at))
+                    met[1].extend(other[j]["rid"] for j in at.tolist())
+                links += [p for p in forest(*met) if p[0] != p[1]]
+            c = list(zip(*links)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], names=["a", "b"])
+    return saved(components(_each_block(entries, _S, run, "a long, b long")).toDF("rid", "family"))
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -223,19 +243,19 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _links_in_blocks(entries: DataFrame, percent: int) -> DataFrame:
-    """Links that join what the components leave apart, verified on whole sets in the task: at most one per entry.
+    """Links that join what the components leave apart, verified on whole sets in the task: at most one per entry and block.
 
-    A pair counts once it shares as many prefix shingles as it asks for; it is verified on the least of them alone.
+    A pair is verified once it shares as many prefix shingles as it asks for.
     """
     def run(batches):
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for token, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for left, right in zip(batch.column(1), batch.column(2)):
                 left, right = left.as_py(), right.as_py()
                 for side in (left, right or []):
                     for r in side:
                         r["own"] = np.frombuffer(r["own"], np.uint64)
-                        r["sketch"] = sketch_of(r["own"])
+                        r["sketch"], r["level"] = sketch_of(r["own"]), 1
                 root: dict[int, int] = {}
 
                 def find(x: int) -> int:
@@ -248,16 +268,16 @@ def _links_in_blocks(entries: DataFrame, percent: int) -> DataFrame:
                     one = left[i]
                     for j, l in zip(at.tolist(), asked.tolist()):
                         two = other[j]
-                        shared = set(one["prefix"][:len(one["prefix"]) - one["matches"] + l]) & set(two["prefix"][:len(two["prefix"]) - two["matches"] + l])
-                        if len(shared) < l or min(shared) != token:
-                            continue
                         a, b = find(one["component"]), find(two["component"])
-                        if a != b and alike(one["own"], two["own"], percent):
+                        if a == b:
+                            continue
+                        shared = set(one["prefix"][:len(one["prefix"]) - one["matches"] + l]).intersection(two["prefix"][:len(two["prefix"]) - two["matches"] + l])
+                        if len(shared) >= l and alike(one["own"], two["own"], percent):
                             root[max(a, b)] = min(a, b)
                             links.append((one["rid"], two["rid"]))
             c = list(zip(*links)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64())], names=["a", "b"])
-    return saved(_each_block(entries, _T, run, "a long, b long"))
+    return _each_block(entries, _T, run, "a long, b long")
 
 
 def _blocked(entries: DataFrame, size: str) -> DataFrame:
@@ -360,18 +380,19 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     several = labelled.where("df > 2")
     mixed = several.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     meeting = several.join(mixed, "token")
-    for sketch, size in (("small", f"{SKETCH // 8}L"), ("sketch", "length(item.sketch)")):
+    def items_of(meeting: DataFrame, sketch: str) -> DataFrame:
         items = meeting.select("token", "rid", "component", "level").join(classes.select("rid", "n", "matches", F.col(sketch).alias("sketch")), "rid")
-        items = items.select("token", F.struct("rid", "component", "n", "matches", F.col("level").cast("int").alias("level"), "sketch").alias("item"))
-        left = _in_question(_blocked(items, size), percent, sketch == "sketch")
-        meeting = labelled.join(left, ["token", "rid"])
-        tidy(docs.sparkSession)
-    sets = _sets(docs, classes, left.select("rid").distinct(), k)
-    items = meeting.select("token", "rid", "component", "level").join(classes.select("rid", "n", "matches", "prefix"), "rid").join(sets, "rid")
-    items = items.select("token", F.struct("rid", "component", "n", "matches", F.col("level").cast("int").alias("level"), "prefix", "own").alias("item"))
+        return items.select("token", F.struct("rid", "component", "n", "matches", F.col("level").cast("int").alias("level"), "sketch").alias("item"))
+    left = _in_question(_blocked(items_of(meeting, "small"), f"{SKETCH // 8}L"), percent)
+    tidy(docs.sparkSession)
+    families = _families(_blocked(items_of(labelled.join(left, ["token", "rid"]), "sketch"), "length(item.sketch)"), percent)
+    tidy(docs.sparkSession)
+    sets = _sets(docs, classes, families.select("rid"), k)
+    items = families.join(label, "rid", "left").join(classes.select("rid", "n", "matches", "prefix"), "rid").join(sets, "rid")
+    items = items.select(F.col("family").alias("token"), F.struct("rid", F.coalesce("component", "rid").alias("component"), "n", "matches", "prefix", "own").alias("item"))
     found = _links_in_blocks(_blocked(items, "length(item.own)"), percent)
     whole = components(links.unionByName(more).unionByName(found)).withColumnRenamed("node", "rid")
-    drop(shared, labelled, rest, sets)
+    drop(shared, labelled, rest, left, families, sets)
     tidy(docs.sparkSession)
     return profile, classes.select("rid", "digest").join(whole, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
 
