@@ -159,34 +159,51 @@ def stream_of(s, d, name):
     return s.readStream.schema(s.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def streamed_updates(s, d):
-    """Events correct the comment of the nation that their user falls on; the last event wins."""
-    root = fresh(s)
-    t = tpch_view(s, d)
-    (t["customer"].join(t["nation"], c("c_nationkey") == c("n_nationkey")).select("c_custkey", "c_nationkey", "n_comment")
-     .write.parquet(f"{root}/table/v=0"))
-    feed = stream_of(s, d, "events").select((c("user_id") % 20).cast("int").alias("n_nationkey"), F.concat(F.lit("event "), c("event_id").cast("string")).alias("new"), "event_id")
-    q = feeds.stream_updates(feed, f"{root}/table", f"{root}/checkpoint", {"n_nationkey": "c_nationkey"}, "n_comment", "new", "event_id")
+def in_time(s, d, name, time, steps=6):
+    """The table as a stream whose files follow each other in time, as they would arrive."""
+    source = f"{d}/{name}.parquet"
+    path, df = fresh(s), s.read.parquet(source)
+    low, high = df.agg(F.unix_timestamp(F.min(time)), F.unix_timestamp(F.max(time))).first()
+    step = F.least(F.floor((F.unix_timestamp(time) - low) * steps / max(high - low, 1)), F.lit(steps - 1))
+    for i in range(steps):
+        df.where(step == i).coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def done(q):
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return feeds.last_version(s, f"{root}/table", q.lastProgress["batchId"] + 1)
+    return q
+
+
+def streamed_updates(s, d, compact):
+    """Events correct the comment of the nation that their user falls on; the last event wins."""
+    root = fresh(s)
+    t = tpch_view(s, d)
+    table = feeds.FoldedTable(s, f"{root}/table", {"n_nationkey": "c_nationkey"}, "n_comment", "long")
+    table.create(t["customer"].join(t["nation"], c("c_nationkey") == c("n_nationkey")).select("c_custkey", "c_nationkey", "n_comment"), 8)
+    feed = stream_of(s, d, "events").select((c("user_id") % 20).cast("int").alias("n_nationkey"), F.concat(F.lit("event "), c("event_id").cast("string")).alias("new"), c("event_id").cast("long").alias("event_id"))
+    done(feeds.stream_updates(feed, table, f"{root}/checkpoint", "new", "event_id"))
+    if compact:
+        table.compact()
+    return table.read().select("c_custkey", "c_nationkey", "n_comment")
 
 
-register("t1_stream_updates", lambda s, d: streamed_updates(s, d).select("c_custkey", "c_nationkey", "n_comment"),
-         """select c_custkey, c_nationkey, coalesce('event ' || e, 'nation ' || c_nationkey) as n_comment from customer
-            left join (select user_id % 20 as k, max(event_id) as e from events group by 1) on k = c_nationkey""")
+CORRECTED = """select c_custkey, c_nationkey, coalesce('event ' || e, 'nation ' || c_nationkey) as n_comment from customer
+            left join (select user_id % 20 as k, max(event_id) as e from events group by 1) on k = c_nationkey"""
+register("t1_stream_updates", lambda s, d: streamed_updates(s, d, False), CORRECTED)
+register("t1_compacted_updates", lambda s, d: streamed_updates(s, d, True), CORRECTED)
 
 
 def monitored(s, d):
+    """The state written last of every window of a day, by a stream that holds no window longer than its day and an hour."""
     root = fresh(s)
-    q = feeds.stream_fd_monitor(stream_of(s, d, "events"), "user_id", "event_type", f"{root}/out", f"{root}/checkpoint")
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return s.read.parquet(f"{root}/out").groupBy("user_id").agg(F.max("rows").alias("rows"), F.max_by("conflicting", "rows").alias("conflicting"))
+    done(feeds.stream_fd_monitor(in_time(s, d, "events", "ts"), "user_id", "event_type", "ts", f"{root}/out", f"{root}/checkpoint"))
+    return feeds.monitored_windows(s, f"{root}/out", "user_id")
 
 
-register("t2_stream_fd_monitor", monitored, "select user_id, count(*) as rows, min(event_type) <> max(event_type) as conflicting from events group by 1")
-register("t2_windowed_conflicts", lambda s, d: feeds.windowed_conflicts(s.read.parquet(f"{d}/events.parquet"), "user_id", "event_type", "ts", "1 day", "1 hour"),
+register("t2_stream_fd_monitor", lambda s, d: feeds.monitored_groups(monitored(s, d), "user_id"),
+         "select user_id, count(*) as rows, min(event_type) <> max(event_type) as conflicting from events group by 1")
+register("t2_windowed_conflicts", lambda s, d: monitored(s, d).drop("low", "high"),
          "select date_trunc('day', ts) as start, user_id, count(*) as rows, min(event_type) <> max(event_type) as conflicting from events group by 1, 2")
