@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on together; a longer single text is taken whole.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 750_000
 U = np.uint64
 _ROOT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ROOT, -1, 2 ** 64)
@@ -69,14 +69,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Whether each span of ``data`` has the bytes of its span of ``other``."""
-    size = ends - starts
-    same = size == last - first
-    size = np.where(same, size, 0)
-    edge = np.concatenate(([0], np.cumsum(size)))
-    at = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
-    wrong = np.concatenate(([0], np.cumsum(data[np.repeat(starts, size) + at] != other[np.repeat(first, size) + at])))
-    return same & (wrong[edge[1:]] == wrong[edge[:-1]])
+    """Whether each span of ``data`` has the bytes of its span of ``other``; some ten thousand spans at a time."""
+    same = ends - starts == last - first
+    for low in range(0, len(starts), 1 << 14):
+        part = slice(low, low + (1 << 14))
+        size = np.where(same[part], (ends - starts)[part], 0)
+        edge = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+        wrong = np.concatenate(([0], np.cumsum(data[np.repeat(starts[part], size) + at] != other[np.repeat(first[part], size) + at])))
+        same[part] &= wrong[edge[1:]] == wrong[edge[:-1]]
+    return same
 
 
 def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
