@@ -10,6 +10,7 @@ from tabred.catalog import register
 from tabred.functions import tokens as K
 from tabred.functions.vectors import cosine
 from tabred.operators import embed, evaluate as E, fds, graph as G, pairs as P
+from tabred.operators.ranking import exact_quantiles
 from tabred.schemas import KEYS, REFERENCE_BY_CODE, TABLE_OF
 from tabred.session import stored
 from tabred.sources.tables import tpch_view
@@ -156,7 +157,7 @@ def pair_score(s, d):
     same = P.same_pairs(customers(s, d), "c_nationkey", "id", 100, 3)
 
     def score(vectors):
-        return E.score_pairs(same, vectors, vectors).agg(F.percentile("score_d", 0.5).alias("score"))
+        return exact_quantiles(E.score_pairs(same, vectors, vectors), [], {"score": ("score_d", 0.5)})
     return score
 
 

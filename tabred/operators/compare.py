@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tabred.operators.ranking import expand_copies, running_totals
+from tabred.operators.ranking import running_totals
 
 # Tolerances for floating-point columns.
 REL_TOL, ABS_TOL = 1e-10, 1e-7
@@ -18,46 +19,118 @@ def is_close(a: Column, b: Column, rel: float = REL_TOL, abs_: float = ABS_TOL)
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(finite(a) & finite(b) & near)
 
 
-def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows whose number of copies differs, with both counts. Copies are counted before the shuffle."""
+def multiset_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Different rows of both sides with their numbers of copies. Copies are counted before the shuffle."""
     cols = a.columns
     sides = (a.select(*cols, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
              .unionAll(b.select(*cols, F.lit(0).alias("_a"), F.lit(1).alias("_b"))))
-    return (sides.groupBy(*cols).agg(F.sum("_a").alias("left_count"), F.sum("_b").alias("right_count"))
-            .where(F.col("left_count") != F.col("right_count")))
+    return sides.groupBy(*cols).agg(F.sum("_a").alias("left_count"), F.sum("_b").alias("right_count"))
+
+
+def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows whose number of copies differs, with both counts."""
+    return multiset_counts(a, b).where(F.col("left_count") != F.col("right_count"))
+
+
+def _cell(value: Column, rel: float, abs_: float) -> Column:
+    """Cells of a scale on which values within tolerance lie in the same cell or in neighbours: even up to the size where
+    the relative tolerance takes over, logarithmic beyond it."""
+    knee = abs_ / rel
+    beyond = knee / abs_ + F.log(F.abs(value) / knee) / rel
+    place = F.when(F.abs(value) <= knee, F.abs(value) / abs_).otherwise(beyond)
+    return F.floor(F.signum(value) * place / 1.01)
+
+
+def _runs(rows: DataFrame, column: str, rel: float, abs_: float) -> DataFrame:
+    """Extend ``bucket`` by the run of occupied cells that a row's value lies in; rows of different runs never match."""
+    rows = rows.withColumn("_cell", _cell(F.col(column), rel, abs_))
+    cells = rows.where(F.col("_cell").isNotNull()).select("bucket", "_cell").distinct()
+    earlier = cells.select("bucket", (F.col("_cell") + 1).alias("_cell"), F.lit(1).alias("_follows"))
+    starts = cells.join(earlier, ["bucket", "_cell"], "left").select("bucket", "_cell", F.when(F.col("_follows").isNull(), 1).otherwise(0).alias("start"))
+    runs = running_totals(starts, ["bucket"], "_cell", ["start"]).select("bucket", "_cell", (F.col("start_before") + F.col("start")).alias("_run"))
+    named = rows.join(runs, ["bucket", "_cell"], "left")
+    return named.withColumn("bucket", F.concat_ws("/", "bucket", F.coalesce(F.col("_run").cast("string"), F.lit("null")))).drop("_cell", "_run")
+
+
+def matched_rows(left: list[tuple], right: list[tuple], near) -> int:
+    """Rows of a greatest matching between (values, copies) of two sides, where ``near`` says which values may match.
+
+    Copies of equal rows move together along augmenting paths.
+    """
+    there = [[j for j, (v, _) in enumerate(right) if near(u, v)] for u, _ in left]
+    free_left, free_right = [n for _, n in left], [n for _, n in right]
+    flow: dict[tuple[int, int], int] = {}
+    total = 0
+    for start in range(len(left)):
+        while free_left[start]:
+            came: dict[int, int] = {}                                     # right row: the left row it is reached from
+            back: dict[int, int] = {start: -1}                            # left row: the right row it is reached from
+            line, end = [start], None
+            while line and end is None:
+                i = line.pop(0)
+                for j in there[i]:
+                    if j in came:
+                        continue
+                    came[j] = i
+                    if free_right[j]:
+                        end = j
+                        break
+                    for (k, l), n in flow.items():
+                        if l == j and n and k not in back:
+                            back[k] = j
+                            line.append(k)
+            if end is None:
+                break
+            path, j = [], end
+            while j != -1:
+                path.append((came[j], j))
+                j = back[came[j]]
+            most = min([free_left[start], free_right[end], *[flow[i, back[i]] for i, _ in path if back[i] != -1]])
+            for i, j in path:
+                flow[i, j] = flow.get((i, j), 0) + most
+                if back[i] != -1:
+                    flow[i, back[i]] -= most
+            free_left[start] -= most
+            free_right[end] -= most
+            total += most
+    return total
 
 
 def compare_results(a: DataFrame, b: DataFrame, rel: float = REL_TOL, abs_: float = ABS_TOL) -> DataFrame:
-    """One row: ``equal`` and the number of unmatched rows.
+    """One row: ``equal`` and the number of rows of either side without a partner.
 
-    Rows that agree exactly cancel out. What is left may still agree within tolerance: inside a bucket
-    of equal exact columns the rows of both sides are put in float order and compared by position.
+    Rows with equal exact columns are cut into runs of near values, column after column. A run whose rows agree exactly
+    is equal; any other gets a greatest matching, in which an exact partner is no better than a near one. What a task
+    holds is one run with a difference: different rows whose values hang together within the tolerance.
     """
     if a.columns != b.columns:
         raise ValueError(f"columns differ: {a.columns} and {b.columns}")
     floats = [n for n, t in a.dtypes if t in ("double", "float")]
-    rest = multiset_difference(a, b)
     if not floats:
+        rest = multiset_difference(a, b)
         return rest.agg(F.count(F.lit(1)).alias("unmatched")).select((F.col("unmatched") == 0).alias("equal"), "unmatched")
     exact = [c for c in a.columns if c not in floats]
-    bucket = F.sha2(F.to_json(F.struct(*exact), {"ignoreNullFields": "false"}), 256) if exact else F.lit("all")
-    rest = rest.withColumns({"bucket": bucket, "more_left": F.greatest(F.col("left_count") - F.col("right_count"), F.lit(0)),
-                             "more_right": F.greatest(F.col("right_count") - F.col("left_count"), F.lit(0))})
-
-    def ordered(side: str) -> DataFrame:
-        rows = rest.where(F.col(side) > 0).groupBy("bucket", *floats).agg(F.sum(side).alias("n"))
-        if len(floats) == 1:
-            placed = running_totals(rows, ["bucket"], floats[0], ["n"])
-        else:
-            before = W.partitionBy("bucket").orderBy(*floats).rowsBetween(W.unboundedPreceding, -1)
-            placed = rows.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        return expand_copies(placed, "n", "i").select(
-            "bucket", (F.col("n_before") + F.col("i")).alias("position"), *[F.col(f).alias(f"{side}_{f}") for f in floats])
-
-    both = ordered("more_left").join(ordered("more_right"), ["bucket", "position"], "full")
-    close = reduce(lambda x, y: x & y, [is_close(F.col(f"more_left_{f}"), F.col(f"more_right_{f}"), rel, abs_) for f in floats])
-    return (both.agg(F.count(F.when(~close, 1)).alias("unmatched"))
-            .select((F.col("unmatched") == 0).alias("equal"), "unmatched"))
+    bucket = F.sha2(F.to_json(F.struct(*exact), {"ignoreNullFields": "false"}), 256) if exact else F.lit("")
+    names = [f"_{i}" for i in range(len(floats))]
+    every = multiset_counts(a, b).select(bucket.alias("bucket"), *[F.col(f).cast("double").alias(n) for f, n in zip(floats, names)], "left_count", "right_count")
+    never = reduce(lambda x, y: x | y, [F.coalesce(F.isnan(n) | (F.abs(n) == F.lit(float("inf"))), F.lit(False)) for n in names])
+    differs = F.col("left_count") != F.col("right_count")
+    rows = every.where(~never).join(every.where(~never & differs).select("bucket").distinct(), "bucket", "left_semi")
+    for n in names:
+        rows = _runs(rows, n, rel, abs_)
+    rows = rows.join(rows.where(differs).select("bucket").distinct(), "bucket", "left_semi")
+
+    def near(u: tuple, v: tuple) -> bool:
+        return all(x is None and y is None or x is not None and y is not None and abs(x - y) <= max(rel * max(abs(x), abs(y)), abs_) for x, y in zip(u, v))
+
+    def match(run: pd.DataFrame) -> pd.DataFrame:
+        values = [tuple(None if pd.isna(x) else float(x) for x in r) for r in run[names].itertuples(index=False)]
+        sides = [[(v, int(n)) for v, n in zip(values, run[side]) if n] for side in ("left_count", "right_count")]
+        return pd.DataFrame({"unmatched": [sum(n for _, n in sides[0] + sides[1]) - 2 * matched_rows(*sides, near)]})
+
+    alone = every.where(never).agg(F.coalesce(F.sum(F.abs(F.col("left_count") - F.col("right_count"))), F.lit(0)).cast("long").alias("unmatched"))
+    both = rows.groupBy("bucket").applyInPandas(match, "unmatched long").unionByName(alone)
+    return both.agg(F.coalesce(F.sum("unmatched"), F.lit(0)).alias("unmatched")).select((F.col("unmatched") == 0).alias("equal"), "unmatched")
 
 
 def check_order(df: DataFrame, position: str, fields: list[tuple[str, bool]]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tabred.functions.tokens import DIMENSION
 from tabred.functions.vectors import unit
-from tabred.operators.ranking import hash_positions
+from tabred.operators.ranking import exact_quantiles, hash_positions
 from tabred.session import checkpointed
 
 VECTOR = T.ArrayType(T.DoubleType())
@@ -238,5 +238,4 @@ def sweep(nodes: DataFrame, adjacency: DataFrame, score, ratios: list[float], in
             add("hash_gnn", "neighbour_influence", i, hash_gnn(nodes, adjacency, neighbour_influence=i, seed=seed))
         for n in rounds:
             add("hash_gnn", "rounds", n, hash_gnn(nodes, adjacency, rounds=n, seed=seed))
-    return (reduce(DataFrame.unionAll, runs).groupBy("method", "parameter", "value")
-            .agg(F.percentile("score", 0.5).alias("median")))
+    return exact_quantiles(reduce(DataFrame.unionAll, runs), ["method", "parameter", "value"], {"median": ("score", 0.5)})

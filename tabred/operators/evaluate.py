@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabred.functions.vectors import as_double, cosine, dot, unit
-from tabred.operators.ranking import running_totals
+from tabred.operators.ranking import running_totals, with_quantiles
 from tabred.session import checkpointed
 
 # Rows of a block of queries or pool rows in retrieval, about.
@@ -27,9 +27,9 @@ def score_pairs(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFr
 
 def summarise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median, mean, sample deviation, inclusive quartiles and range per group."""
-    return df.groupBy(*keys).agg(
-        F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
-        F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"), F.min(value).alias("low"), F.max(value).alias("high"))
+    rest = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+    cuts = {"median": (value, 0.5), "q1": (value, 0.25), "q3": (value, 0.75)}
+    return with_quantiles(rest, df, keys, cuts).select(*keys, "median", "mean", "sd", "q1", "q3", "low", "high")
 
 
 def auc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:

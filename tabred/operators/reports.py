@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabred.functions.vectors import let
+from tabred.operators.ranking import with_quantiles
 
 # Bounds of the copy-count bins.
 COPY_BINS = ((100, "<100"), (1000, "100-999"), (10000, "1000-9999"))
@@ -115,9 +116,8 @@ def sf_influence(samples: DataFrame, baseline: DataFrame) -> DataFrame:
     both = samples.join(base, (F.col("sf") == F.col("_sf")) & (F.col("group") == F.col("_g")))
     both = both.withColumn("pct", 100.0 * (_c("elapsed_ms") - _c("n_ms")) / _c("elapsed_ms")).withColumn("speed_up", _c("elapsed_ms") / _c("n_ms"))
     cuts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    return both.groupBy("sf", "strategy").agg(
-        *[F.percentile("pct", q).alias(f"{n}_pct") for n, q in cuts.items()], *[F.percentile("speed_up", q).alias(f"{n}_speed_up") for n, q in cuts.items()],
-        F.count("*").alias("samples"))
+    every = {f"{n}_{v}": (v, q) for v in ("pct", "speed_up") for n, q in cuts.items()}
+    return with_quantiles(both.groupBy("sf", "strategy").agg(F.count("*").alias("samples")), both, ["sf", "strategy"], every).select("sf", "strategy", *every, "samples")
 
 
 def case_rows(samples: DataFrame, baseline: DataFrame, group: int) -> DataFrame:
@@ -135,29 +135,32 @@ def speedup_bins(cases: DataFrame) -> DataFrame:
     bin_ = F.when(_c("copies") < COPY_BINS[0][0], COPY_BINS[0][1])
     for bound, name in COPY_BINS[1:]:
         bin_ = bin_.when(_c("copies") < bound, name)
-    return (cases.withColumn("bin", bin_.otherwise(">=10000")).withColumn("speed_up", _c("d_median_ms") / _c("n_median_ms"))
-            .groupBy("bin").agg(F.count("*").alias("groups"), F.percentile("speed_up", 0.5).alias("median_speed_up")))
+    binned = cases.withColumn("bin", bin_.otherwise(">=10000")).withColumn("speed_up", _c("d_median_ms") / _c("n_median_ms"))
+    return with_quantiles(binned.groupBy("bin").agg(F.count("*").alias("groups")), binned, ["bin"], {"median_speed_up": ("speed_up", 0.5)})
 
 
 def update_summary(records: DataFrame) -> DataFrame:
     """Per dependency: groups, redundant values, rebuild time, median times, and the largest sampled group."""
     flat = records.select("fd", "valid_groups", "redundant_values", "normalization_seconds", F.explode("cases").alias("c")).select("*", "c.*")
     order = F.struct("copies", "key")
-    return flat.groupBy("fd").agg(
+    rest = flat.groupBy("fd").agg(
         F.first("valid_groups").alias("valid_groups"), F.first("redundant_values").alias("redundant_values"), F.first("normalization_seconds").alias("normalization_seconds"),
-        F.percentile("d_median_ms", 0.5).alias("d_median_ms"), F.percentile("n_median_ms", 0.5).alias("n_median_ms"), F.max("copies").alias("largest_copies"),
-        F.max_by("d_median_ms", order).alias("largest_d_ms"), F.max_by("n_median_ms", order).alias("largest_n_ms"))
+        F.max("copies").alias("largest_copies"), F.max_by("d_median_ms", order).alias("largest_d_ms"), F.max_by("n_median_ms", order).alias("largest_n_ms"))
+    medians = {c: (c, 0.5) for c in ("d_median_ms", "n_median_ms")}
+    return with_quantiles(rest, flat, ["fd"], medians).select("fd", "valid_groups", "redundant_values", "normalization_seconds", *medians, "largest_copies", "largest_d_ms", "largest_n_ms")
 
 
 def sf1_summary(records: DataFrame) -> DataFrame:
     """Per strategy: runs, base mean and median, completed mean, capped, over limit, mean with bounds, errors."""
     status, done = _c("template_result.status"), _c("template_result.client_time_ms")
-    return records.groupBy("strategy").agg(
-        F.count("*").alias("runs"), F.avg("baseline.client_time_ms").alias("base_mean_ms"), F.percentile("baseline.client_time_ms", 0.5).alias("base_median_ms"),
-        F.avg(done).alias("done_mean_ms"), F.percentile(done, 0.5).alias("done_median_ms"), F.count(F.when(status == "capped", 1)).alias("capped"),
+    rest = records.groupBy("strategy").agg(
+        F.count("*").alias("runs"), F.avg("baseline.client_time_ms").alias("base_mean_ms"), F.avg(done).alias("done_mean_ms"), F.count(F.when(status == "capped", 1)).alias("capped"),
         F.count(F.when(status == "completed_over_limit", 1)).alias("over_limit"),
         F.avg(F.coalesce("template_result.client_time_lower_bound_ms", done)).alias("bound_mean_ms"),
         F.count(F.when(~status.isin("completed", "capped", "completed_over_limit"), 1)).alias("errors"))
+    medians = {"base_median_ms": (_c("baseline.client_time_ms"), 0.5), "done_median_ms": (done, 0.5)}
+    return with_quantiles(rest, records, ["strategy"], medians).select(
+        "strategy", "runs", "base_mean_ms", "base_median_ms", "done_mean_ms", "done_median_ms", "capped", "over_limit", "bound_mean_ms", "errors")
 
 
 def sf1_updates(records: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabred.operators.compare import multiset_difference
 from tabred.operators.fold import Layout, fold_root, folded_roots
-from tabred.operators.ranking import hash_positions, sample_order
+from tabred.operators.ranking import exact_quantiles, hash_positions, sample_order, with_quantiles
 from tabred.schemas import KEYS, REFERENCES, TABLE_OF, UPDATE_COLUMN, mask_codes
 
 Tables = dict[str, DataFrame]
@@ -98,13 +98,10 @@ def pair_update_times(samples: DataFrame) -> DataFrame:
 
     ``samples``: [group, key, side ('folded' or 'normalised'), elapsed_ms].
     """
-    per_case = (samples.groupBy("group", "key").agg(
-        F.percentile(F.when(F.col("side") == "folded", F.col("elapsed_ms")), 0.5).alias("folded_ms"),
-        F.percentile(F.when(F.col("side") == "normalised", F.col("elapsed_ms")), 0.5).alias("normalised_ms"))
-        .withColumn("saving_ms", F.col("folded_ms") - F.col("normalised_ms")))
-    return per_case.groupBy("group").agg(
-        F.count(F.lit(1)).alias("cases"), F.min("saving_ms").alias("min_ms"),
-        F.percentile("saving_ms", 0.5).alias("median_ms"), F.max("saving_ms").alias("max_ms"))
+    of = lambda side: (F.when(F.col("side") == side, F.col("elapsed_ms")), 0.5)
+    per_case = exact_quantiles(samples, ["group", "key"], {"folded_ms": of("folded"), "normalised_ms": of("normalised")}).withColumn("saving_ms", F.col("folded_ms") - F.col("normalised_ms"))
+    rest = per_case.groupBy("group").agg(F.count(F.lit(1)).alias("cases"), F.min("saving_ms").alias("min_ms"), F.max("saving_ms").alias("max_ms"))
+    return with_quantiles(rest, per_case, ["group"], {"median_ms": ("saving_ms", 0.5)}).select("group", "cases", "min_ms", "median_ms", "max_ms")
 
 
 def break_even(df: DataFrame) -> DataFrame:
