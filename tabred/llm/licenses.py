@@ -189,47 +189,54 @@ def naming(words: tuple[str, ...] | list[str], versions: bool) -> list[str]:
     return [w for w in words if w in _NAMING or versions and _VERSION.fullmatch(w)]
 
 
+def ranked(raw: bytes) -> list[tuple[int, list[Template]]]:
+    """(thousandths saved, templates of a license) by the template that makes the block smallest; most is saved first."""
+    every, plain = templates()
+    alone = len(plain.compress(raw))
+    best: dict[str, tuple[int, list[Template]]] = {}
+    for t in every:
+        saving = alone - len(t.compressor.compress(raw))
+        most, own = best.get(t.license, (saving, []))
+        best[t.license] = (max(most, saving), [*own, t])
+    order = sorted(best, key=lambda k: (-best[k][0], k))
+    return [(round(1000 * best[k][0] / alone), best[k][1]) for k in order]
+
+
 def scan_text(text: str) -> list[tuple[int, int, str, int, int]]:
     """(start, end, license, changed words, size reduction in thousandths) of every confirmed place, in order.
 
-    Every wording is searched as it is in every block, and with changes wherever enough of its words are in the block
-    at all; a change that touches name or version is none. Of overlapping places whole texts stay before the opening
-    words of families, then the one with fewer changes, then the longer one, then the one whose wording makes the block
-    smaller when the compressor knows it.
+    The licenses of a block are ranked by how much smaller it gets when the compressor knows their templates. Down the
+    ranking, each is confirmed by its wordings: as they are, and with few changed words where enough of them are in the
+    block at all; a change that touches name or version is none. A place goes to the first license of the ranking that
+    is confirmed there, to its wording of fewest changes, then the longest. All have their turn, so a wording that is
+    there word for word is lost only to one that saves more.
     """
-    every, plain = templates()
-    found = []
+    taken: list[tuple[int, int, str, int, int]] = []
     for words, low, high in blocks(text):
         own = [w[0].lower() for w in words[low:high]]
-        joined, raw, there = f" {' '.join(own)} ", " ".join(own).encode(), set(own)
-        alone, number, numbers = 0, {}, None
-        for t in every:
-            places = exact(joined, t)
-            if t.changes and sum(w not in there for w in t.words) <= t.changes:
-                if numbers is None:
-                    numbers = np.array([number.setdefault(w, len(number)) for w in own])
-                versions = any(map(_VERSION.fullmatch, t.words))
-                places += [p for p in near(numbers, np.array([number.get(w, -1) for w in t.words]), t.changes)
-                           if naming(own[p[1]:p[2]], versions) == naming(t.words, versions)]
-            if not places:
-                continue
-            alone = alone or len(plain.compress(raw))
-            # A wording's own size counts too: saving all of a short notice is worth more than part of a long text.
-            gain = (alone - len(t.compressor.compress(raw))) / min(alone, len(" ".join(t.words)) + 12)
-            for changed, first, end in places:
-                found.append((t.license in FAMILIES, changed, first - end, -round(1000 * gain), words[low + first].start(), words[low + end - 1].end(), t.license))
-    taken: list[tuple[int, int, str, int, int]] = []
-    spans: list[tuple[int, int]] = []
-    for _, changed, _, gain, start, end, license_ in sorted(found):
-        if put(spans, start, end):
-            taken.append((start, end, license_, changed, -gain))
+        joined, there = f" {' '.join(own)} ", set(own)
+        number: dict[str, int] = {}
+        numbers = np.array([number.setdefault(w, len(number)) for w in own])
+        spans: list[tuple[int, int]] = []
+        for saving, wordings in ranked(joined.strip().encode()):
+            places = []
+            for t in wordings:
+                places += exact(joined, t)
+                if t.changes and sum(w not in there for w in t.words) <= t.changes:
+                    versions = any(map(_VERSION.fullmatch, t.words))
+                    places += [p for p in near(numbers, np.array([number.get(w, -1) for w in t.words]), t.changes)
+                               if naming(own[p[1]:p[2]], versions) == naming(t.words, versions)]
+            for changed, first, end in sorted(places, key=lambda p: (p[0], p[1] - p[2], p[1])):
+                if put(spans, first, end):
+                    taken.append((words[low + first].start(), words[low + end - 1].end(), wordings[0].license, changed, saving))
     return sorted(taken)
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_found, licenses, spans) of every document: licenses in alphabetic order, spans license:start:end:changes.
 
-    Null and empty texts have none; repeated rows repeat.
+    Null and empty texts have none, long texts are scanned whole; repeated rows repeat, an empty table gives no rows, and
+    other columns are left out.
     """
     kind = docs.schema[key].dataType.simpleString()
 

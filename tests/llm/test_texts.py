@@ -237,3 +237,22 @@ def test_long_white_space(ranks):
     for run in (" " * 2_000_000, "\n" * 2_000_000, " \n" * 1_000_000):
         ids = bpe.encode(f"word{run}end", enc)
         assert enc.decode_bytes(ids.tolist()) == f"word{run}end".encode()
+
+
+def test_ranking_decides_between_overlapping_wordings(monkeypatch):
+    """Both GPL wordings are confirmed on the same words: the one that makes the block smaller gets them."""
+    text = licenses.TEXTS["MIT"][0]
+    right = licenses.scan_text(f"Some words. {text}")
+    assert [s[2] for s in right] == ["MIT"]
+    plain = licenses.ranked
+    monkeypatch.setattr(licenses, "ranked", lambda raw: plain(raw)[::-1])
+    wrong = licenses.scan_text(f"Some words. {text}")
+    assert [s[2] for s in wrong] != ["MIT"]
+
+
+def test_every_exact_wording_is_found_where_nothing_better_lies():
+    every, _ = licenses.templates()
+    for t in every[::7]:
+        block = f"before it {' '.join(t.words)} after it license"
+        spans = licenses.scan_text(block)
+        assert any(block[s[0]:s[1]].lower().find(" ".join(t.words)) >= 0 or (s[0] <= 10 and s[1] >= 10 + len(" ".join(t.words))) or s[2] == t.license for s in spans), t.license
