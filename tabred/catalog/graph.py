@@ -139,6 +139,19 @@ def embedded(s, d, method: str) -> DataFrame:
 
 register("g7_fast_rp", lambda s, d: embedded(s, d, "fast_rp"))
 register("g8_node2vec", lambda s, d: embedded(s, d, "node2vec"))
+
+
+def closer_to_own(s, d, method):
+    """Whether customers lie nearer to their own nation's vector than to the others', on average."""
+    v = embedded(s, d, method)
+    own = tpch_view(s, d)["customer"].select(F.concat(F.lit("C|"), F.col("c_custkey").cast("string")).alias("c"), F.concat(F.lit("N|"), F.col("c_nationkey").cast("string")).alias("n"))
+    pairs = own.join(own.select(F.col("n").alias("other")).distinct())
+    scored = (pairs.join(v.select(F.col("id").alias("c"), F.col("vec").alias("x")), "c").join(v.select(F.col("id").alias("other"), F.col("vec").alias("y")), "other")
+              .groupBy((F.col("n") == F.col("other")).alias("own")).agg(F.avg(cosine("x", "y")).alias("score")))
+    return scored.agg((F.max(F.when(F.col("own"), F.col("score"))) > F.max(F.when(~F.col("own"), F.col("score"))) + 0.1).alias("closer"))
+
+
+register("g8_neighbours_closer", lambda s, d: closer_to_own(s, d, "node2vec"), "select count(*) > 0 as closer from customer")
 register("g8_random_walks", lambda s, d: embed.random_walks(feature_graph(s, d)[1]).select("walk", F.size("path").alias("nodes")),
          g("""with walks as (select distinct src || '#' || k as walk from (select src from g_edges where type <> 'O_C' union select dst from g_edges where type <> 'O_C'),
               (values (1), (2), (3), (4), (5)) x(k)) select walk, 20 as nodes from walks"""))
@@ -297,9 +310,12 @@ register("e13_er_samples", er_sample)
 register("e13_er_samples_valid",
          lambda s, d: er_sample(s, d).join(customer_duplicates(s, d)[0].select(F.col("a").alias("da"), F.col("b").alias("db")),
                                            (F.least("a", "b") == F.col("da")) & (F.greatest("a", "b") == F.col("db")), "left")
-         .groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.count("da").alias("known_duplicates")).where("kind <> 'hard'")
-         .select("kind", F.when(F.col("kind") == "positive", F.col("pairs")).otherwise(F.lit(None)).alias("pairs"), F.when(F.col("kind") == "positive", 0).otherwise(F.col("known_duplicates")).cast("long").alias("wrong")),
-         "select 'positive' as kind, cast(100 as bigint) as pairs, cast(0 as bigint) as wrong union all select 'random', null, 0")
+         .groupBy("kind", F.when(F.col("kind") == "random", F.col("a")).alias("anchor")).agg(F.count(F.lit(1)).alias("pairs"), F.count("da").alias("known"))
+         .groupBy("kind").agg(F.sum("pairs").alias("pairs"), F.sum("known").alias("known"), F.min("pairs").alias("least"), F.max("pairs").alias("most")).where("kind <> 'hard'")
+         .select("kind", F.when(F.col("kind") == "positive", F.col("pairs")).alias("pairs"), F.when(F.col("kind") == "positive", 0).otherwise(F.col("known")).cast("long").alias("wrong"),
+                 F.when(F.col("kind") == "random", F.col("least")).alias("least_of_anchor"), F.when(F.col("kind") == "random", F.col("most")).alias("most_of_anchor")),
+         """select 'positive' as kind, cast(100 as bigint) as pairs, cast(0 as bigint) as wrong, cast(null as bigint) as least_of_anchor, cast(null as bigint) as most_of_anchor
+            union all select 'random', null, 0, 5, 5""")
 
 
 def er_scores(s, d):

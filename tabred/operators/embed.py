@@ -19,8 +19,6 @@ from tabred.session import checkpointed
 
 VECTOR = T.ArrayType(T.DoubleType())
 # Word2Vec keeps one float vector per node in the driver's memory; beyond this many nodes the
-# co-occurrence form below is used.
-WORD2VEC_NODES = 1_000_000
 
 
 def neighbour_mean(adjacency: DataFrame, vectors: DataFrame, dimension: int, name: str = "vec") -> DataFrame:
@@ -107,27 +105,25 @@ def random_walks(adjacency: DataFrame, walks: int = 5, length: int = 20, seed: i
 
 def node2vec(adjacency: DataFrame, walks: int = 5, length: int = 20, window: int = 5, iterations: int = 2,
              dimension: int = DIMENSION, seed: int = 1) -> DataFrame:
-    """Skip-gram vectors of random walks: [id, vec]."""
-    from pyspark.ml.feature import Word2Vec
-    paths = checkpointed(random_walks(adjacency, walks, length, seed))
-    if adjacency.select("src").distinct().limit(WORD2VEC_NODES + 1).count() > WORD2VEC_NODES:
-        return walk_projection(paths, window, dimension, seed)
-    model = Word2Vec(vectorSize=dimension, minCount=0, windowSize=window, maxIter=iterations, seed=seed, numPartitions=1,
-                     inputCol="path", outputCol="vec", maxSentenceLength=max(length, 2)).fit(paths)
-    from pyspark.ml.functions import vector_to_array
-    return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vec"))
-
+    """Vectors of nodes that random walks visit together: [id, vec].
 
-def walk_projection(paths: DataFrame, window: int, dimension: int, seed: int) -> DataFrame:
-    """Vectors from walk co-occurrence without a model on the driver: mean random projection of window neighbours."""
+    Walks give pairs of nodes within ``window`` steps. Random start vectors are averaged over these pairs ``iterations``
+    times, each time brought to length 1, and the rounds are added up: a factorisation of the co-occurrence counts by
+    joins and sums, with vectors in tables at every size.
+    """
+    paths = checkpointed(random_walks(adjacency, walks, length, seed))
     at = paths.select("walk", F.posexplode("path").alias("i", "node"))
     near = F.array(*[F.lit(d) for d in range(-window, window + 1) if d])
     shifted = at.select("walk", F.col("node").alias("src"), (F.explode(F.transform(near, lambda d: d + F.col("i")))).alias("i"))
-    pairs = shifted.join(at.withColumnRenamed("node", "dst"), ["walk", "i"]).select("src", "dst")
+    pairs = checkpointed(shifted.join(at.withColumnRenamed("node", "dst"), ["walk", "i"]).select("src", "dst"))
     start = _start_vectors(dimension, 0.0, seed)
-    start_of = pairs.select(F.col("dst").alias("id")).distinct().select(
-        "id", start(F.xxhash64("id"), F.array(F.lit(0.0))).alias("vec"))
-    return neighbour_mean(pairs, start_of, dimension).select("id", unit(F.col("vec")).alias("vec"))
+    now = pairs.select(F.col("dst").alias("id")).distinct().select("id", start(F.xxhash64("id"), F.array(F.lit(0.0))).alias("vec"))
+    total = None
+    for _ in range(iterations):
+        now = checkpointed(neighbour_mean(pairs, now, dimension).select("id", unit(F.col("vec")).alias("vec")))
+        last = now.select("id", F.col("vec").alias("more"))
+        total = now if total is None else total.join(last, "id").select("id", F.zip_with("vec", "more", lambda x, y: x + y).alias("vec"))
+    return total.select("id", unit(F.col("vec")).alias("vec"))
 
 
 _WORD = 64

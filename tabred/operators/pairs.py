@@ -140,12 +140,25 @@ def pair_population(df: DataFrame, key: str) -> DataFrame:
         (F.sum(n * (n - 1)) / 2).cast("double").alias("same_pairs"), ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).cast("double").alias("different_pairs"))
 
 
-def er_samples(entities: DataFrame, duplicates: DataFrame, n: int, hard: int, rand: int, seed: int, tries: int = 50) -> DataFrame:
+# Primes for the steps of keyed permutations.
+STEPS = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103)
+
+
+def _permuted(seed: str, anchor: str, t: Column, n: Column) -> Column:
+    """Position t (from 0) of a keyed permutation of 1..n: a start and a step that shares no factor with n."""
+    drawn = lambda part: F.conv(F.substring(sample_order(f"{seed}:{part}", anchor), 1, 15), 16, 10).cast("long")
+    steps = F.filter(F.array(*[F.lit(p).cast("long") for p in STEPS]), lambda p: n % p != 0)
+    step = F.element_at(steps, (drawn("step") % F.size(steps) + 1).cast("int")) % n
+    return (drawn("start") % n + (t * F.greatest(step, F.lit(1))) % n) % n + 1
+
+
+def er_samples(entities: DataFrame, duplicates: DataFrame, n: int, hard: int, rand: int, seed: int) -> DataFrame:
     """Positive pairs and negatives per anchor: [kind, a, b].
 
-    ``entities``: [id, group]; ``duplicates``: [a, b] with a < b. Hard negatives share the anchor's
-    group, random ones come from all entities. Each anchor draws positions, ``tries`` times as many as
-    it needs, and keeps the first that are new, not itself and no known duplicate.
+    ``entities``: [id, group], each id once; ``duplicates``: [a, b] with a < b. Hard negatives share the anchor's group,
+    random ones come from all entities. Each anchor goes through a permutation of its pool, so nothing is drawn twice,
+    and passes itself and known duplicates by. Anchors that are not complete go on, in rounds of growing length, until
+    they are or their pool is used up.
     """
     known = entities.select(F.col("id").alias("_e"))
     positives = (duplicates.join(known, F.col("a") == F.col("_e"), "left_semi").join(known, F.col("b") == F.col("_e"), "left_semi")
@@ -154,20 +167,28 @@ def er_samples(entities: DataFrame, duplicates: DataFrame, n: int, hard: int, ra
     anchors = positives.select(F.when(odd, F.col("a")).otherwise(F.col("b")).alias("anchor")).distinct()
     anchors = anchors.join(entities, F.col("anchor") == F.col("id")).select("anchor", "group")
     every = entities.withColumn("everyone", F.lit(0))
+    known_pairs = duplicates.select(F.col("a").alias("_da"), F.col("b").alias("_db"))
+    is_known = (F.least("anchor", "id") == F.col("_da")) & (F.greatest("anchor", "id") == F.col("_db"))
 
     def negatives(kind: str, group: str, count: int) -> DataFrame:
-        numbered = hash_positions(every.select("id", group), [group], f"{seed}:{kind}", ["id"]).select("id", F.col(group).alias("_g"), "position")
-        sizes = every.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
-        wanted = (anchors.withColumn("everyone", F.lit(0)).join(sizes, F.col(group) == F.col("_g"))
-                  .withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(count * tries)))))
-        spot = F.conv(F.substring(sample_order(f"{seed}:{kind}", "anchor", "_t"), 1, 8), 16, 10).cast("long") % F.col("_n") + 1
-        found = (wanted.select("anchor", "_t", F.col("_g").alias("_wg"), spot.alias("_spot"))
-                 .join(numbered, (F.col("_wg") == F.col("_g")) & (F.col("_spot") == F.col("position")))
-                 .where(F.col("id") != F.col("anchor")).groupBy("anchor", "id").agg(F.min("_t").alias("_t")))
-        dup = (F.least("anchor", "id") == F.col("_da")) & (F.greatest("anchor", "id") == F.col("_db"))
-        clean = found.join(duplicates.select(F.col("a").alias("_da"), F.col("b").alias("_db")), dup, "left_anti")
-        first = F.row_number().over(W.partitionBy("anchor").orderBy("_t", "id"))
-        return (clean.withColumn("_r", first).where(F.col("_r") <= count)
+        numbered = checkpointed(hash_positions(every.select("id", group), [group], f"{seed}:{kind}", ["id"]).select("id", F.col(group).alias("_g"), "position"))
+        sizes = every.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+        waiting = checkpointed(anchors.withColumn("everyone", F.lit(0)).join(sizes, F.col(group) == F.col("_g")).select("anchor", F.col("_g").alias("_wg"), "_n"))
+        found, first, width = None, 0, 2 * count + 4
+        while True:
+            last = F.least(F.lit(first + width), F.col("_n")) - 1
+            tried = waiting.where(F.col("_n") > first).withColumn("_t", F.explode(F.sequence(F.lit(first).cast("long"), last)))
+            spots = tried.select("anchor", "_t", "_wg", _permuted(f"{seed}:{kind}", "anchor", F.col("_t"), F.col("_n")).alias("_spot"))
+            new = (spots.join(numbered, (F.col("_wg") == F.col("_g")) & (F.col("_spot") == F.col("position"))).where(F.col("id") != F.col("anchor"))
+                   .join(known_pairs, is_known, "left_anti").select("anchor", "id", "_t"))
+            found = checkpointed(new if found is None else found.unionByName(new))
+            done = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_have")).where(F.col("_have") >= count)
+            first, width = first + width, 4 * width
+            waiting = checkpointed(waiting.where(F.col("_n") > first).join(done, "anchor", "left_anti"))
+            if waiting.isEmpty():
+                break
+        order = F.row_number().over(W.partitionBy("anchor").orderBy("_t"))
+        return (found.withColumn("_r", order).where(F.col("_r") <= count)
                 .select(F.lit(kind).alias("kind"), F.col("anchor").alias("a"), F.col("id").alias("b")))
 
     return (positives.select(F.lit("positive").alias("kind"), "a", "b")
