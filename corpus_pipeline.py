@@ -18,22 +18,29 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the line field is fitted to labelled ones among them."""
+    """Documents that the quality rules keep; the line field is fitted to labelled ones among them.
+
+    Null and empty texts fail (fewer than 20 words). Repeated rows stay repeated, all columns stay as they are, very long
+    texts are judged whole, and an empty table stays empty.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the smallest doc_id, a null one last; of repeated rows one.
+
+    Null texts and texts without words are in no group and all stay. All columns stay; an empty table stays empty.
+    """
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null texts stay null, repeated rows and all columns stay."""
     return pii.mask_private(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document: its sequence and place there."""
+    """One row per piece of a document: its sequence and place there. Null and empty texts are one piece of the end id alone."""
     return packing.pack_documents(docs, TOKENIZER)
 
 
