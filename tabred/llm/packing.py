@@ -22,7 +22,7 @@ SMALL_SHARE = 0.45
 #: Groups of equal cardinality, so many sizes at most in a configuration.
 GROUPS = 64
 #: Different text chunks whose ids a Python worker keeps, about 60 bytes each.
-KEPT_CHUNKS = 1_500_000
+KEPT_CHUNKS = 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
