@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabred.llm.components import components, forest
-from tabred.llm.tables import drop, saved, small_batches, tidy
+from tabred.llm.tables import drop, giving_back, saved, small_batches, tidy
 from tabred.llm.words import shingle_sets
 
 #: Shared prefix shingles asked for at most.
@@ -55,7 +55,7 @@ def common_shingles(docs: DataFrame, k: int, limit: int = COMMON) -> tuple[np.nd
                     often = times >= OFTEN
                     yield pa.RecordBatch.from_arrays([pa.array(every[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "n"])
                     own, size = [], 0
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(giving_back(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "token").limit(limit).collect()
     tokens = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -132,7 +132,7 @@ def profiles(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np
                  pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.binary())],
                 names=["doc_id", "tid", "digest", "n", "prefix", "matches", "exposure", "sketch", "small"])
     return docs.select("doc_id", text_hash(), "text").mapInArrow(
-        run, f"doc_id {kind}, tid long, digest binary, n long, prefix array<long>, matches int, exposure long, sketch binary, small binary")
+        giving_back(run), f"doc_id {kind}, tid long, digest binary, n long, prefix array<long>, matches int, exposure long, sketch binary, small binary")
 
 
 def text_hash():
@@ -157,7 +157,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             differ = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], np.int64)
             good = _alike(n, m, differ, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
-    return told.mapInArrow(run, "a long, b long")
+    return told.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _near(left: list[dict], right: list[dict] | None, percent: int, whole: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -195,7 +195,7 @@ def _each_block(entries: DataFrame, item: str, run, kind: str, then=lambda df: d
     many = packed.where("n_blocks > 1")
     two = many.select("token", "block", F.col("items").alias("left")).join(
         many.select(F.col("token").alias("t"), F.col("block").alias("b"), F.col("items").alias("right")), (F.col("token") == F.col("t")) & (F.col("block") < F.col("b")))
-    out = saved(then(alone.unionByName(two.select("token", "left", "right")).mapInArrow(run, kind)))
+    out = saved(then(alone.unionByName(two.select("token", "left", "right")).mapInArrow(giving_back(run), kind)))
     drop(packed)
     tidy(entries.sparkSession)
     return out
@@ -314,7 +314,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> Data
             sets = [own.tobytes() for _, own in shingle_sets(batch.column(4).take(pa.array(rows, pa.int64())), k)]
             yield pa.RecordBatch.from_arrays([pa.array(tid[rows]), pa.array(sets, pa.binary())], names=["tid", "own"])
     source = docs.select(text_hash(), "text")
-    made = source.select("tid", *[F.pmod(F.xxhash64("tid", F.lit(i)), F.lit(bits)).alias(f"p{i}") for i in range(3)], "text").mapInArrow(run, "tid long, own binary")
+    made = source.select("tid", *[F.pmod(F.xxhash64("tid", F.lit(i)), F.lit(bits)).alias(f"p{i}") for i in range(3)], "text").mapInArrow(giving_back(run), "tid long, own binary")
     sets = saved(made.join(asked, "tid").groupBy("rid").agg(F.first("own").alias("own")))
     drop(asked)
     return sets
@@ -338,7 +338,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
     with_a = pairs.join(sets.select(F.col("rid").alias("a"), F.col("own").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("rid").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    links = saved(with_b.mapInArrow(check, "a long, b long"))
+    links = saved(with_b.mapInArrow(giving_back(check), "a long, b long"))
     drop(sets)
     tidy(docs.sparkSession)
     return links

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabred.llm.tables import numbered, saved
+from tabred.llm.tables import giving_back, numbered, saved
 from tabred.llm.words import equal_spans, slices, span_codes, span_hashes
 
 CAPACITY = 1024
@@ -21,7 +21,7 @@ END_ID = 2
 SMALL_SHARE = 0.45
 #: Groups of equal cardinality, so many sizes at most in a configuration.
 GROUPS = 64
-#: Different text chunks whose ids a Python worker keeps, about 60 bytes each.
+#: Different text chunks whose ids a task keeps, about 60 bytes each.
 KEPT_CHUNKS = 400_000
 
 _SPACE = np.zeros(256, bool)
@@ -60,9 +60,10 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Keep no chunks."""
         self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.bytes, self.held = np.zeros(1 << 16, np.uint8), 0
@@ -98,7 +99,7 @@ class ChunkTokenizer:
         ends = np.append(starts[1:], len(data))
         hashes, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > KEPT_CHUNKS:
-            self._clear()
+            self.forget()
         place = np.searchsorted(self.known, hashes)
         new = np.flatnonzero(place == len(self.known)) if not len(self.known) else np.flatnonzero(
             self.known[np.minimum(place, len(self.known) - 1)] != hashes)
@@ -134,11 +135,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
     piece of the end id alone. Repeated rows repeat; an empty table gives no rows.
     """
     def run(batches):
-        encode = _tokenizer(tokenizer).encode
+        encoder = _tokenizer(tokenizer)
         for batch in batches:
             keys, made = batch.column(0), []
             for first, _, data, offsets in slices(batch.column(1)):
-                ids, bounds = encode(data, offsets)
+                ids, bounds = encoder.encode(data, offsets)
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
                     start, length = 0, (len(own) - 1) % capacity + 1
@@ -150,8 +151,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()),
                  *[pa.array(c, pa.int64()) for c in columns[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabred.llm.tables import digits52
+from tabred.llm.tables import digits52, giving_back
 from tabred.llm.words import mix, slices, span_codes, windows, word_spans
 
 WINDOW = 8
@@ -243,7 +243,7 @@ def judge(docs: DataFrame, field: Field, name: str = "quality", share: float = C
             made = pa.StructArray.from_arrays([*[pa.array(whole[c].astype(np.int64)) for c in counts], pa.array(whole["content_share"]),
                                                *[pa.array(whole[c].astype(bool)) for c in ("base_failed", "kept")]], names=kind.names)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
+    return docs.mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Intermediate tables in the shared folder, and numbering without gaps."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabred.session import shared_folder
@@ -49,6 +52,20 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow; as its task ends, the Python worker, which Spark keeps for later tasks, frees what it holds."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return whole
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps now; it does so when their plans are collected as garbage."""
     gc.collect()
