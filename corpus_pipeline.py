@@ -17,12 +17,18 @@ from tabred.session import shared_folder
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _few_rows(spark: SparkSession) -> None:
+    """Python tasks of this session get 1,000 rows at a time from here on, so that few long texts are held at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the line field is fitted to labelled ones among them.
 
     Null and empty texts fail (fewer than 20 words). Repeated rows stay repeated, all columns stay as they are, very long
     texts are judged whole, and an empty table stays empty.
     """
+    _few_rows(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -41,6 +47,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document: its sequence and place there. Null and empty texts are one piece of the end id alone."""
+    _few_rows(spark)
     return packing.pack_documents(docs, TOKENIZER)
 
 
