@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabred.llm.tables import digits52, giving_back
+from tabred.llm.tables import digits52, giving_back, small_batches
 from tabred.llm.words import mix, slices, span_codes, windows, word_spans
 
 WINDOW = 8
@@ -211,7 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
                     made.append((seen.features[a:b].astype("<f8").tobytes(), content[first + i]))
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([int(m[1] > 0) for m in made], pa.int32())],
                                              names=["features", "content"])
-    rows = sorted((bytes(r[0]), r[1]) for r in sample.select("text", F.col("quality").cast("int")).mapInArrow(run, "features binary, content int").collect())
+    with small_batches(sample.sparkSession):
+        made = sample.select("text", F.col("quality").cast("int")).mapInArrow(giving_back(run), "features binary, content int").collect()
+    rows = sorted((bytes(r[0]), r[1]) for r in made)
     each = [np.frombuffer(r[0], "<f8").reshape(-1, len(FEATURES)) for r in rows]
     bounds = np.concatenate(([0], np.cumsum([len(e) for e in each]))).astype(int)
     return fit(np.concatenate(each) if each else np.zeros((0, len(FEATURES))), bounds, np.array([r[1] for r in rows], int))
