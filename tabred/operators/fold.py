@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabred.operators.compare import multiset_difference
 from tabred.schemas import KEYS, REFERENCE_BY_CODE, REFERENCES, TABLE_OF, TBL_SCHEMAS, Reference, mask_codes
+from tabred.session import checkpointed
 
 Tables = dict[str, DataFrame]
 COLUMNS = {code: tuple(TBL_SCHEMAS[name].names) for code, name in TABLE_OF.items()}
@@ -228,6 +229,97 @@ def structural_deltas(t: Tables, masks: list[int]) -> DataFrame:
     return reduce(DataFrame.unionAll, [structural_delta(t, m) for m in masks])
 
 
+def _bits(codes) -> int:
+    return sum(1 << i for i, r in enumerate(REFERENCES) if r.code in codes)
+
+
+EVERY = tuple(r.code for r in REFERENCES)
+
+
+def reach(root: str) -> int:
+    """Mask of the references that a fold of ``root`` can follow."""
+    return _bits({code for path in Layout(root, EVERY).paths for code in path})
+
+
+def _mark(path: Path, what: str) -> str:
+    return "__".join((what, *path))
+
+
+def _filled(columns) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns], F.lit(0))
+
+
+def _profiles(t: Tables, root: str, handed: dict[str, DataFrame]) -> DataFrame:
+    """Key of every row of ``root``, and per place that it can reach the filled cells and which references are filled.
+
+    The table is read once and takes in the profiles of the tables that it refers to: a few small numbers per row,
+    none of their columns. Numbers of places that a row does not reach are null. Keys must be unique.
+    """
+    refs = [r for r in REFERENCES if r.source == root]
+    own = [c for c in COLUMNS[root] if c not in KEYS[root]]
+    fields = list(dict.fromkeys(f for r in refs for f in r.fields))
+    whole = lambda r: reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in r.fields]).cast("int")
+    frame = t[TABLE_OF[root]].select(
+        *[F.col(k).alias(f"_k_{k}") for k in KEYS[root]], *[F.col(f).alias(f"_f_{f}") for f in fields], _filled(own).alias(_mark((), "cells")),
+        _filled(KEYS[root]).alias("_keys"), *[whole(r).alias(_mark((r.code,), "edge")) for r in refs])
+    for r in refs:
+        places = [c for c in handed[r.target].columns if not c.startswith("_")]
+        parent = handed[r.target].select(
+            *[F.col(f"_k_{k}").alias(f"_{r.code}_{k}") for k in KEYS[r.target]],
+            *[F.col(c).alias("__".join((c.split("__")[0], r.code, *c.split("__")[1:]))) for c in places])
+        link = _same([(F.col(f"_f_{f}"), F.col(f"_{r.code}_{k}")) for f, k in zip(r.fields, KEYS[r.target])])
+        frame = frame.join(parent, link, "left").drop(*[f"_{r.code}_{k}" for k in KEYS[r.target]])
+    return frame.drop(*[f"_f_{f}" for f in fields])
+
+
+def _ways(profiles: DataFrame, root: str) -> DataFrame:
+    """[root, way, nodes, edges, cells] of the flat rows of ``root`` for every subset of the references it can follow.
+
+    Rows of equal profiles are counted first, so only the different profiles, not the rows, meet the subsets.
+    """
+    marks = [c for c in profiles.columns if not c.startswith("_k_")]
+    counted = profiles.groupBy(*marks).agg(F.count(F.lit(1)).alias("n"))
+    places = Layout(root, EVERY).paths
+    has = lambda codes: F.col("way").bitwiseAND(F.lit(_bits(codes))) == F.lit(_bits(codes))
+    met = reduce(lambda a, b: a & b, [~has(p) | F.col(_mark(p, "cells")).isNotNull() for p in places])
+    parts = [F.when(has(p), F.col(_mark(p, "cells"))).otherwise(0) for p in places]
+    ends = [(p, r) for p in places for r in REFERENCES if r.source == (REFERENCE_BY_CODE[p[-1]].target if p else root)]
+    opens = [F.when(has(p) & ~has((r.code,)), F.col(_mark((*p, r.code), "edge"))).otherwise(0) for p, r in ends]
+    add = lambda xs: F.when(met, reduce(lambda a, b: a + b, xs, F.lit(0)))
+    ways = counted.withColumn("way", F.explode(F.array(*[F.lit(w) for w in sorted({m & reach(root) for m in range(1 << len(REFERENCES))})])))
+    total = lambda x: F.coalesce(F.sum(F.col("n") * x), F.lit(0)).alias
+    return (ways.select("way", "n", add([F.col("_keys"), *parts]).alias("cells"), add(opens).alias("edges")).groupBy("way")
+            .agg(total(F.col("cells").isNotNull().cast("long"))("nodes"), total(F.col("edges"))("edges"), total(F.col("cells"))("cells"))
+            .select(F.lit(root).alias("root"), "way", "nodes", "edges", "cells"))
+
+
+def all_structural_deltas(t: Tables) -> DataFrame:
+    """:func:`structural_delta` of all 256 masks, with each table read once and no flat row made.
+
+    What a table can add to flat rows is handed up along the references, from region to lineitem. A mask's folded
+    schema is its roots, each folded along the references of the mask that it can follow, and the normalised schema is
+    every table folded along none, so that both are sums over the same totals.
+    """
+    order: list[str] = []
+    while len(order) < len(TABLE_OF):
+        order += [c for c in TABLE_OF if c not in order and all(r.target in order for r in REFERENCES if r.source == c)]
+    handed: dict[str, DataFrame] = {}
+    for root in order:
+        made = _profiles(t, root, handed)
+        handed[root] = checkpointed(made) if any(r.target == root for r in REFERENCES) else made
+    totals = reduce(DataFrame.unionAll, [_ways(handed[root], root) for root in order])
+    into = {c: _bits({r.code for r in REFERENCES if r.target == c}) for c in TABLE_OF}
+    bits = lambda of: reduce(lambda e, c: e.when(F.col("root") == c, F.lit(of(c))), TABLE_OF, F).otherwise(F.lit(0))
+    totals = totals.withColumns({"reach": bits(reach), "into": bits(into.get)})
+    masks = F.sequence(F.lit(0), F.lit((1 << len(REFERENCES)) - 1))
+    every = totals.withColumn("mask", F.explode(masks))
+    stays = (F.col("into") == 0) | (F.col("mask").bitwiseAND(F.col("into")) != F.col("into"))
+    sign = (stays & (F.col("mask").bitwiseAND(F.col("reach")) == F.col("way"))).cast("int") - (F.col("way") == 0).cast("int")
+    sums = every.groupBy("mask").agg(*[F.sum(sign * F.col(x)).alias(f"delta_{x}") for x in ("nodes", "edges", "cells")])
+    numbers = t["region"].sparkSession.range(1 << len(REFERENCES)).select(F.col("id").cast("int").alias("mask"))
+    return numbers.join(sums, "mask", "left").select("mask", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in sums.columns[1:]])
+
+
 def copies_per_key(t: Tables, mask: int, table: str) -> DataFrame:
     """How many flat rows hold each row of ``table``, over all its places: [key..., copies]."""
     codes, parts = mask_codes(mask), []

@@ -100,6 +100,24 @@ def test_folds_are_lossless(spark, folder, mask):
     assert all(d == 0 for _, d in rows(fold.check_lossless(tpch_view(spark, folder), mask)))
 
 
+def holed(t):
+    """Tables with empty and dangling references at several levels."""
+    return {**t, "orders": t["orders"].withColumn("o_custkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey"))),
+            "customer": t["customer"].where("c_custkey % 3 > 0"), "supplier": t["supplier"].where("s_suppkey <> 1"),
+            "part": t["part"].withColumn("p_comment", F.when(F.col("p_partkey") % 2 == 0, F.col("p_comment"))),
+            "nation": t["nation"].withColumn("n_regionkey", F.when(F.col("n_nationkey") != 4, F.col("n_regionkey")))}
+
+
+def test_deltas_of_all_masks_with_empty_and_dangling_references(spark, folder):
+    t = holed(tpch_view(spark, folder))
+    got = {r[0]: r for r in rows(fold.all_structural_deltas(t))}
+    assert sorted(got) == list(range(256)) and got[0] == (0, 0, 0, 0)
+    for mask in (mask_of("N_R"), mask_of("O_C", "C_N"), mask_of("PS_S", "S_N", "N_R", "L_O"), 255):
+        assert rows(fold.structural_delta(t, mask)) == [got[mask]]
+    empty = {name: df.limit(0) for name, df in t.items()}
+    assert set(rows(fold.all_structural_deltas(empty))) == {(m, 0, 0, 0) for m in range(256)}
+
+
 def test_updates_touch_one_normalised_row_and_all_copies(spark, folder):
     t = tpch_view(spark, folder)
     work = updates.update_workload(t, "C", 10, 3)
