@@ -181,6 +181,26 @@ register("d11_copies_per_key", lambda s, d: fold.copies_per_key(t_(s, d), TWICE,
          V(f"""select k as n_nationkey, cast(count(*) as bigint) as copies from (select c_nationkey as k from ({fold_sql('L', TWICE)})
                union all select s_nationkey from ({fold_sql('L', TWICE)})) group by 1"""))
 
+
+def copies_sql(table: str) -> str:
+    """Copies of every key in the flat rows of every root folded in every way; a mask takes the ways of its folded roots."""
+    totals, taken = [], []
+    for root in TABLE_OF:
+        for way in sorted({m & fold.reach(root) for m in range(256)}):
+            layout = fold.Layout(root, mask_codes(way))
+            for p in layout.places(table):
+                cols = [layout.column(p, k) for k in KEYS[table]]
+                totals.append(f"select '{root}' as root, {way} as way, {', '.join(f'{c} as {k}' for c, k in zip(cols, KEYS[table]))}, count(*) as n "
+                              f"from ({fold_sql(root, way, cols)}) group by all")
+    for mask in range(256):
+        taken += [f"({mask}, '{r}', {mask & fold.reach(r)})" for r in fold.folded_roots(mask_codes(mask))]
+    keys = ", ".join(KEYS[table])
+    return (f"select mask, {keys}, cast(sum(n) as bigint) as copies from (values {', '.join(taken)}) x(mask, root, way) "
+            f"join ({' union all '.join(totals)}) using (root, way) group by mask, {keys}")
+
+
+register("d11_copies_per_key_all_masks", lambda s, d: fold.all_copies_per_key(t_(s, d), "N"), V(copies_sql("N")))
+
 # -- U: updates ------------------------------------------------------------------------------------
 WORKLOAD_SQL = """with rows as (select {key}, {column} as a0 from v_{table} where {key} in (select {field} from v_{child}) order by {key} limit {count}),
     placed as (select *, row_number() over (order by {key}) as place, count(*) over () as n from rows),
@@ -208,6 +228,9 @@ register("u3_apply_to_table", lambda s, d: updates.apply_to_table(t_(s, d), "N",
 register("u4_touched_rows", lambda s, d: updates.touched_rows(t_(s, d), LINES, "N", batch(s, d)),
          V("""select n_nationkey as ordinal, n_nationkey, cast(count(l_orderkey) + 1 as bigint) as folded, cast(1 as bigint) as normalised
               from nation left join (customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey) on c_nationkey = n_nationkey group by 1"""))
+register("u4_touched_rows_all_masks", lambda s, d: updates.all_touched_rows(t_(s, d), "N", batch(s, d)),
+         V(f"""select m.mask::int as mask, n_nationkey as ordinal, n_nationkey, coalesce(copies, 0) as folded, cast(1 as bigint) as normalised
+               from nation cross join range(256) m(mask) left join ({copies_sql('N')}) using (mask, n_nationkey)"""))
 register("u5_update_consistency", lambda s, d: updates.check_update(t_(s, d), TWICE, "L", "N", batch(s, d)), "select cast(0 as bigint) as differing")
 register("u6_partial_update",
          lambda s, d: updates.partial_update(order_info(s, d), "c_nationkey", "n_name", "o_orderkey", 0.25, 11, " [corrected]").select("o_orderkey", "c_nationkey", "n_name"),

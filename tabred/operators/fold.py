@@ -249,11 +249,12 @@ def _filled(columns) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns], F.lit(0))
 
 
-def _profiles(t: Tables, root: str, handed: dict[str, DataFrame]) -> DataFrame:
+def _profiles(t: Tables, root: str, handed: dict[str, DataFrame], named: str | None) -> DataFrame:
     """Key of every row of ``root``, and per place that it can reach the filled cells and which references are filled.
 
     The table is read once and takes in the profiles of the tables that it refers to: a few small numbers per row,
-    none of their columns. Numbers of places that a row does not reach are null. Keys must be unique.
+    and of their columns only the keys of the table ``named``. Numbers of places that a row does not reach are null.
+    Keys must be unique.
     """
     refs = [r for r in REFERENCES if r.source == root]
     own = [c for c in COLUMNS[root] if c not in KEYS[root]]
@@ -261,6 +262,7 @@ def _profiles(t: Tables, root: str, handed: dict[str, DataFrame]) -> DataFrame:
     whole = lambda r: reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in r.fields]).cast("int")
     frame = t[TABLE_OF[root]].select(
         *[F.col(k).alias(f"_k_{k}") for k in KEYS[root]], *[F.col(f).alias(f"_f_{f}") for f in fields], _filled(own).alias(_mark((), "cells")),
+        *[F.col(k).alias(_mark((), k)) for k in KEYS[root] if root == named],
         _filled(KEYS[root]).alias("_keys"), *[whole(r).alias(_mark((r.code,), "edge")) for r in refs])
     for r in refs:
         places = [c for c in handed[r.target].columns if not c.startswith("_")]
@@ -272,54 +274,84 @@ def _profiles(t: Tables, root: str, handed: dict[str, DataFrame]) -> DataFrame:
     return frame.drop(*[f"_f_{f}" for f in fields])
 
 
-def _ways(profiles: DataFrame, root: str) -> DataFrame:
-    """[root, way, nodes, edges, cells] of the flat rows of ``root`` for every subset of the references it can follow.
+def _handed_up(t: Tables, named: str | None = None) -> dict[str, DataFrame]:
+    """Profiles of all tables, from region to lineitem; those that others take in are written once."""
+    handed: dict[str, DataFrame] = {}
+    while len(handed) < len(TABLE_OF):
+        for root in TABLE_OF:
+            if root not in handed and all(r.target in handed for r in REFERENCES if r.source == root):
+                made = _profiles(t, root, handed, named)
+                handed[root] = checkpointed(made) if any(r.target == root for r in REFERENCES) else made
+    return handed
+
+
+def _follows(codes) -> Column:
+    """Whether the references are among those of the column ``way``."""
+    return F.col("way").bitwiseAND(F.lit(_bits(codes))) == F.lit(_bits(codes))
+
+
+def _in_all_ways(profiles: DataFrame, root: str) -> DataFrame:
+    """Different profiles with their rows ``n``, for every subset ``way`` of the references that ``root`` can follow, where such rows make flat rows.
 
     Rows of equal profiles are counted first, so only the different profiles, not the rows, meet the subsets.
     """
-    marks = [c for c in profiles.columns if not c.startswith("_k_")]
-    counted = profiles.groupBy(*marks).agg(F.count(F.lit(1)).alias("n"))
-    places = Layout(root, EVERY).paths
-    has = lambda codes: F.col("way").bitwiseAND(F.lit(_bits(codes))) == F.lit(_bits(codes))
-    met = reduce(lambda a, b: a & b, [~has(p) | F.col(_mark(p, "cells")).isNotNull() for p in places])
-    parts = [F.when(has(p), F.col(_mark(p, "cells"))).otherwise(0) for p in places]
-    ends = [(p, r) for p in places for r in REFERENCES if r.source == (REFERENCE_BY_CODE[p[-1]].target if p else root)]
-    opens = [F.when(has(p) & ~has((r.code,)), F.col(_mark((*p, r.code), "edge"))).otherwise(0) for p, r in ends]
-    add = lambda xs: F.when(met, reduce(lambda a, b: a + b, xs, F.lit(0)))
-    ways = counted.withColumn("way", F.explode(F.array(*[F.lit(w) for w in sorted({m & reach(root) for m in range(1 << len(REFERENCES))})])))
-    total = lambda x: F.coalesce(F.sum(F.col("n") * x), F.lit(0)).alias
-    return (ways.select("way", "n", add([F.col("_keys"), *parts]).alias("cells"), add(opens).alias("edges")).groupBy("way")
-            .agg(total(F.col("cells").isNotNull().cast("long"))("nodes"), total(F.col("edges"))("edges"), total(F.col("cells"))("cells"))
+    counted = profiles.groupBy(*[c for c in profiles.columns if not c.startswith("_k_")]).agg(F.count(F.lit(1)).alias("n"))
+    ways = sorted({m & reach(root) for m in range(1 << len(REFERENCES))})
+    met = [~_follows(p) | F.col(_mark(p, "cells")).isNotNull() for p in Layout(root, EVERY).paths]
+    return counted.withColumn("way", F.explode(F.array(*[F.lit(w) for w in ways]))).where(reduce(lambda a, b: a & b, met))
+
+
+def _ways(profiles: DataFrame, root: str) -> DataFrame:
+    """[root, way, nodes, edges, cells] of the flat rows of ``root`` for every subset of the references it can follow."""
+    layout = Layout(root, EVERY)
+    cells = [F.when(_follows(p), F.col(_mark(p, "cells"))).otherwise(0) for p in layout.paths]
+    edges = [F.when(_follows(p) & ~_follows((r.code,)), F.col(_mark((*p, r.code), "edge"))).otherwise(0)
+             for p in layout.paths for r in REFERENCES if r.source == layout.end(p)]
+    total = lambda xs: F.sum(F.col("n") * reduce(lambda a, b: a + b, xs, F.lit(0)))
+    return (_in_all_ways(profiles, root).groupBy("way")
+            .agg(F.sum("n").alias("nodes"), total(edges).alias("edges"), total([F.col("_keys"), *cells]).alias("cells"))
             .select(F.lit(root).alias("root"), "way", "nodes", "edges", "cells"))
 
 
+def _of_masks(totals: DataFrame) -> DataFrame:
+    """[root, way, ...] for every mask, marked by ``folds``: whether the mask keeps this root and folds it this way."""
+    into = {c: _bits({r.code for r in REFERENCES if r.target == c}) for c in TABLE_OF}
+    of_root = lambda of: F.create_map(*[F.lit(x) for c in TABLE_OF for x in (c, of(c))])[F.col("root")]
+    every = totals.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit((1 << len(REFERENCES)) - 1))))
+    stays = (of_root(into.get) == 0) | (F.col("mask").bitwiseAND(of_root(into.get)) != of_root(into.get))
+    return every.withColumn("folds", stays & (F.col("mask").bitwiseAND(of_root(reach)) == F.col("way")))
+
+
 def all_structural_deltas(t: Tables) -> DataFrame:
     """:func:`structural_delta` of all 256 masks, with each table read once and no flat row made.
 
     What a table can add to flat rows is handed up along the references, from region to lineitem. A mask's folded
     schema is its roots, each folded along the references of the mask that it can follow, and the normalised schema is
-    every table folded along none, so that both are sums over the same totals.
+    every table folded along none, so that both are sums over the same totals. Empty and dangling references make no
+    flat row; empty tables give zeros.
     """
-    order: list[str] = []
-    while len(order) < len(TABLE_OF):
-        order += [c for c in TABLE_OF if c not in order and all(r.target in order for r in REFERENCES if r.source == c)]
-    handed: dict[str, DataFrame] = {}
-    for root in order:
-        made = _profiles(t, root, handed)
-        handed[root] = checkpointed(made) if any(r.target == root for r in REFERENCES) else made
-    totals = reduce(DataFrame.unionAll, [_ways(handed[root], root) for root in order])
-    into = {c: _bits({r.code for r in REFERENCES if r.target == c}) for c in TABLE_OF}
-    bits = lambda of: reduce(lambda e, c: e.when(F.col("root") == c, F.lit(of(c))), TABLE_OF, F).otherwise(F.lit(0))
-    totals = totals.withColumns({"reach": bits(reach), "into": bits(into.get)})
-    masks = F.sequence(F.lit(0), F.lit((1 << len(REFERENCES)) - 1))
-    every = totals.withColumn("mask", F.explode(masks))
-    stays = (F.col("into") == 0) | (F.col("mask").bitwiseAND(F.col("into")) != F.col("into"))
-    sign = (stays & (F.col("mask").bitwiseAND(F.col("reach")) == F.col("way"))).cast("int") - (F.col("way") == 0).cast("int")
-    sums = every.groupBy("mask").agg(*[F.sum(sign * F.col(x)).alias(f"delta_{x}") for x in ("nodes", "edges", "cells")])
+    totals = reduce(DataFrame.unionAll, [_ways(made, root) for root, made in _handed_up(t).items()])
+    sign = F.col("folds").cast("int") - (F.col("way") == 0).cast("int")
+    sums = _of_masks(totals).groupBy("mask").agg(*[F.sum(sign * F.col(x)).alias(f"delta_{x}") for x in ("nodes", "edges", "cells")])
     numbers = t["region"].sparkSession.range(1 << len(REFERENCES)).select(F.col("id").cast("int").alias("mask"))
     return numbers.join(sums, "mask", "left").select("mask", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in sums.columns[1:]])
 
 
+def all_copies_per_key(t: Tables, table: str) -> DataFrame:
+    """:func:`copies_per_key` of all 256 masks, with each table read once: [mask, key..., copies]; keys without copies have no row.
+
+    Only the keys of ``table`` are handed up with the profiles; rows are counted per key before they meet the masks.
+    """
+    keys, parts = list(KEYS[table]), []
+    for root, made in _handed_up(t, table).items():
+        own = [r.code for r in REFERENCES if r.source == root]
+        for path in Layout(root, EVERY).places(table):
+            folded = reduce(lambda a, b: a | b, [_follows((c,)) for c in own], F.lit(False))
+            parts.append(_in_all_ways(made, root).where(folded & _follows(path)).groupBy(
+                F.lit(root).alias("root"), "way", *[F.col(_mark(path, k)).alias(k) for k in keys]).agg(F.sum("n").alias("copies")))
+    return (_of_masks(reduce(DataFrame.unionAll, parts)).where("folds").groupBy("mask", *keys).agg(F.sum("copies").alias("copies")))
+
+
 def copies_per_key(t: Tables, mask: int, table: str) -> DataFrame:
     """How many flat rows hold each row of ``table``, over all its places: [key..., copies]."""
     codes, parts = mask_codes(mask), []

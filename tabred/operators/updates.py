@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabred.operators.compare import multiset_difference
-from tabred.operators.fold import Layout, fold_root, folded_roots
+from tabred.operators.fold import Layout, all_copies_per_key, fold_root, folded_roots
 from tabred.operators.ranking import exact_quantiles, hash_positions, sample_order, with_quantiles
 from tabred.schemas import KEYS, REFERENCES, TABLE_OF, UPDATE_COLUMN, mask_codes
 
@@ -78,6 +78,15 @@ def touched_rows(t: Tables, mask: int, table: str, updates: DataFrame) -> DataFr
     return updates.join(every, keys).select("ordinal", *keys, "folded", "normalised")
 
 
+def all_touched_rows(t: Tables, table: str, updates: DataFrame) -> DataFrame:
+    """:func:`touched_rows` of every update in all 256 masks: [mask, ordinal, key..., folded, normalised]."""
+    keys = list(KEYS[table])
+    own = t[TABLE_OF[table]].groupBy(*keys).agg(F.count(F.lit(1)).alias("normalised"))
+    every = updates.join(own, keys).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit((1 << len(REFERENCES)) - 1))))
+    return (every.join(all_copies_per_key(t, table), ["mask", *keys], "left")
+            .select("mask", "ordinal", *keys, F.coalesce("copies", F.lit(0).cast("long")).alias("folded"), "normalised"))
+
+
 def check_update(t: Tables, mask: int, root: str, table: str, updates: DataFrame) -> DataFrame:
     """Updating the fold and folding the updated table must agree: number of differing rows."""
     after = {**t, TABLE_OF[table]: apply_to_table(t, table, updates)}

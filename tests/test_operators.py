@@ -114,6 +114,9 @@ def test_deltas_of_all_masks_with_empty_and_dangling_references(spark, folder):
     assert sorted(got) == list(range(256)) and got[0] == (0, 0, 0, 0)
     for mask in (mask_of("N_R"), mask_of("O_C", "C_N"), mask_of("PS_S", "S_N", "N_R", "L_O"), 255):
         assert rows(fold.structural_delta(t, mask)) == [got[mask]]
+    copies = fold.all_copies_per_key(t, "N")
+    for mask in (mask_of("O_C", "C_N"), mask_of("S_N", "C_N", "L_O", "O_C", "L_PS", "PS_S")):
+        assert sorted(rows(copies.where(F.col("mask") == mask).drop("mask"))) == sorted(rows(fold.copies_per_key(t, mask, "N")))
     empty = {name: df.limit(0) for name, df in t.items()}
     assert set(rows(fold.all_structural_deltas(empty))) == {(m, 0, 0, 0) for m in range(256)}
 
