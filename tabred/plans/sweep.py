@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabred.functions import exact as X
 from tabred.plans import tpch
@@ -58,9 +58,11 @@ def parameter_sets(query: int, runs: int, seed: int) -> list[dict]:
 def run_param_sweep(t: dict[str, DataFrame], query: int, sets: list[dict]) -> DataFrame:
     """Results of all sets, marked by ``run``.
 
-    Q1, Q6 and Q14 reduce one scan: every row carries the numbers of the sets whose filter it passes,
-    so the table is read once for all sets. The others are one plan per set in one job.
+    Q1, Q6, Q14 and those of ``GROUPED`` reduce one scan or join: every row carries the numbers of the sets whose
+    filter it passes, so each table is read once for all sets. The others are one plan per set in one job.
     """
+    if query in GROUPED:
+        return GROUPED[query](t, sets)
     if query in (1, 6, 14):
         return _one_scan(t, query, sets)
     return reduce(DataFrame.unionByName, [tpch.run(t, query, p).withColumn("run", F.lit(i)) for i, p in enumerate(sets)])
@@ -70,6 +72,60 @@ def _matching(conditions: list[Column]) -> Column:
     return F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)])))
 
 
+def _tagged(rel: DataFrame, conditions: list[Column]) -> DataFrame:
+    """Rows that pass any condition, once for each that they pass; what all conditions ask of one table goes to its scan."""
+    return rel.where(reduce(lambda a, b: a | b, conditions)).withColumn("run", _matching(conditions))
+
+
+def _best(rows: DataFrame, order: list[Column], count: int) -> DataFrame:
+    """First rows of every set; Spark cuts each partition to ``count`` rows of a set before they are moved."""
+    place = F.row_number().over(Window.partitionBy("run").orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= count).drop("place")
+
+
+def _q03(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:
+    asked = [(F.col("c_mktsegment") == p["segment"]) & (F.col("o_orderdate") < tpch.day(p["date"])) & (F.col("l_shipdate") > tpch.day(p["date"])) for p in sets]
+    sums = (_tagged(tpch.relation(t, 3), asked).groupBy("run", "l_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_shippriority")
+            .agg(X.exact_sum(X.revenue_units(), 4).alias("revenue")))
+    return _best(sums, [F.desc("revenue"), F.col("o_orderdate"), F.col("l_orderkey")], 10)
+
+
+def _q04(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:
+    asked = [tpch.in_months("o_orderdate", p["date"], 3) for p in sets]
+    late = t["lineitem"].where(F.col("l_commitdate") < F.col("l_receiptdate"))
+    held = t["orders"].where(reduce(lambda a, b: a | b, asked)).join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    return _tagged(held, asked).groupBy("run", "o_orderpriority").agg(F.count(F.lit(1)).alias("order_count"))
+
+
+def _q05(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:
+    asked = [(F.col("r_name") == p["region"]) & tpch.in_months("o_orderdate", p["date"], 12) for p in sets]
+    return _tagged(tpch.relation(t, 5), asked).groupBy("run", "n_name").agg(X.exact_sum(X.revenue_units(), 4).alias("revenue"))
+
+
+def _q09(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:
+    rel = _tagged(tpch.relation(t, 9), [F.col("p_name").contains(p["color"]) for p in sets])
+    return (rel.groupBy("run", F.col("n_name").alias("nation"), F.year("o_orderdate").cast("long").alias("o_year"))
+            .agg(X.exact_sum(X.profit_units(), 4).alias("sum_profit")))
+
+
+def _q10(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:
+    who = ("c_name", "c_acctbal", "n_name", "c_address", "c_phone", "c_comment")
+    rel = _tagged(tpch.relation(t, 10).where(F.col("l_returnflag") == "R"), [tpch.in_months("o_orderdate", p["date"], 3) for p in sets])
+    sums = rel.groupBy("run", "c_custkey").agg(X.exact_sum(X.revenue_units(), 4).alias("revenue"), *[F.first(w).alias(w) for w in who])
+    return _best(sums, [F.desc("revenue"), F.col("c_custkey")], 20)
+
+
+def _q12(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:
+    rel = tpch.relation(t, 12).where((F.col("l_commitdate") < F.col("l_receiptdate")) & (F.col("l_shipdate") < F.col("l_commitdate")))
+    asked = [F.col("l_shipmode").isin(p["shipmode1"], p["shipmode2"]) & tpch.in_months("l_receiptdate", p["date"], 12) for p in sets]
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return _tagged(rel, asked).groupBy("run", "l_shipmode").agg(
+        F.sum(F.when(urgent, 1).otherwise(0)).alias("high_line_count"), F.sum(F.when(urgent, 0).otherwise(1)).alias("low_line_count"))
+
+
+GROUPED = {3: _q03, 4: _q04, 5: _q05, 9: _q09, 10: _q10, 12: _q12}
+
+
 def _one_scan(t: dict[str, DataFrame], query: int, sets: list[dict]) -> DataFrame:
     lines = t["lineitem"]
     if query == 6:
