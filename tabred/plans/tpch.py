@@ -227,11 +227,14 @@ def q18_rows(rel: DataFrame, p: Params) -> DataFrame:
                    .where(c("sum_qty") > p["quantity"]))
 
 
-def q19(rel, t, p):
-    sizes = (("SM", ("CASE", "BOX", "PACK", "PKG"), 5), ("MED", ("BAG", "BOX", "PKG", "PACK"), 10),
+# Container size, container kinds and largest part size of the three branches of Q19.
+Q19_SIZES = (("SM", ("CASE", "BOX", "PACK", "PKG"), 5), ("MED", ("BAG", "BOX", "PKG", "PACK"), 10),
              ("LG", ("CASE", "BOX", "PACK", "PKG"), 15))
+
+
+def q19(rel, t, p):
     branches = F.lit(False)
-    for i, (size, kinds, top) in enumerate(sizes, 1):
+    for i, (size, kinds, top) in enumerate(Q19_SIZES, 1):
         low = p[f"q{i}"]
         branches = branches | ((c("p_brand") == p[f"brand{i}"]) & c("p_container").isin(*[f"{size} {k}" for k in kinds])
                                & c("l_quantity").between(low, low + 10) & c("p_size").between(1, top))
