@@ -195,7 +195,7 @@ def streamed_updates(s, d, compact):
 CORRECTED = """select c_custkey, c_nationkey, coalesce('event ' || e, 'nation ' || c_nationkey) as n_comment from customer
             left join (select user_id % 20 as k, max(event_id) as e from events group by 1) on k = c_nationkey"""
 register("t1_stream_updates", lambda s, d: streamed_updates(s, d, False), CORRECTED)
-register("t1_compacted_updates", lambda s, d: streamed_updates(s, d, True), CORRECTED)
+register("t1_stream_compacted_updates", lambda s, d: streamed_updates(s, d, True), CORRECTED)
 
 
 def monitored(s, d):
