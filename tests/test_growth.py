@@ -57,3 +57,17 @@ def test_update_check_sees_a_row_that_was_not_updated(spark, folder, monkeypatch
     monkeypatch.setattr(updates, "apply_to_fold", lambda *a: keep(*a[:4], batch.where("n_nationkey <> 3"), a[5]))
     touched = t["orders"].join(t["customer"].where("c_nationkey = 3"), F.col("o_custkey") == F.col("c_custkey")).count()
     assert updates.check_update(t, mask_of("O_C", "C_N"), "O", "N", batch).first()[0] == 2 * touched > 0
+
+
+def test_walk_vectors_do_not_depend_on_blocks_and_pairs_are_not_written(spark, monkeypatch):
+    from tabred.operators import embed
+    ring = spark.range(40).select(F.concat(F.lit("n"), F.col("id")).alias("src"), F.concat(F.lit("n"), (F.col("id") + 1) % 40).alias("dst"))
+    both = ring.unionAll(ring.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seen = []
+    keep = embed.written
+    monkeypatch.setattr(embed, "written", lambda df: seen.append(df.columns) or keep(df))
+    one = {r["id"]: r["vec"] for r in embed.node2vec(both, walks=2, length=8).collect()}
+    monkeypatch.setattr(embed, "BLOCK", 7)
+    many = {r["id"]: r["vec"] for r in embed.node2vec(both, walks=2, length=8).collect()}
+    assert len(one) == 40 and one.keys() == many.keys() and ["src", "dst"] not in seen
+    assert all(abs(x - y) < 1e-5 for k in one for x, y in zip(one[k], many[k]))
