@@ -9,7 +9,7 @@ from tabred.operators.compare import bounded_count, compare_results
 from tabred.plans import tpch
 from tabred.plans.graphs import (FOLDABLE, QUERY_ROLES, ROLE_ORDER, candidate_name, candidate_references, candidates,
                                  query_links, reference_link)
-from tabred.plans.joins import Part, join_parts, role_part
+from tabred.plans.joins import Part, join_parts, role_column, role_part
 from tabred.schemas import KEYS, REFERENCES
 from tabred.session import stored
 
@@ -17,6 +17,31 @@ Symbols = tuple[str, ...]
 Tables = dict[str, DataFrame]
 
 
+# Columns that each query uses beside keys and references.
+QUERY_COLUMNS = {
+    2: "p_size p_type r_name ps_supplycost s_acctbal s_name n_name p_mfgr s_address s_phone s_comment",
+    3: "c_mktsegment o_orderdate l_shipdate o_shippriority l_extendedprice l_discount",
+    4: "o_orderdate l_commitdate l_receiptdate o_orderpriority",
+    5: "r_name n_name o_orderdate l_extendedprice l_discount",
+    7: "n1_name n2_name l_shipdate l_extendedprice l_discount",
+    8: "n2_name r_name p_type o_orderdate l_extendedprice l_discount",
+    9: "p_name n_name o_orderdate ps_supplycost l_extendedprice l_discount l_quantity",
+    10: "o_orderdate l_returnflag c_name c_acctbal n_name c_address c_phone c_comment l_extendedprice l_discount",
+    11: "n_name ps_supplycost ps_availqty",
+    12: "l_shipmode l_shipdate l_commitdate l_receiptdate o_orderpriority",
+    13: "o_comment", 16: "p_brand p_type p_size s_comment", 18: "l_quantity c_name o_orderdate o_totalprice",
+    20: "p_name n_name l_shipdate l_quantity ps_availqty s_name s_address",
+    21: "o_orderstatus l_receiptdate l_commitdate n_name s_name", 22: "c_phone c_acctbal",
+}
+
+
+def used_columns(query: int, symbols: Symbols) -> set[str]:
+    """Columns of a flat table that its query uses, with all keys and references of its members."""
+    links = {c for s in symbols for c in KEYS[base(s)]} | {f for s in symbols for r in REFERENCES if r.source == base(s) for f in r.fields}
+    numbered = {role_column(s, c) for s in symbols if s in ("N1", "N2") for c in (*KEYS["N"], "n_regionkey")}
+    return links | numbered | set(QUERY_COLUMNS[query].split())
+
+
 def base(role: str) -> str:
     return role.rstrip("12")
 
@@ -40,12 +65,19 @@ def materialize_join(t: Tables, query: int, symbols: Symbols) -> Part:
 
 
 def flat_table(spark: SparkSession, t: Tables, source: str, query: int, symbols: Symbols) -> Part:
-    """The flat table, written once per application and shared by all queries that fold the same tables."""
+    """The flat table with all columns, written once per application."""
     part = materialize_join(t, query, symbols)
     name = "flat_" + "_".join(symbols).lower()
     return Part(stored(spark, name, source, lambda: part.frame), part.key)
 
 
+def query_table(spark: SparkSession, t: Tables, source: str, query: int, symbols: Symbols) -> Part:
+    """All rows of the flat table with the columns of :func:`used_columns`, written once per application and query."""
+    part, used = materialize_join(t, query, symbols), used_columns(query, symbols)
+    name = "flat_" + "_".join(symbols).lower() + f"_q{query}"
+    return Part(stored(spark, name, source, lambda: part.frame.select(*[c for c in part.frame.columns if c in used])), part.key)
+
+
 def closure_components(t: Tables, query: int, symbols: Symbols) -> list[tuple[str, str, DataFrame]]:
     """Second nation-region component for the parent that the flat table leaves out.
 
@@ -84,7 +116,7 @@ def template(spark: SparkSession, t: Tables, source: str, query: int, symbols: S
              params: dict | None = None) -> DataFrame:
     """A query answered from a flat table plus the tables that it does not contain."""
     p = {**tpch.DEFAULTS[query], **(params or {})}
-    flat = flat_table(spark, t, source, query, symbols)
+    flat = query_table(spark, t, source, query, symbols)
     col = F.col
     if query == 4:
         late = flat.frame.where(tpch.in_months("o_orderdate", p["date"], 3) & (col("l_commitdate") < col("l_receiptdate")))

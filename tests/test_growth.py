@@ -71,3 +71,13 @@ def test_walk_vectors_do_not_depend_on_blocks_and_pairs_are_not_written(spark, m
     many = {r["id"]: r["vec"] for r in embed.node2vec(both, walks=2, length=8).collect()}
     assert len(one) == 40 and one.keys() == many.keys() and ["src", "dst"] not in seen
     assert all(abs(x - y) < 1e-5 for k in one for x, y in zip(one[k], many[k]))
+
+
+def test_query_tables_hold_every_row_and_only_used_columns(spark, folder):
+    from tabred.plans import flat
+    t = tpch_view(spark, folder)
+    whole = flat.materialize_join(t, 5, ("L", "O", "C")).frame
+    kept = flat.query_table(spark, t, folder, 5, ("L", "O", "C")).frame
+    assert kept.count() == whole.count()
+    assert set(kept.columns) < set(whole.columns) and not any(c.endswith("comment") for c in kept.columns)
+    assert flat.template(spark, t, folder, 5, ("L", "O", "C")).count()
