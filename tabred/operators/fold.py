@@ -40,6 +40,8 @@ def digested(t: Tables, kept: tuple[str, ...] = ()) -> Tables:
 
 
 Path = tuple[str, ...]
+# Slices of a parent's children where edges move to them.
+SLICES = 64
 
 
 @dataclass(frozen=True)
@@ -440,16 +442,17 @@ def rewire_edges(edges: DataFrame, pairs: DataFrame, child_label: str, parent_la
     which keeps the child's key. Edges of the parent go to every flat row of that parent.
     """
     kept = edges.where(F.col("type") != folded_type)
-    owners = (pairs.select(F.lit(child_label).alias("_label"), F.col("child").alias("_old"), F.col("child").alias("_new"))
-              .unionAll(pairs.select(F.lit(parent_label).alias("_label"), F.col("parent").alias("_old"), F.col("child").alias("_new"))))
-    folded = [child_label, parent_label]
+    # Parents are few and have many children: a parent's children are met slice by slice, by many tasks.
+    sliced = pairs.select(F.col("parent").alias("_old"), F.col("child").alias("_new"), F.pmod(F.xxhash64("child"), F.lit(SLICES)).alias("_slice"))
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))
 
     def moved(frame: DataFrame, end: str) -> DataFrame:
-        incident = F.col(f"{end}_label").isin(*folded)
-        rest = frame.where(~incident)
-        hit = (frame.where(incident).join(owners, (F.col(f"{end}_label") == F.col("_label")) & (F.col(end) == F.col("_old")))
-               .withColumns({f"{end}_label": F.lit(folded_label), end: F.col("_new")}))
-        return rest.unionByName(hit.select(*rest.columns))
+        label = F.col(f"{end}_label")
+        children = frame.where(label == child_label).join(pairs.select(F.col("child").alias("_new")), F.col(end) == F.col("_new"))
+        parents = frame.where(label == parent_label).withColumn("_part", slices).join(
+            sliced, (F.col(end) == F.col("_old")) & (F.col("_part") == F.col("_slice")))
+        hits = [h.withColumns({f"{end}_label": F.lit(folded_label), end: F.col("_new")}).select(*frame.columns) for h in (children, parents)]
+        return reduce(DataFrame.unionByName, hits, frame.where(~label.isin(child_label, parent_label)))
 
     return moved(moved(kept, "src"), "dst").where((F.col("src_label") == folded_label) | (F.col("dst_label") == folded_label))
 

@@ -81,3 +81,13 @@ def test_query_tables_hold_every_row_and_only_used_columns(spark, folder):
     assert kept.count() == whole.count()
     assert set(kept.columns) < set(whole.columns) and not any(c.endswith("comment") for c in kept.columns)
     assert flat.template(spark, t, folder, 5, ("L", "O", "C")).count()
+
+
+def test_rewired_edges_of_a_parent_are_sliced_and_whole(spark):
+    edges = spark.createDataFrame([("O_C", "O", 1, "C", 5), ("S_N", "S", 9, "N", 2), ("C_N", "C", 5, "N", 2), ("N_R", "N", 2, "R", 0)],
+                                  "type string, src_label string, src long, dst_label string, dst long")
+    pairs = spark.range(200).select(F.col("id").alias("child"), F.lit(2).cast("long").alias("parent"))
+    got = fold.rewire_edges(edges, pairs, "C", "N", "CN", "C_N")
+    assert "_slice" in plan(got)
+    found = sorted(tuple(r) for r in got.collect())
+    assert found == sorted([("O_C", "O", 1, "CN", 5), *[("S_N", "S", 9, "CN", c) for c in range(200)], *[("N_R", "CN", c, "R", 0) for c in range(200)]])
