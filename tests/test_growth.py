@@ -91,3 +91,31 @@ def test_rewired_edges_of_a_parent_are_sliced_and_whole(spark):
     assert "_slice" in plan(got)
     found = sorted(tuple(r) for r in got.collect())
     assert found == sorted([("O_C", "O", 1, "CN", 5), *[("S_N", "S", 9, "CN", c) for c in range(200)], *[("N_R", "CN", c, "R", 0) for c in range(200)]])
+
+
+def test_runs_that_counting_decides_get_no_matching(spark, monkeypatch):
+    from tabred.operators import compare
+
+    def refused(*_):
+        raise AssertionError("matched one by one")
+
+    frame = lambda values: spark.createDataFrame(values, "k string, v double")
+    left = frame([("a", float(i)) for i in range(50)] + [("a", 7.0), ("b", 1e12), ("b", None)])
+    right = frame([("a", i + 0.5) for i in range(50)] + [("a", 7.00000001), ("b", 1e12 + 1), ("b", None), ("b", None)])
+    keep = compare.matched_rows
+    monkeypatch.setattr(compare, "matched_rows", refused)
+    assert tuple(compare.compare_results(left, right).first()) == (False, 101)
+    monkeypatch.setattr(compare, "matched_rows", keep)
+    chain = [frame([("a", x * 1e-7) for x in side]) for side in ((0, 1.6, 3.2), (0.8, 2.4, 4.9))]
+    assert tuple(compare.compare_results(*chain).first()) == (False, 2)
+
+
+def test_value_bins_halve_their_bounds_and_count_those_below(spark):
+    from tabred.operators import ranking
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).cast("double").alias("v")).unionAll(spark.createDataFrame([(None,), (float("nan"),)], "v double"))
+    for bins in (2, 3, 64, 100):
+        got = ranking.with_value_bins(df, "v", "bin", bins)
+        assert "filter(" not in plan(got)
+        bounds = df.agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], max(1000, 10 * bins))).first()[0]
+        for v, at in got.collect():
+            assert at == (0 if v is None else len(set(bounds)) if v != v else sum(b < v for b in set(bounds)))
