@@ -171,9 +171,11 @@ def _q15(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:
 
 
 def _q16(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:
+    """Sets ask for brands, types and sizes only, so suppliers are counted once for all sets and no row is repeated."""
     rel = tpch.relation(t, 16).where(~F.col("s_comment").rlike("^.*Customer.*Complaints.*$"))
+    counts = rel.groupBy("p_brand", "p_type", "p_size").agg(F.countDistinct("ps_suppkey").alias("supplier_cnt"))
     asked = [(F.col("p_brand") != p["brand"]) & ~F.col("p_type").startswith(p["type_prefix"]) & F.col("p_size").isin(*p["sizes"]) for p in sets]
-    return _tagged(rel, asked).groupBy("run", "p_brand", "p_type", "p_size").agg(F.countDistinct("ps_suppkey").alias("supplier_cnt"))
+    return _tagged(counts, asked).select("run", "p_brand", "p_type", "p_size", "supplier_cnt")
 
 
 def _q17(t: dict[str, DataFrame], sets: list[dict]) -> DataFrame:

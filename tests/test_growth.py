@@ -119,3 +119,14 @@ def test_value_bins_halve_their_bounds_and_count_those_below(spark):
         bounds = df.agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], max(1000, 10 * bins))).first()[0]
         for v, at in got.collect():
             assert at == (0 if v is None else len(set(bounds)) if v != v else sum(b < v for b in set(bounds)))
+
+
+def test_sweep_of_q16_counts_suppliers_once_for_all_sets(spark, folder):
+    from tabred.plans import sweep, tpch
+    t = tpch_view(spark, folder)
+    sets = sweep.parameter_sets(16, 4, 5)
+    got = sweep.run_param_sweep(t, 16, sets)
+    assert moved(got) and not any("run#" in text for text in moved(got))
+    columns = ("p_brand", "p_type", "p_size", "supplier_cnt")
+    want = sorted((i, *[r[c] for c in columns]) for i, p in enumerate(sets) for r in tpch.run(t, 16, p).collect())
+    assert want and sorted((r["run"], *[r[c] for c in columns]) for r in got.collect()) == want
