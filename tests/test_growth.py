@@ -130,3 +130,19 @@ def test_sweep_of_q16_counts_suppliers_once_for_all_sets(spark, folder):
     columns = ("p_brand", "p_type", "p_size", "supplier_cnt")
     want = sorted((i, *[r[c] for c in columns]) for i, p in enumerate(sets) for r in tpch.run(t, 16, p).collect())
     assert want and sorted((r["run"], *[r[c] for c in columns]) for r in got.collect()) == want
+
+
+def sorted_aggregates(df) -> bool:
+    return "SortAggregate" in plan(df)
+
+
+def test_discovery_combines_values_without_sorting_rows(spark, folder, monkeypatch):
+    from tabred.operators import fds
+    rows = [(f"x{i % 40}", f"y{i % 40 % 7}" if i % 3 else None, "z" if i == 5 else f"z{i % 40 % 4}", f"k{i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "x string, y string, z string, k string")
+    for share in (1, 64):                                   # all values looked at first, and few of them
+        monkeypatch.setattr(fds, "REFUTED_ON", share)
+        got = fds.discover_fds(df)
+        assert not sorted_aggregates(got)
+        assert [tuple(r) for r in got.collect()] == [("x", "y", sum(i % 3 > 0 for i in range(4000)), sum(i % 3 > 0 for i in range(4000)) / 4000, 40, 40, sum(i % 3 > 0 for i in range(4000)), sum(i % 3 > 0 for i in range(4000)) - 40)]
+    assert fds.discover_fds(df.select("k", "z").limit(3)).collect() == []
