@@ -146,3 +146,9 @@ def test_discovery_combines_values_without_sorting_rows(spark, folder, monkeypat
         assert not sorted_aggregates(got)
         assert [tuple(r) for r in got.collect()] == [("x", "y", sum(i % 3 > 0 for i in range(4000)), sum(i % 3 > 0 for i in range(4000)) / 4000, 40, 40, sum(i % 3 > 0 for i in range(4000)), sum(i % 3 > 0 for i in range(4000)) - 40)]
     assert fds.discover_fds(df.select("k", "z").limit(3)).collect() == []
+
+
+def test_order_info_asks_for_no_tables_beside_its_own(spark, folder):
+    from tabred.catalog.fold import order_info
+    assert set(order_info(spark, f"{folder}/.").columns) >= {"o_orderkey", "r_name"}
+    assert "partsupp" not in tpch_view(spark, f"{folder}/.")._made
