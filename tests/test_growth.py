@@ -152,3 +152,19 @@ def test_order_info_asks_for_no_tables_beside_its_own(spark, folder):
     from tabred.catalog.fold import order_info
     assert set(order_info(spark, f"{folder}/.").columns) >= {"o_orderkey", "r_name"}
     assert "partsupp" not in tpch_view(spark, f"{folder}/.")._made
+
+
+def test_classes_meet_their_cells_once_and_keep_what_one_class_refutes(spark, monkeypatch):
+    from tabred.operators import fds
+    data = [(c, f"r{i}", f, v) for c in "AB" for i in range(300) for f, v in (("x", f"x{i % 30}"), ("y", f"y{i % 5}" if c == "A" else f"y{i % 7}"), ("k", f"k{i}"))]
+    data += [("A", "r0", "y", "other"), ("A", "r1", "y", None), ("A", "none", "x", None), ("A", None, "x", "x1"), (None, "r", "x", "x1")]
+    cells = spark.createDataFrame(data, "class string, row string, field string, term string")
+    for share in (1, 64):
+        monkeypatch.setattr(fds, "REFUTED_ON", share)
+        got = fds.discover_fds_by_class(cells)
+        assert not sorted_aggregates(got)
+        found = {(r["class"], r["x"], r["y"]): r.asDict() for r in got.collect()}
+        assert set(found) == {("A", "x", "y")}
+        assert found["A", "x", "y"] == {"class": "A", "x": "x", "y": "y", "eligible_rows": 299, "coverage": 299 / 301, "distinct_x": 30, "distinct_y": 5,
+                                        "repeated_groups": 30, "rows_in_repeated": 299, "redundant_rows": 269}
+    assert fds.discover_fds_by_class(cells, min_rows=301).count() == 1 and fds.discover_fds_by_class(cells, max_rows=300).count() == 0
