@@ -39,8 +39,8 @@ def digested(t: Tables, kept: tuple[str, ...] = ()) -> Tables:
 
 
 Path = tuple[str, ...]
-# Slices of a parent's children where edges move to them.
-SLICES = 64
+# Slices of a parent's children where edges move to them, at least, and children of a slice over all parents, about.
+SLICES, SLICE_ROWS = 64, 4096
 
 
 @dataclass(frozen=True)
@@ -441,15 +441,19 @@ def rewire_edges(edges: DataFrame, pairs: DataFrame, child_label: str, parent_la
     which keeps the child's key. Edges of the parent go to every flat row of that parent.
     """
     kept = edges.where(F.col("type") != folded_type)
-    # Parents are few and have many children: a parent's children are met slice by slice, by many tasks.
-    sliced = pairs.select(F.col("parent").alias("_old"), F.col("child").alias("_new"), F.pmod(F.xxhash64("child"), F.lit(SLICES)).alias("_slice"))
-    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))
+    # Parents are few and have many children: a parent's children are met slice by slice, by many tasks, and a slice as
+    # one list, so that rows are made by going through lists and not by the join. Spark would take the edges for few,
+    # as it does not count their copies per slice, and a broadcast of them would leave all rows to one or two tasks.
+    count = max(SLICES, -(-pairs.count() // SLICE_ROWS))
+    sliced = pairs.groupBy(F.col("parent").alias("_old"), F.pmod(F.xxhash64("child"), F.lit(count)).alias("_slice")).agg(
+        F.collect_list(F.struct(F.col("child").alias("_new"))).alias("_children"))
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
 
     def moved(frame: DataFrame, end: str) -> DataFrame:
         label = F.col(f"{end}_label")
         children = frame.where(label == child_label).join(pairs.select(F.col("child").alias("_new")), F.col(end) == F.col("_new"))
-        parents = frame.where(label == parent_label).withColumn("_part", slices).join(
-            sliced, (F.col(end) == F.col("_old")) & (F.col("_part") == F.col("_slice")))
+        parents = frame.where(label == parent_label).withColumn("_part", slices).repartition(count, end, "_part").join(
+            sliced.hint("merge"), (F.col(end) == F.col("_old")) & (F.col("_part") == F.col("_slice"))).select(*frame.columns, F.inline("_children"))
         hits = [h.withColumns({f"{end}_label": F.lit(folded_label), end: F.col("_new")}).select(*frame.columns) for h in (children, parents)]
         return reduce(DataFrame.unionByName, hits, frame.where(~label.isin(child_label, parent_label)))
 

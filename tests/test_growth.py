@@ -93,6 +93,17 @@ def test_rewired_edges_of_a_parent_are_sliced_and_whole(spark):
     assert found == sorted([("O_C", "O", 1, "CN", 5), *[("S_N", "S", 9, "CN", c) for c in range(200)], *[("N_R", "CN", c, "R", 0) for c in range(200)]])
 
 
+def test_rewired_edges_are_made_from_lists_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fold, "SLICE_ROWS", 10)
+    edges = spark.createDataFrame([("S_N", "S", 9, "N", 2), ("S_N", "S", 8, "N", 2), ("S_N", "S", 7, "N", 3), ("S_N", "S", 7, "N", 4)],
+                                  "type string, src_label string, src long, dst_label string, dst long")
+    pairs = spark.range(2000).select(F.col("id").alias("child"), (F.col("id") % 2 + 2).alias("parent"))
+    got = fold.rewire_edges(edges, pairs.unionAll(spark.sql("select cast(null as bigint), 3L")), "C", "N", "CN", "C_N")
+    assert "inline(_children" in plan(got) and "SortMergeJoin" in plan(got)
+    found = sorted((r["src"], -1 if r["dst"] is None else r["dst"]) for r in got.collect())
+    assert found == sorted([(s, c) for s in (9, 8) for c in range(0, 2000, 2)] + [(7, c) for c in range(1, 2000, 2)] + [(7, -1)])
+
+
 def test_runs_that_counting_decides_get_no_matching(spark, monkeypatch):
     from tabred.operators import compare
 
