@@ -2,6 +2,7 @@
 import contextlib
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabred.operators import fold, updates
@@ -73,6 +74,20 @@ def test_walk_vectors_do_not_depend_on_blocks_and_pairs_are_not_written(spark, m
     assert all(abs(x - y) < 1e-5 for k in one for x, y in zip(one[k], many[k]))
 
 
+def test_group_cosines_equal_those_of_every_pair_and_no_member_meets_all_groups(spark):
+    import numpy as np
+    from tabred.operators import evaluate
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=4) for i in ("m0", "m1", "m2", "m3", "g0", "g1", "g2")} | {"m4": np.zeros(4)}
+    members = [("m0", "g0"), ("m1", "g0"), ("m2", "g1"), ("m3", "g2"), ("m4", "g2"), ("m4", "g2"), ("gone", "g1"), ("m1", "lost"), ("m2", None)]
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)) if a.any() and b.any() else 0.0
+    pairs = [(g == o, cosine(vectors[m], vectors[o])) for m, g in members if m in vectors and g for o in ("g0", "g1", "g2")]
+    got = evaluate.group_cosines(spark.createDataFrame(members, "id string, group string"),
+                                 spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "id string, vec array<double>"), 4).first()
+    for own, name in ((True, "own"), (False, "other")):
+        assert got[name] == pytest.approx(np.mean([c for same, c in pairs if same == own]))
+
+
 def test_query_tables_hold_every_row_and_only_used_columns(spark, folder):
     from tabred.plans import flat
     t = tpch_view(spark, folder)
