@@ -74,6 +74,35 @@ def test_walk_vectors_do_not_depend_on_blocks_and_pairs_are_not_written(spark, m
     assert all(abs(x - y) < 1e-5 for k in one for x, y in zip(one[k], many[k]))
 
 
+def test_walk_product_adds_every_pair_near_on_walks_in_parts_and_dimensions(spark, monkeypatch):
+    import numpy as np
+    from tabred.operators import embed
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "end"), ("e", "a"), ("a", "a")]          # ``end`` has no neighbour
+    both = spark.createDataFrame(links * 3 + [(None, "a"), ("x", None)], "src string, dst string")
+    want = {r["id"]: r["vec"] for r in embed.node2vec(both, walks=9, length=7, window=2).collect()}
+    ids = [*"abcde", "end"]
+    assert set(want) == set(ids)
+    for name, value in (("CELLS", 30), ("RANGE", 2), ("BLOCK", 4), ("STEPS", 50)):
+        monkeypatch.setattr(embed, name, value)
+    plan = embed._Plan.of(6, 128, 4)
+    assert plan.blocks == 2 and plan.width == 7 and len(plan.chunks) == 19
+    got = {r["id"]: r["vec"] for r in embed.node2vec(both, walks=9, length=7, window=2).collect()}
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in ids)
+    # One task against sums over listed pairs.
+    plan = embed._Plan(6, 3, 2, 3, 3, 1)
+    task = embed._Product(plan, 0, 2, 5, 2, 1)
+    path = np.array([[0, 1, 2, 0, 3], [4, 5, 6, 6, 6], [1, 1, 1, 2, 5]]).T
+    task.vectors[:, :6] = np.random.default_rng(1).normal(size=(3, 6))
+    task.add(path)
+    near = np.zeros((3, 7))
+    for walk in path.T:
+        for i, j in ((i, j) for i in range(5) for j in range(5) if i != j and abs(i - j) <= 2):
+            near[:, walk[i]] += task.vectors[:, walk[j]]
+    assert np.allclose(task.sums[:, :6], near[:, :6], atol=1e-5)
+    monkeypatch.setattr(embed, "HELD_EDGES", 0)
+    assert {r["id"] for r in embed.node2vec(both, walks=9, length=7, window=2).collect()} == set(ids)
+
+
 def test_group_cosines_equal_those_of_every_pair_and_no_member_meets_all_groups(spark):
     import numpy as np
     from tabred.operators import evaluate
