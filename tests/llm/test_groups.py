@@ -137,6 +137,30 @@ def test_audit_has_links_and_an_exact_way_out(spark, monkeypatch):
         neighbours.near_vectors(spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>"))
 
 
+def test_dense_shards_are_answered_whole_in_bounded_memory():
+    import tracemalloc
+    rng = np.random.default_rng(7)
+    data = neighbours.unit(np.concatenate([rng.normal(size=32) + 0.1 * rng.normal(size=(1500, 32)), rng.normal(size=(1500, 32))]))
+    rng.shuffle(data)
+    graph = neighbours.Graph(data.astype(np.float32))
+    tracemalloc.start()
+    row, hit = graph.near(data[:512].astype(np.float32), 32, 0.9)
+    beam, found, there = neighbours._audited(graph, data, data, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    real = set(zip(*[x.tolist() for x in np.nonzero(data[:512] @ data.T >= 0.9001)]))
+    assert len(real) > 200_000 and len(real - set(zip(row.tolist(), hit.tolist()))) < 0.01 * len(real)
+    assert found >= 0.99 * there and peak < 96e6
+
+
+def test_graphs_keep_doubles_that_floats_would_change(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.1, 0.995]), (2, [0.1000000001, 0.995]), (3, [0.0, 1.0])]
+    assert neighbours._short(np.array([r[1] for r in rows])).dtype == np.float64
+    assert neighbours._short(np.array([[1.0, 0.5], [0.25, 0.0]])).dtype == np.float32
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.9949).collect()}
+    assert got == {0: 0, 1: 2, 2: 2, 3: 2}
+
+
 def _valid(rows, capacity):
     """Places in each sequence are gapless and within the capacity."""
     by = defaultdict(list)
